@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glossa.llm.op01_quality import op1_quality_classifier
 from glossa.llm.op04_media import op4_media_columns
+from glossa.llm.op05_simhash import op5_simhash_near_dedup
 from glossa.llm.op06_toxicity import op6_toxicity
 from glossa.llm.op08_packing import op8_best_fit_packing
 from glossa.llm.op09_secrets import op9_secret_scans
@@ -11,6 +12,7 @@ from glossa.llm.op09_secrets import op9_secret_scans
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_media_columns": op4_media_columns,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scans": op9_secret_scans,
