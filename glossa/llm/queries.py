@@ -8,6 +8,7 @@ from glossa.llm.op05_simhash import op5_simhash_near_dedup
 from glossa.llm.op06_toxicity import op6_toxicity
 from glossa.llm.op08_packing import op8_best_fit_packing
 from glossa.llm.op09_secrets import op9_secret_scans
+from glossa.llm.op10_fingerprints import op10_document_fingerprints
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scans": op9_secret_scans,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
