@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from glossa.llm.op01_quality import op1_quality_classifier
+from glossa.llm.op02_lines import ORACLE as LINES_SQL
+from glossa.llm.op02_lines import op2_line_dedup
 from glossa.llm.op04_media import op4_media_columns
 from glossa.llm.op05_simhash import op5_simhash_near_dedup
 from glossa.llm.op06_toxicity import op6_toxicity
@@ -12,6 +14,7 @@ from glossa.llm.op10_fingerprints import op10_document_fingerprints
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_line_dedup": op2_line_dedup,
     "op4_media_columns": op4_media_columns,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
@@ -20,4 +23,4 @@ QUERIES = {
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL}
