@@ -100,7 +100,10 @@ class WordIds:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text."""
-        units = text.replace("\n", " ").replace("\t", " ").split(" ")
+        return self.gathered(text.replace("\n", " ").replace("\t", " ").split(" "))
+
+    def gathered(self, units: list[str]) -> np.ndarray:
+        """Ids of units, one after another."""
         if len(self.at) > self.most:
             self.forget()
         try:

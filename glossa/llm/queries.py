@@ -8,6 +8,7 @@ from glossa.llm.op02_lines import op2_line_dedup
 from glossa.llm.op04_media import op4_media_columns
 from glossa.llm.op05_simhash import op5_simhash_near_dedup
 from glossa.llm.op06_toxicity import op6_toxicity
+from glossa.llm.op07_pieces import op7_sentencepiece
 from glossa.llm.op08_packing import op8_best_fit_packing
 from glossa.llm.op09_secrets import op9_secret_scans
 from glossa.llm.op10_fingerprints import op10_document_fingerprints
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_media_columns": op4_media_columns,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scans": op9_secret_scans,
     "op10_document_fingerprints": op10_document_fingerprints,
