@@ -62,3 +62,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         picked = rows.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         out += [(int(r[0]), value) for r in picked.select("doc_id").toLocalIterator()]
     return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and that nothing reads any more, and let go of finished shuffles' files."""
+    gateway = tables[0].sparkSession.sparkContext._jvm
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = gateway.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    gateway.System.gc()

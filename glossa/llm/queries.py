@@ -5,6 +5,7 @@ from __future__ import annotations
 from glossa.llm.op01_quality import op1_quality_classifier
 from glossa.llm.op02_lines import ORACLE as LINES_SQL
 from glossa.llm.op02_lines import op2_line_dedup
+from glossa.llm.op03_suffix import op3_suffix_array_dedup
 from glossa.llm.op04_media import op4_media_columns
 from glossa.llm.op05_simhash import op5_simhash_near_dedup
 from glossa.llm.op06_toxicity import op6_toxicity
@@ -16,6 +17,7 @@ from glossa.llm.op10_fingerprints import op10_document_fingerprints
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_media_columns": op4_media_columns,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
