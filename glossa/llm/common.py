@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; the path may be any that Spark reads."""
@@ -64,6 +68,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return out
 
 
+_cache: dict[object, object] = {}
+
+
+def worker_cache(name: object, build: Callable[[], T]) -> T:
+    """What a Python worker remembers between tasks, for one purpose at a time: asking for another one lets the last go, so that stages that share workers don't add up."""
+    if name not in _cache:
+        _cache.clear()
+        _cache[name] = build()
+    return _cache[name]
+
+
+def release() -> None:
+    """Let go of what the worker remembers, before a step that needs its memory."""
+    _cache.clear()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and that nothing reads any more, and let go of finished shuffles' files."""
     gateway = tables[0].sparkSession.sparkContext._jvm

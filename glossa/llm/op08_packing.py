@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import Self
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import documents, materialise
+from glossa.llm.common import documents, materialise, worker_cache
 from glossa.llm.packing import Capacity, pack
 
 #: Items of a shard. A shard is packed in one task and wastes at most about one sequence.
@@ -46,8 +47,6 @@ class WordIds:
     afresh.
     """
 
-    _kept: dict[str, WordIds] = {}
-
     def __init__(self, path: str, most: int = 1_200_000):
         import os
 
@@ -67,11 +66,9 @@ class WordIds:
         self.used = 0
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
-        """One for each vocabulary and Python worker."""
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+    def of(cls, path: str) -> Self:
+        """One for each Python worker."""
+        return worker_cache((cls, path), lambda: cls(path))
 
     def word(self, word: str) -> list[int]:
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)

@@ -168,8 +168,6 @@ def stream(v: Vocabulary, parts: Iterator[str]) -> Iterator[list[int]]:
 class PieceIds(WordIds):
     """Ids of whole texts by remembered units: what lies between the places where all paths converge."""
 
-    _kept: dict[str, WordIds] = {}
-
     def __init__(self, path: str, most: int = 1_200_000):
         self.v = Vocabulary(path)
         self.most = most
