@@ -297,7 +297,14 @@ def _entropy_end(data: bytes, at: int) -> int:
 
 
 def decode(data: bytes) -> Decoded:
-    """Accumulate all scans of a progressive stream into coefficient arrays."""
+    """Accumulate all scans of a progressive stream into coefficient arrays. A broken stream raises ValueError."""
+    try:
+        return _decoded(data)
+    except (IndexError, KeyError, StopIteration, AttributeError, struct.error) as e:
+        raise ValueError("broken stream") from e
+
+
+def _decoded(data: bytes) -> Decoded:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG stream")
     out, tables, interval, at = Decoded(), {}, 0, 2
