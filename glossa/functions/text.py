@@ -101,6 +101,15 @@ def escape(text: str) -> str:
     return "".join("\\" + c if c in r"\.+*?()[]{}|^$-" else c for c in text)
 
 
+def unique_stems(words: list[str]) -> list[str]:
+    """The words that no other one is the beginning of."""
+    out: list[str] = []
+    for w in sorted(set(words), key=len):
+        if not any(w.startswith(x) for x in out):
+            out.append(w)
+    return out
+
+
 def half_even(c: Column, digits: int) -> Column:
     return F.bround(c, digits)
 

@@ -8,6 +8,7 @@ candidates and one by document for contexts.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,10 +104,10 @@ def noise_reason(lemma: Column, surface: Column, sentence: Column, rules: list[d
     return F.coalesce(*found, F.lit(None).cast("string"))
 
 
-def hits(sents: DataFrame, markers: DataFrame, rules: list[dict[str, str]], p: Profile) -> tuple[DataFrame, DataFrame]:
-    """Hits and dropped phrase candidates. sents has contexts; its other columns go with the hits."""
+def hits(sents: DataFrame, markers: DataFrame, rules: list[dict[str, str]], p: Profile, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Hits and dropped phrase candidates. sents has contexts; its other columns go with the hits. `hold` is given what is read more than once."""
     resolved = resolve(phrase_candidates(sents, markers, p), p)
-    rows = sents.join(resolved, SENT, "left")
+    rows = hold(sents.join(resolved, SENT, "left"))
     carried = [c for c in sents.columns if c not in (*SENT, "lemmas")]
     norm = markers.where(F.col("unit_type") == "PHRASE").select("marker_id", F.trim("unit_norm").alias("target_lemma"), "marker_ord")
 
@@ -133,7 +134,7 @@ def hits(sents: DataFrame, markers: DataFrame, rules: list[dict[str, str]], p: P
         F.array_join(F.transform("over", lambda k: k["marker_id"]), ";").alias("phrase_overlap_ids"), F.col("reason").isNotNull().alias("is_noise"), F.coalesce("reason", F.lit("")).alias("noise_reason"),
         (~inside | F.lit(p.count_overlapping_word_hits)).alias("count_in_main_stats"), "target_lemma", "marker_ord",
     )
-    found = phrase_rows("kept", []).unionByName(word_rows)
+    found = hold(phrase_rows("kept", []).unionByName(word_rows))
     by_marker = p.overlap_mode.lower().strip() in ("keep_all", "all")
     order = [F.col("hit_type") == "WORD", *([F.when(F.col("hit_type") == "PHRASE", F.col("marker_ord"))] if by_marker else []), "token_idx", F.when(F.col("hit_type") == "PHRASE", F.col("marker_id")), "marker_ord"]
     found = numbered(found, [F.col("sent_id"), *order], "hit_id").drop("tokens", "marker_ord")

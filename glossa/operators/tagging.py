@@ -72,19 +72,23 @@ def with_flags(sents: DataFrame, p: Profile) -> DataFrame:
     """Sentence flags, hero name, speaker and addressee."""
     text = F.col("sent_text")
     trimmed = T.strip("sent_text")
+    # One look for any name and one for any verb saves most sentences the look for each.
+    named_at_all = T.matches(text, "|".join(map(T.escape, T.unique_stems([*p.names, *p.dative]))))
+    sents = sents.withColumn("_named", named_at_all).withColumn("_said", T.matches(text, verbs(p)))
     df = sents.withColumns(
         {
             "is_direct_speech": (trimmed != "") & T.matches(trimmed, p.direct_speech, ignore_case=False),
             "has_inner_speech": T.matches(text, T.word(p.inner_speech, p.letters)) if p.inner_speech else F.lit(False),
             "has_hero_pronoun": T.matches(text, T.word("|".join(p.pronouns), p.letters)),
-            "hero_name_variant": T.find_name(text, p),
-            "_hero_speaks": _first(text, speaker_rules(p)),
-            "_addressed": _first(text, addressee_rules(p)),
+            "hero_name_variant": F.when(F.col("_named"), T.find_name(text, p)).otherwise(""),
+            "_hero_speaks": F.when(F.col("_named") & F.col("_said"), _first(text, speaker_rules(p))),
+            "_addressed": F.when(F.col("_named"), _first(text, addressee_rules(p))),
             "speech_act": speech_act(text, p),
         }
     )
     (after, e_after), (before, e_before) = other_speaker_patterns(p)
-    df = df.withColumn("_after", F.regexp_extract(text, "(?d)" + after, 1)).withColumn("_before", F.regexp_extract(text, "(?d)" + before, 1))
+    found = lambda pattern: F.when(F.col("_said"), F.regexp_extract(text, "(?d)" + pattern, 1)).otherwise("")
+    df = df.withColumn("_after", found(after)).withColumn("_before", found(before))
     other = F.when((F.col("_after") != "") & (T.find_name("_after", p) == ""), F.struct(F.concat(F.lit(e_after), "_after").alias("evidence"), F.col("_after").alias("name"))).when(
         (F.col("_before") != "") & (T.find_name("_before", p) == ""), F.struct(F.concat(F.lit(e_before), "_before").alias("evidence"), F.col("_before").alias("name"))
     )
@@ -99,7 +103,7 @@ def with_flags(sents: DataFrame, p: Profile) -> DataFrame:
             "addressee_evidence": F.coalesce("_addressed.evidence", F.when(named, "hero_name_in_utterance"), F.lit("addressee_not_detected")),
             "addressee_name": F.coalesce("_addressed.name", "hero_name_variant"),
         }
-    ).drop("_hero_speaks", "_addressed", "_after", "_before", "_other")
+    ).drop("_hero_speaks", "_addressed", "_after", "_before", "_other", "_named", "_said")
 
 
 def with_links(sents: DataFrame, p: Profile) -> DataFrame:

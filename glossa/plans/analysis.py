@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ class Analysis:
     @cached_property
     def markers(self) -> DataFrame:
         s, levels = self.sources, None if self.p.experimental_phrases_in_main_stats else self.p.enabled_precision_levels
-        return self._kept(lexicon.registry(s.curated, s.listed, s.phrases, s.themes, self.p, levels))
+        return small(self._kept(lexicon.registry(s.curated, s.listed, s.phrases, s.themes, self.p, levels)))
 
     @cached_property
     def all_markers(self) -> DataFrame:
@@ -63,7 +64,7 @@ class Analysis:
     @cached_property
     def _hits(self) -> tuple[DataFrame, DataFrame]:
         cols = ["doc_id", "sent_id", "sent_text", "tokens", "lemmas", "prev_sent_text", "next_sent_text", "context_window", *tagging.TAGS]
-        return matching.hits(self.sentences.select(*cols), self.markers, self.rules, self.p)
+        return matching.hits(self.sentences.select(*cols), self.markers, self.rules, self.p, self._kept)
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -101,8 +102,29 @@ class Analysis:
         return stats.linked(self.counted, "WIDE")
 
 
+#: Most rows of a registry that is sent to all executors.
+SMALL = 50_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A table of at most `most` rows as a local one that joins broadcast; a larger one as it is, and Spark chooses its joins."""
+    if df.limit(most + 1).count() > most:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema))
+
+
 def rows(spark: SparkSession, values: tuple, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(values), schema)
+    """A local table, whose size Spark knows when it plans joins."""
+    names = [c.strip().split(" ") for c in schema.split(",")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    columns = list(zip(*values, strict=True)) if values else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(names, columns, strict=True)}))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer splits than cores is dealt out, since text work is bound by CPUs. A large table is left as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 CURATED = "id string, microtheme string, unit string, unit_type string, comment string"
@@ -115,7 +137,7 @@ BOOKS = "book_id int, book_name string, start_sent int, end_sent int"
 
 def latin_sources(spark: SparkSession, docs: DataFrame) -> Sources:
     """The bench profile's lexicon over any documents."""
-    listed = spark.createDataFrame(list(enumerate(P.LATIN_LISTED)), "ord int, value string")
+    listed = rows(spark, tuple(enumerate(P.LATIN_LISTED)), "ord int, value string")
     return Sources(
         docs, rows(spark, P.LATIN_CURATED, CURATED), listed, rows(spark, P.LATIN_PHRASES, PHRASES), rows(spark, P.LATIN_THEMES, THEMES), rows(spark, P.LATIN_EXCLUSIONS, EXCLUSIONS),
         rows(spark, P.LATIN_PARTS, PARTS), rows(spark, P.LATIN_BOOKS, BOOKS),
@@ -137,5 +159,5 @@ def bench_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _analyses:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        _analyses[key] = Analysis(latin_sources(spark, docs), bench_profile())
+        _analyses[key] = Analysis(latin_sources(spark, spread(docs)), bench_profile())
     return _analyses[key]
