@@ -26,9 +26,9 @@ KEY = ["doc_id", "text_hash"]
 #: Batches that the query feeds to the index family.
 BATCHES = 2
 #: Groups of more undecided entries than this are compared by strings dealt over the cluster, not in one task.
-CROWD = 20_000
+CROWD = 5_000
 #: Bytes of contexts that one task compares at a time.
-AT_ONCE = 16 << 20
+AT_ONCE = 1 << 20
 
 
 def suffix_rows(docs: DataFrame) -> DataFrame:
@@ -84,15 +84,15 @@ class IndexFamily:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text, wanted) to a row for each wanted entry: near, single, its low start and its bytes."""
+    """(doc_id, text_hash, text, wanted) to a row for each wanted entry: near, single, crowded, its low start and its bytes."""
     for batch in batches:
         out: list[tuple] = []
         for doc_id, key, text, wanted in zip(*(batch.column(c) for c in (*KEY, "text", "wanted")), strict=True):
             data = text.cast(pa.binary()).as_buffer().to_pybytes()
             e = entries(data)
-            out += [(doc_id.as_py(), key.as_py(), w["near"], w["single"], int(e.low[w["entry"]]), data[e.low[w["entry"]] : e.high[w["entry"]] + LENGTH]) for w in wanted.as_py()]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], [*KEY, "near", "single", "low", "context"])
+            out += [(doc_id.as_py(), key.as_py(), w["near"], w["single"], w["crowded"], int(e.low[w["entry"]]), data[e.low[w["entry"]] : e.high[w["entry"]] + LENGTH]) for w in wanted.as_py()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], [*KEY, "near", "single", "crowded", "low", "context"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +140,12 @@ def repeats(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD) -> tupl
     discard(rows, *(level for _, level in family.levels))
     wholes = materialise(hits.where("several").groupBy("near", "whole").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "entry")).alias("one")), "wholes")
     full = hits.where(~F.col("several")).select(*KEY, "entry").union(hits.where("several").join(wholes.where(F.col("copies") > 1), ["near", "whole"], "left_semi").select(*KEY, "entry"))
-    wanted = wholes.select("one.*", "near", (F.col("copies") == 1).alias("single"))
-    by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("entry", "near", "single")).alias("wanted"))
-    contexts = materialise(_with(docs.select(*KEY, "text").distinct(), by_doc, ["wanted"], "inner").mapInArrow(_contexts, "doc_id long, text_hash long, near long, single boolean, low int, context binary"), "contexts")
-    groups = contexts.groupBy("near").agg(F.count("*").alias("n"))
-    crowded = groups.where(F.col("n") > crowd).select("near")
-    few = contexts.join(crowded, "near", "left_anti").repartition("near").sortWithinPartitions("near").mapInArrow(_compared, "doc_id long, text_hash long, start int, end int")
-    strings = materialise(contexts.join(crowded, "near", "left_semi").mapInArrow(_strings, "d1 long, d2 long, doc_id long, text_hash long, start int, single boolean"), "strings")
+    crowds = wholes.groupBy("near").agg(F.count("*").alias("n")).select("near", (F.col("n") > crowd).alias("crowded"))
+    wanted = wholes.join(crowds.where("crowded"), "near", "left").select("one.*", "near", (F.col("copies") == 1).alias("single"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("entry", "near", "single", "crowded")).alias("wanted"))
+    contexts = materialise(_with(docs.select(*KEY, "text").distinct(), by_doc, ["wanted"], "inner").mapInArrow(_contexts, "doc_id long, text_hash long, near long, single boolean, crowded boolean, low int, context binary"), "contexts")
+    few = contexts.where("NOT crowded").drop("crowded").repartition("near").sortWithinPartitions("near").mapInArrow(_compared, "doc_id long, text_hash long, start int, end int")
+    strings = materialise(contexts.where("crowded").mapInArrow(_strings, "d1 long, d2 long, doc_id long, text_hash long, start int, single boolean"), "strings")
     again = strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("d1", "d2")
     many = strings.where("single").join(again, ["d1", "d2"], "left_semi").select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
     return full, few.union(many)

@@ -27,7 +27,7 @@ def corpus(seed, n=60):
 # ------------------------------------------------------------------ op3
 
 
-@pytest.mark.parametrize(("batches", "crowd"), [(1, 20_000), (4, 2)])
+@pytest.mark.parametrize(("batches", "crowd"), [(1, 5_000), (4, 2)])
 def test_repeated_bytes_by_definition(spark, batches, crowd):
     rows = corpus(batches)
     seen = Counter()
