@@ -243,7 +243,7 @@ def labelled(spark, n, bad, good, label):
     for i in range(n):
         y = i % 4 != 0 if label == "quality" else i % 4 == 0
         rows.append((i, bad(rng) if (y == (label == "toxic")) else good(rng)))
-        if i % 2 == 0 or y:
+        if i % 3 == 0 if label == "quality" else i % 2 == 0 or y:  # quality needs rows without a label, too
             labels.append((i, int(y)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, f"doc_id long, {label} int")
 
