@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from glossa.llm.common import documents, materialise
 from glossa.llm.components import components
+from glossa.llm.resemblance import near_copies
 
 
 def fingerprint(text: str, size: int = 3) -> int:
@@ -82,9 +83,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """All columns of one row of each group of near-duplicates: the row of the smallest doc_id; of repeated rows with that id, one. Rows without an id are kept."""
-    kept = near_duplicates(docs, size, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def keep_one(docs: DataFrame, size: int = 3, radius: int = 2, exact: bool = False) -> DataFrame:
+    """All columns of one row of each group of near-duplicates: the row of the smallest doc_id; of repeated rows with that id, one. Rows without an id are kept.
+
+    exact: groups are of texts with a Jaccard similarity of 4/5 of their shingles (resemblance.near_copies) instead of fingerprints within the radius.
+    """
+    found = near_copies(docs, size) if exact else near_duplicates(docs, size, radius)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.select(docs.columns).union(docs.where(F.col("doc_id").isNull()).select(docs.columns))
 
