@@ -22,7 +22,7 @@ def scan_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                base, every = secrets.scan(text or "")
+                base, every = secrets.scan(text or "", secrets.WHOLE)
                 kinds = [s[2] for s in base]
                 rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(secrets.listed(base).encode()).hexdigest(), secrets.listed(every)))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -39,7 +39,7 @@ def redact_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x and secrets.redact(x, secrets.scan(x)[1]) for x in batch.column(at).to_pylist()]
+            texts = [x and secrets.redact(x, secrets.scan(x, secrets.WHOLE)[1]) for x in batch.column(at).to_pylist()]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(order))]
             yield pa.RecordBatch.from_arrays(columns, order)
 

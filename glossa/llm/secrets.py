@@ -4,9 +4,10 @@ Base kinds (always reported): assign, access, hex. Weak kinds are reported only
 one scope: `keyid` (a mixed-class token that may be a secret key) next to an access identifier or an endpoint, and
 `endpoint` (a URL with a host) next to an access identifier or a keyid that itself is linked to one.
 
-Linking is an interval join: each part spans [start - reach, end + reach) cut to its scope (a run of lines without a
-blank line); two parts link if these intervals meet. Both sides are sorted by start and swept once, so a text with n
-parts costs n log n, and no pairs are emitted.
+Linking is an interval join: each part spans its scope (a run of lines without a blank line), which Limits.reach cuts
+to [start - reach, end + reach) unless it is None; a part links to what meets this interval, which isn't widened itself.
+Both sides are sorted by start and searched, so a text with n parts costs n log n, and no pairs are emitted. The op9
+query and the pipeline link across whole scopes (WHOLE).
 
 Defined results: null or empty texts have no spans; overlapping weak and base spans leave only the base one; all
 offsets are code points, ends exclusive.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -35,7 +37,10 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "keyid": 3, "endpoint": 4}
 class Limits:
     assign: int = 8
     access: int = 16
-    reach: int = 200
+    reach: int | None = 200
+
+
+WHOLE = Limits(reach=None)
 
 
 def base_spans(text: str, limits: Limits = Limits()) -> list[Span]:
@@ -61,40 +66,43 @@ class _Scopes:
         self.cuts = [m.start() for m in BLANK.finditer(text)]
         self.size = len(text)
 
-    def around(self, span: Span, reach: int) -> tuple[int, int]:
+    def around(self, span: Span, reach: int | None) -> tuple[int, int]:
         i = bisect_right(self.cuts, span[0])
         low = self.cuts[i - 1] if i else 0
         high = self.cuts[i] if i < len(self.cuts) else self.size
-        return max(low, span[0] - reach), min(max(high, span[1]), span[1] + reach)
+        high = max(high, span[1])
+        return (low, high) if reach is None else (max(low, span[0] - reach), min(high, span[1] + reach))
+
+
+def _furthest(spans: list[Span]) -> list[int]:
+    """The largest end of each span and those before it."""
+    return list(accumulate((s[1] for s in spans), max))
 
 
-def _linked(parts: list[Span], others: list[Span], scopes: _Scopes, reach: int) -> list[Span]:
-    """The parts whose widened interval meets one of the others; others are sorted by start."""
-    starts, furthest, top = [o[0] for o in others], [], -1
-    for o in others:
-        top = max(top, o[1])
-        furthest.append(top)
+def _linked(parts: list[Span], others: list[Span], scopes: _Scopes, reach: int | None) -> list[Span]:
+    """The parts whose scope, as far as the reach, meets one of the others; others are sorted by start."""
+    starts, furthest = [o[0] for o in others], _furthest(others)
     out = []
     for p in parts:
         low, high = scopes.around(p, reach)
         i = bisect_left(starts, high)
-        if i and furthest[i - 1] > low and any(o[1] > low for o in reversed(others[:i]) if o[0] < high):
+        if i and furthest[i - 1] > low:
             out.append(p)
     return out
 
 
 def linked_spans(text: str, base: list[Span], limits: Limits = Limits()) -> list[Span]:
-    """Weak candidates with a complementary part in reach."""
+    """Weak candidates with a complementary part in their scope and reach."""
     access = [s for s in base if s[2] == "access"]
     endpoints = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
     if not access and not endpoints:
         return []
     taken = sorted(base + endpoints)
-    starts = [s[0] for s in taken]
+    starts, furthest = [s[0] for s in taken], _furthest(taken)
 
     def free(start: int, end: int) -> bool:
         i = bisect_left(starts, end)
-        return not any(taken[j][1] > start for j in range(max(0, i - 8), i))
+        return not i or furthest[i - 1] <= start
 
     weak = [(m.start(), m.end(), "keyid") for m in TOKEN.finditer(text) if _mixed(m.group()) and free(m.start(), m.end())]
     scopes = _Scopes(text)

@@ -214,6 +214,22 @@ def test_secrets_base_and_links():
     assert secrets.scan("ſecret: abcdefghij")[1] == []  # letters of the keywords are ASCII
 
 
+def test_secrets_link_across_the_whole_scope(spark):
+    for between, linked in (("x " * 5_000, True), ("x \n" * 5_000, True), ("x " * 400 + "\n\n", False)):
+        text = f"AKIA{'B' * 16} {between}{KEY}"
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert ("keyid" in op09_secrets.scan_texts(docs).first()["spans"]) == linked
+        assert (KEY not in op09_secrets.redact_texts(docs).first()["text"]) == linked
+
+
+def test_secret_in_a_long_span_with_many_others_is_not_listed_twice():
+    inner = "-".join("AKIA" + "B" * 16 for _ in range(12))
+    text = f"token={inner}.{KEY} AKIA{'C' * 16}"
+    every = secrets.scan(text)[1]
+    first = next(s for s in every if s[2] == "assign")
+    assert not [s for s in every if s[2] == "keyid" and s[0] < first[1] and first[0] < s[1]]
+
+
 def test_base_by_definition():
     import re
 
