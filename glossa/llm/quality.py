@@ -66,7 +66,7 @@ def features(text: str) -> np.ndarray:
     lines = [x for x in text.split("\n") if x.strip()]
     distinct = len(set(lines))
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    packed = len(zlib.compress(data[: 1 << 16], 1)) / min(n, 1 << 16) if n else 1
+    packed = len(zlib.compress(data, 1)) / n
     out[90:] = [
         len(counts) / m,
         common[0][1] / m if common else 0,

@@ -253,6 +253,13 @@ def test_op9_rows(spark):
 # ------------------------------------------------------------------ op1, op6
 
 
+def test_compression_covers_the_whole_text():
+    rng = random.Random(3)
+    start = "".join(rng.choice("abcdefghijklmnop ") for _ in range(1 << 16))
+    packed = 90 + 9
+    assert quality.features(start + "x" * (1 << 18))[packed] < 0.5 * quality.features(start)[packed]
+
+
 def labelled(spark, n, bad, good, label):
     rng = random.Random(2)
     rows, labels = [], []
