@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from typing import Self
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,19 +135,26 @@ def pieces(docs: DataFrame, path: str | None = None, longest: int = 2048, end: i
 
 
 def pack_pieces(items: DataFrame, capacity: Capacity = Capacity(), shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """items with sequence_id and offset. Shards are dealt by a hash of the whole row, so neither long documents nor repeated rows gather in one; their number follows the number of items."""
-    shards = max(1, items.count() // shard_items)
+    """items with sequence_id and offset: a row for each row.
+
+    The items are written once, each with a number of its place; shards are dealt by a hash of that number, so neither
+    long documents nor repeated rows gather in one, and an executor that is lost can't change the shards. Their number
+    follows the number of items. Within a shard the order is (falling length, doc_id, piece, number). No rows give no rows.
+    """
+    fields = items.columns
     schema = items.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long"
+    numbered = materialise(items.withColumn("_place", F.monotonically_increasing_id()), "items")
+    shards = max(1, numbered.count() // shard_items)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").drop(columns="_shard")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("_place", "ascending")])
         bins, offsets = pack(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=bins * shards + int(key[0]), offset=offsets)
+        return rows.select(fields).append_column("sequence_id", pa.array(bins * shards + key[0].as_py())).append_column("offset", pa.array(offsets))
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long")
-    return items.withColumn("_shard", shard).groupBy("_shard").applyInPandas(run, schema)
+    shard = F.pmod(F.xxhash64("_place"), F.lit(shards)).cast("long")
+    return numbered.withColumn("_shard", shard).groupBy("_shard").applyInArrow(run, schema)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces are written to the shared folder once: they are counted, then packed."""
-    return pack_pieces(materialise(pieces(documents(spark, sf_dir)), "pieces"))
+    """The pieces are written to the shared folder once: they are counted, then packed. Repeated rows are packed each; equal lengths go by doc_id."""
+    return pack_pieces(pieces(documents(spark, sf_dir)))
