@@ -16,7 +16,7 @@ SPANS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans str
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
-    """doc_id with the counts, the digest of the base spans and all spans of each text; null texts count as empty. Row-local: no shuffle."""
+    """doc_id with the counts, the digest of the base spans and all spans of each text; null texts count as empty; other columns are left out. Row-local: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -33,7 +33,7 @@ def scan_texts(docs: DataFrame) -> DataFrame:
 
 
 def redact_texts(docs: DataFrame) -> DataFrame:
-    """All rows and columns with the spans in `text` masked; null stays null."""
+    """All rows and columns with the spans in `text` masked: null stays null, other columns (of any name) and repeated rows stay as they are."""
     order, schema = docs.columns, docs.schema
     at = order.index("text")
 
@@ -47,4 +47,5 @@ def redact_texts(docs: DataFrame) -> DataFrame:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row, repeats and null ids included; null texts are empty and have no spans; no rows give none. Scopes are whole."""
     return scan_texts(documents(spark, sf_dir))

@@ -79,14 +79,19 @@ def _furthest(spans: list[Span]) -> list[int]:
     return list(accumulate((s[1] for s in spans), max))
 
 
+def _meets(span: Span, starts: list[int], furthest: list[int]) -> bool:
+    """Whether a span overlaps one of those with these starts, in order, and these largest ends so far."""
+    i = bisect_left(starts, span[1])
+    return i > 0 and furthest[i - 1] > span[0]
+
+
 def _linked(parts: list[Span], others: list[Span], scopes: _Scopes, reach: int | None) -> list[Span]:
     """The parts whose scope, as far as the reach, meets one of the others; others are sorted by start."""
     starts, furthest = [o[0] for o in others], _furthest(others)
     out = []
     for p in parts:
         low, high = scopes.around(p, reach)
-        i = bisect_left(starts, high)
-        if i and furthest[i - 1] > low:
+        if _meets((low, high, ""), starts, furthest):
             out.append(p)
     return out
 
@@ -99,17 +104,14 @@ def linked_spans(text: str, base: list[Span], limits: Limits = Limits()) -> list
         return []
     taken = sorted(base + endpoints)
     starts, furthest = [s[0] for s in taken], _furthest(taken)
-
-    def free(start: int, end: int) -> bool:
-        i = bisect_left(starts, end)
-        return not i or furthest[i - 1] <= start
-
-    weak = [(m.start(), m.end(), "keyid") for m in TOKEN.finditer(text) if _mixed(m.group()) and free(m.start(), m.end())]
+    base_starts, base_furthest = [s[0] for s in base], _furthest(base)
+    tokens = [(m.start(), m.end(), "keyid") for m in TOKEN.finditer(text) if _mixed(m.group())]
+    weak = [t for t in tokens if not _meets(t, starts, furthest)]
     scopes = _Scopes(text)
     keys = _linked(weak, sorted(access + endpoints), scopes, limits.reach)
     secrets = [s for s in base if s[2] != "hex"] + _linked(keys, access, scopes, limits.reach)
-    hosts = [e for e in _linked(endpoints, sorted(secrets), scopes, limits.reach) if not any(b[0] < e[1] and e[0] < b[1] for b in base)]
-    return keys + hosts
+    hosts = _linked(endpoints, sorted(secrets), scopes, limits.reach)
+    return keys + [e for e in hosts if not _meets(e, base_starts, base_furthest)]
 
 
 def scan(text: str, limits: Limits = Limits()) -> tuple[list[Span], list[Span]]:
