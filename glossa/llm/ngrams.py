@@ -1,14 +1,18 @@
-"""Class-conditional Kneser-Ney models over words, for two classes that share their backoff counts.
+"""Class-conditional Kneser-Ney models over sub-word units, for two classes that share their backoff counts.
 
-A word is drawn as its stem (the first letters) and then as the word given the stem:
+A word is drawn as its stem (the first letters) and then, with the stem as history, as the word itself:
 
     P_c(stem)        = max(n_c(stem) - D, 0) / N_c        + a_c       * S(stem)
     P_c(word | stem) = max(n_c(word) - D, 0) / n_c(stem)  + b_c(stem) * T(word | stem)
 
-n_c counts the class's documents that hold the word, so one document can't make evidence; D takes all of what fewer
-than D documents say. S is the Kneser-Ney continuation share (in how many different words a stem is seen) and T the
-word's share in its stem, both over all documents of both classes and of none: words that the classes hardly show get
-the same probability from either model and say nothing.
+n_c(word) counts the class's documents that hold the word, so one document can't make evidence; n_c(stem) and N_c are
+sums of these. S is the Kneser-Ney continuation share (in how many different words a stem is seen) and T the word's
+share in its stem, both over all documents of both classes and of none. a_c and b_c are the discounted mass, so that
+P_c(stem) * P_c(word | stem) sums to 1 over the words of the corpus. Words that the classes hardly show get the same
+probability from either model but for a_c: they say next to nothing.
+
+Histories of whole words were tried as well: evidence of pairs of words is so thin in samples of labelled rows that
+held-out recall fell by 0.05. Stems carry evidence to forms that the sample doesn't hold.
 """
 
 from __future__ import annotations
@@ -65,34 +69,30 @@ class Ratios:
         return out
 
 
-def fit(stems: dict[str, np.ndarray], words: dict[str, np.ndarray], totals: dict[str, float], discount: float = 2.0) -> Ratios:
-    """stems: hash, n0, n1, all, kinds (different words); words: hash, stem, n0, n1, all. totals: over the whole corpus, pruned rows included: n0, n1 (stem counts of each class), kinds, seen0, seen1 (stems with a count)."""
-    order = np.argsort(stems["hash"])
+def fit(stems: dict[str, np.ndarray], words: dict[str, np.ndarray], totals: dict[str, float], discount: float) -> Ratios:
+    """stems: stem, n0, n1, n, kinds (different words) and cut0, cut1 (sums of the words' discounts); words: word, stem, n0, n1, n; each with all rows of a class count above the discount.
+
+    totals: over the whole corpus, rows left out included: n0, n1, kinds and cut0, cut1 (sums of the stems' discounts).
+    """
+    order = np.argsort(stems["stem"])
     s = {k: v[order] for k, v in stems.items()}
-    order = np.argsort(words["hash"])
+    order = np.argsort(words["word"])
     w = {k: v[order] for k, v in words.items()}
-    share = (s["kinds"] + 1.0) / (totals["kinds"] + 1.0)
-    ratio, backoff = np.zeros(len(share)), []
-    at = np.minimum(np.searchsorted(s["hash"], w["stem"]), max(0, len(s["hash"]) - 1)) if len(s["hash"]) else np.zeros(len(w["hash"]), int)
-    word_ratio, unseen = np.zeros(len(w["hash"])), np.zeros(len(share))
+    at = np.searchsorted(s["stem"], w["stem"])
+    share = s["kinds"] / max(1.0, totals["kinds"])
+    within = w["n"] / np.maximum(s["n"], 1)[at] if len(at) else np.zeros(0)
+    stem_ratio, unseen_word, word_ratio, unseen_stem = np.zeros(len(share)), np.zeros(len(share)), np.zeros(len(at)), 0.0
     for c, sign in ((1, 1.0), (0, -1.0)):
-        n, total = s[f"n{c}"].astype(float), max(1.0, totals[f"n{c}"])
-        left = min(1.0, discount * max(1.0, totals[f"seen{c}"]) / total)
-        left = max(left, 1e-3)
-        ratio += sign * np.log(np.maximum(n - discount, 0) / total + left * share)
-        backoff.append((sign, left))
-        m = w[f"n{c}"].astype(float)
-        kept = np.zeros(len(share))
-        np.add.at(kept, at, np.maximum(m - discount, 0)) if len(m) else None
-        occurrences = np.zeros(len(share))
-        np.add.at(occurrences, at, m) if len(m) else None
-        base = np.maximum(np.maximum(n, occurrences), 1.0)
-        rest = np.clip(1 - kept / base, 1e-3, 1.0)
-        if len(m):
-            t = w["all"] / np.maximum(s["all"][at], 1)
-            word_ratio += sign * np.log(np.maximum(m - discount, 0) / base[at] + rest[at] * t)
-        unseen += sign * np.log(rest)
-    return Ratios(s["hash"], ratio, unseen, w["hash"], word_ratio, sum(sign * np.log(left) for sign, left in backoff))
+        total = totals[f"n{c}"]
+        left = totals[f"cut{c}"] / total if total else 1.0
+        n = s[f"n{c}"].astype(float)
+        rest = np.where(n > 0, s[f"cut{c}"] / np.maximum(n, 1), 1.0)
+        stem_ratio += sign * np.log(np.maximum(n - discount, 0) / max(1.0, total) + left * share)
+        unseen_word += sign * np.log(rest)
+        unseen_stem += sign * np.log(left)
+        if len(at):
+            word_ratio += sign * np.log(np.maximum(w[f"n{c}"] - discount, 0) / np.maximum(n, 1)[at] + rest[at] * within)
+    return Ratios(s["stem"], stem_ratio, unseen_word, w["word"], word_ratio, unseen_stem)
 
 
 def features(ratios: np.ndarray, window: int = 16, strong: float = 2.0) -> np.ndarray:

@@ -1,4 +1,13 @@
-"""Query op6: toxicity by class-conditional Kneser-Ney models with shared backoff counts."""
+"""Query op6: toxicity by class-conditional Kneser-Ney models with shared backoff counts.
+
+Class counts come from a bounded sample of labelled rows, the shared counts they back off to from every word of every
+document. Stems and words that no class has in more than DISCOUNT documents have the same ratio whatever their counts,
+so the driver needs rows for the others only, and of those there are no more than words in the sample.
+
+Defined results: null texts are empty and score as no words do; rows that repeat an id with one text are learnt from
+once, and score alike; of several labels of one id the highest counts; null ids aren't learnt from; without documents
+or labels of both classes the score is one constant. Samples and sums don't depend on the order of rows.
+"""
 
 from __future__ import annotations
 
@@ -13,15 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.llm import logistic, ngrams
-from glossa.llm.common import documents, labelled_sample, materialise, release, remainder, table
+from glossa.llm.common import discard, documents, labelled_sample, materialise, release, remainder, table
 
 #: Labelled rows of each class that the class counts and the calibration may use; the shared counts take every document.
 SAMPLE = 20_000
-#: Share of the sample that calibrates (its words aren't counted for a class).
+#: One in so many rows of the sample calibrates (its words aren't counted for a class).
 CALIBRATION = 4
-#: Most stems and words that the model keeps, those in most documents first.
-MODEL_ROWS = 400_000
-DISCOUNT = 2.0
+#: Discount of each count: what so many documents of a class or fewer say is left to the shared counts.
+DISCOUNT = 3.0
 
 
 @dataclass
@@ -50,76 +58,46 @@ class _Words:
         return out
 
 
-def _count(classes: dict[int, int]):
-    """For each partition: the documents, by class (-1: none), that hold each word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        counts: dict[int, Counter] = {-1: Counter(), 0: Counter(), 1: Counter()}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = list(dict.fromkeys([*counts[-1], *counts[0], *counts[1]]))
-            if words:
-                n = [np.array([counts[c].get(w, 0) for w in words], np.int64) for c in (-1, 0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ngrams.stem_hash(w) for w in words], pa.int64()),
-                        pa.array([ngrams.word_hash(w) for w in words], pa.int64()),
-                        pa.array(n[1]), pa.array(n[2]), pa.array(n[0] + n[1] + n[2]),
-                    ],
-                    ["stem", "word", "n0", "n1", "n"],
-                )
-            for c in counts.values():
-                c.clear()
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts[classes.get(doc_id, -1)].update(set(ngrams.words_of(text)))
-            if sum(map(len, counts.values())) > 150_000:
-                yield from flush()
-        yield from flush()
-
-    return run
-
-
-def _bounded(rows: DataFrame, most: int) -> DataFrame:
-    """The rows with the highest counts n, at most `most`: the least count is found from a histogram of bounded size."""
-    least, total = 1, 0
-    for r in rows.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator():
-        total += r["count"]
-        if total > most:
-            least = r["n"] + 1
-            break
-    return rows.where(F.col("n") >= least)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label; -1: none) to the documents of a partition, by label, that hold each word; sums so far are given out when they are many."""
+    release()
+    counts: dict[int, Counter] = {-1: Counter(), 0: Counter(), 1: Counter()}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        words = list(dict.fromkeys([*counts[-1], *counts[0], *counts[1]]))
+        if words:
+            hashes = [[h(w) for w in words] for h in (ngrams.stem_hash, ngrams.word_hash)]
+            n = [[counts[c].get(w, 0) for w in words] for c in (0, 1, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*hashes, *n)], ["stem", "word", "n0", "n1", "n"])
+        for c in counts.values():
+            c.clear()
+
+    for batch in batches:
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            counts[label].update(set(ngrams.words_of(text.as_py())))
+        if sum(map(len, counts.values())) > 150_000:
+            yield from flush()
+    yield from flush()
+    release()
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Model:
-    """Class counts from a bounded sample of labelled rows that aren't held out, shared counts from all documents.
-
-    What is counted is shuffled as (word, counts) sums of each partition. The model is bounded by MODEL_ROWS. Without
-    labels of both classes the score is a constant.
-    """
+    """The model of docs (doc_id, text without nulls) and labels (doc_id, toxic). What is counted is shuffled as (word, counts) sums of each partition."""
     picked = labelled_sample(docs, labels, "toxic", modulus, held_out, sample)
-    learn = {d: c for i, (d, c) in enumerate(picked) if i % CALIBRATION}
-    check = {d: c for i, (d, c) in enumerate(picked) if not i % CALIBRATION}
-    counted = docs.mapInArrow(_count(learn), "stem long, word long, n0 long, n1 long, n long")
+    learn = picked.where(F.col("place") % CALIBRATION != 0).select("text", "label")
+    every = docs.select("text", F.lit(-1).alias("label")).unionByName(learn)
+    counted = every.mapInArrow(_count, "stem long, word long, n0 long, n1 long, n long")
     words = materialise(counted.groupBy("word").agg(F.min("stem").alias("stem"), *(F.sum(c).alias(c) for c in ("n0", "n1", "n"))), "words")
-    stems = materialise(words.groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n")), F.count("*").alias("kinds")), "stems")
-    totals = stems.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("kinds").alias("kinds"), F.sum((F.col("n0") > 0).cast("int")).alias("seen0"), F.sum((F.col("n1") > 0).cast("int")).alias("seen1")).first().asDict()
-    totals = {k: float(v or 0) for k, v in totals.items()}
+    cut = {f"cut{c}": F.least(f"n{c}", F.lit(DISCOUNT)) for c in (0, 1)}
+    stems = words.withColumns(cut).groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n", *cut)), F.count("*").alias("kinds"))
+    stems = materialise(stems, "stems")
+    totals = stems.withColumns(cut).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "kinds", *cut))).first().asDict()
     says = (F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)
-    s = _bounded(stems.where(says), MODEL_ROWS).toPandas()
-    w = _bounded(words.where(says), MODEL_ROWS).toPandas()
-    ratios = ngrams.fit(
-        {"hash": s["stem"].to_numpy(), "n0": s["n0"].to_numpy(), "n1": s["n1"].to_numpy(), "all": s["n"].to_numpy(), "kinds": s["kinds"].to_numpy()},
-        {"hash": w["word"].to_numpy(), "stem": w["stem"].to_numpy(), "n0": w["n0"].to_numpy(), "n1": w["n1"].to_numpy(), "all": w["n"].to_numpy()},
-        totals, DISCOUNT,
-    )
-    chosen = docs.where(F.col("doc_id").isin(list(check))) if len(check) < 50 else docs.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in check], "doc_id long")), "doc_id", "left_semi")
-    rows = chosen.mapInArrow(_features(ratios), f"doc_id long, {FEATURES}").toPandas() if check else None
-    x = rows[NAMES].to_numpy() if check else np.zeros((0, len(NAMES)))
-    y = np.array([check[d] for d in rows["doc_id"]], float) if check else np.zeros(0)
-    return Model(ratios, logistic.fit(x, y, ridge=0.1))
+    s, w = stems.where(says).toPandas(), words.where(says).toPandas()
+    discard(words, stems)
+    ratios = ngrams.fit({c: s[c].to_numpy() for c in s}, {c: w[c].to_numpy() for c in w}, {k: float(v or 0) for k, v in totals.items()}, DISCOUNT)
+    check = picked.where(F.col("place") % CALIBRATION == 0).mapInArrow(_features(ratios), f"label int, {FEATURES}").toPandas()
+    return Model(ratios, logistic.fit(check[NAMES].to_numpy(float), check["label"].to_numpy(float), ridge=0.1))
 
 
 NAMES = ["mean", "window", "top", "evidence", "share"]
@@ -146,24 +124,25 @@ def _features(ratios: ngrams.Ratios):
         of = _vectors(ratios)
         for batch in batches:
             x = np.array([of(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, x.T)], ["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, x.T)], ["label", *NAMES])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` added (replaced, if there is one): 0 to 1. Empty and null texts get the model's score of no words."""
-    kept = docs.drop("score")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the score, 0 to 1, as column `name` (replaced, if there is one); all rows and other columns stay."""
+    kept = docs.drop(name)
     order = kept.columns
     at = order.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _vectors(model.ratios)
         for batch in batches:
-            x = np.array([of(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.calibration.score(x))], [*order, "score"])
+            x = np.array([of(t.as_py() or "") for t in batch.column(at)]).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.calibration.score(x))], [*order, name])
+        release()
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
