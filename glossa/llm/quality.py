@@ -5,7 +5,11 @@ A linear scorer g over document statistics minimises the non-negative unbiased r
     R(g) = prior * R_p+(g) + max(0, R_u-(g) - prior * R_p-(g))
 
 on trusted positives and unlabelled web text; where the bracket falls below zero, the step goes against it, so the
-model can't drive the negative part below nothing. The class prior is estimated, then the margin is calibrated.
+model can't drive the negative part below nothing. The class prior is estimated first. No labelled negative has a part
+in it: the margin's scale and offset minimise the same risk with the logistic loss, which makes scores probabilities.
+
+All that is needed of unlabelled rows are sums over them: a function `sums(f)` gives the total of f(rows) over all rows,
+wherever they are. Each step of the descent is one such sum over every unlabelled row.
 """
 
 from __future__ import annotations
@@ -13,11 +17,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
-from glossa.llm import logistic
 from glossa.llm.logistic import sigmoid
 
 #: Classes of code points: lower, upper, digit, space, line end, sentence mark, quote or bracket, symbol, other.
@@ -93,73 +97,119 @@ class Model:
     weights: np.ndarray
     bias: float
     prior: float
-    calibration: logistic.Logistic
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def shaped(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+        return np.clip(self.shaped(x) @ self.weights + self.bias, -EDGE, EDGE)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.calibration.score(np.clip(self.margin(x), -30, 30)[:, None])
+        return sigmoid(self.slope * self.margin(x) + self.offset)
+
+
+Sums = Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray]
+#: Margins are cut here; the calibration counts them in bins of this width.
+EDGE, BIN = 30.0, 0.1
+BINS = np.arange(-EDGE, EDGE + BIN / 2, BIN)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives in unlabelled text, by the lowest ratio of the two score distributions' upper and lower tails.
+def estimate_prior(positive: np.ndarray, above: np.ndarray, unlabelled: float) -> float:
+    """Share of positives among unlabelled rows, by the lowest ratio of the two distributions' upper tails.
 
-    For a scorer of positive against unlabelled rows, the share of unlabelled rows below a threshold t that are
-    positive is prior * F_p(t): so prior <= (1 - F_u(t)) / (1 - F_p(t)) for every t; the least bound is taken where
-    both tails hold enough rows.
+    positive: margins of positives; above: how many unlabelled rows have at least the margin of each of tails(positive);
+    unlabelled: how many there are. As the positives among the unlabelled rows at or above a threshold are prior * F_p of all,
+    prior <= F_u / F_p at every threshold; the least bound is taken where both tails hold enough rows.
     """
-    if not len(positive) or not len(unlabelled):
-        return 0.5
     bounds = []
-    for t in np.quantile(positive, np.linspace(0.0, 0.9, 46)):
-        p, u = (positive >= t).mean(), (unlabelled >= t).mean()
-        if p * len(positive) >= 30 and u * len(unlabelled) >= 30:
-            bounds.append((u + 1.0 / np.sqrt(len(unlabelled))) / p)
+    for t, n in zip(tails(positive), above, strict=True):
+        p = (positive >= t).mean()
+        if p * len(positive) >= 30 and n >= 30:
+            bounds.append((n / unlabelled + 1.0 / np.sqrt(unlabelled)) / p)
     return float(np.clip(min(bounds, default=0.5), 0.05, 0.99))
 
 
-def _ascend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
-    """Adam on minibatches of the non-negative risk with the sigmoid loss l(z) = sigmoid(-z)."""
-    rng = np.random.default_rng(seed)
-    theta = np.zeros(p.shape[1] + 1)
+def tails(positive: np.ndarray) -> np.ndarray:
+    return np.quantile(positive, np.linspace(0.0, 0.9, 46))
+
+
+def _bare(model: Model) -> Model:
+    """A model whose functions can be sent with little."""
+    return Model(model.mean, model.scale, model.weights, model.bias, model.prior)
+
+
+def _contrast(model: Model, p: np.ndarray, sums: Sums, n: float) -> Model:
+    """The linear scorer that best parts positives from unlabelled rows in the least-squares sense."""
+    bare = _bare(model)
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        z = bare.shaped(x)
+        return np.concatenate([z.sum(axis=0), (z.T @ z).reshape(-1)])
+
+    got = sums(moments)
+    mean = got[:SIZE] / n
+    spread = got[SIZE:].reshape(SIZE, SIZE) / n - np.outer(mean, mean)
+    return Model(model.mean, model.scale, np.linalg.solve(spread + 0.05 * np.eye(SIZE), p.mean(axis=0) - mean), 0.0, 0.5)
+
+
+def _descend(model: Model, p: np.ndarray, sums: Sums, n: float, steps: int, rate: float, decay: float) -> None:
+    """Adam steps on the non-negative risk with the sigmoid loss l(z) = sigmoid(-z), each over all rows."""
+    theta = np.zeros(SIZE + 1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    size = 512
     for step in range(1, steps + 1):
-        a = p[rng.integers(0, len(p), min(size, len(p)))]
-        b = u[rng.integers(0, len(u), min(2 * size, len(u)))]
-        za, zb = a @ theta[:-1] + theta[-1], b @ theta[:-1] + theta[-1]
-        sa, sb = sigmoid(za), sigmoid(zb)
-        da, db = sa * (1 - sa), sb * (1 - sb)  # the loss of a negative, sigmoid(z), has this derivative
-        negative = sb.mean() - prior * sa.mean()
-        grad_positive = -np.append(da @ a, da.sum()) / len(a)
-        grad_negative = np.append(db @ b, db.sum()) / len(b) - prior * np.append(da @ a, da.sum()) / len(a)
-        grad = prior * grad_positive + grad_negative if negative >= 0 else -grad_negative
+        model.weights, model.bias = theta[:-1].copy(), float(theta[-1])
+        bare = _bare(model)
+
+        def unlabelled(x: np.ndarray, bare: Model = bare) -> np.ndarray:
+            z = bare.shaped(x)
+            s = sigmoid(z @ bare.weights + bare.bias)
+            d = s * (1 - s)  # the loss of a negative, sigmoid(z), has this derivative
+            return np.concatenate([d @ z, [d.sum(), s.sum()]])
+
+        u = sums(unlabelled) / n
+        s = sigmoid(p @ theta[:-1] + theta[-1])
+        d = s * (1 - s)
+        positive = -np.append(d @ p, d.sum()) / len(p)
+        negative = u[:-1] + model.prior * positive
+        grad = model.prior * positive + negative if u[-1] >= model.prior * s.mean() else -negative
         grad[:-1] += decay * theta[:-1]
         first = 0.9 * first + 0.1 * grad
-        second = 0.999 * second + 0.001 * grad**2
-        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return theta[:-1], float(theta[-1])
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, known: tuple[np.ndarray, np.ndarray], steps: int = 1500, seed: int = 7) -> Model:
-    """positive, unlabelled: feature rows. known: feature rows with labels 0 and 1, which calibrate the margin only.
-
-    A first scorer of positive against unlabelled rows estimates the prior. Without positives, the score is a constant.
-    """
-    both = np.vstack([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, SIZE))
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-
-    def shaped(x: np.ndarray) -> np.ndarray:
-        return np.clip((x - mean) / scale, -8, 8)
-
-    if not len(positive) or not len(unlabelled):
-        return Model(mean, scale, np.zeros(SIZE), 0.0, 0.5, logistic.fit(np.zeros((len(known[1]), 1)), known[1]))
-    p, u = shaped(positive), shaped(unlabelled)
-    contrast = logistic.fit(np.vstack([p, u]), np.concatenate([np.ones(len(p)), np.zeros(len(u))]), ridge=10.0)
-    prior = estimate_prior(contrast.margin(p), contrast.margin(u))
-    weights, bias = _ascend(p, u, prior, steps, 0.02, 1e-4, seed)
-    model = Model(mean, scale, weights, bias, prior, logistic.fit(np.zeros((0, 1)), np.zeros(0)))
-    margin = np.clip(model.margin(known[0]), -30, 30)[:, None] if len(known[1]) else np.zeros((0, 1))
-    model.calibration = logistic.fit(margin, known[1], ridge=0.01)
+        second = 0.99 * second + 0.01 * grad**2
+        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    model.weights, model.bias = theta[:-1], float(theta[-1])
+
+
+def _calibrate(model: Model, positive: np.ndarray, counts: np.ndarray, steps: int = 400, rate: float = 0.5) -> None:
+    """Slope and offset by the non-negative risk with the logistic loss; counts: unlabelled rows by bin of margin."""
+    share = counts / max(1.0, counts.sum())
+    slope, offset = 1.0, 0.0
+    for _ in range(steps):
+        p, u = sigmoid(slope * positive + offset), sigmoid(slope * BINS + offset)
+        risk = (share * np.logaddexp(0, slope * BINS + offset)).sum() - model.prior * np.logaddexp(0, slope * positive + offset).mean()
+        gain = model.prior * np.array([((1 - p) * positive).mean(), (1 - p).mean()])
+        loss = np.array([(share * u * BINS).sum(), (share * u).sum()]) - model.prior * np.array([(p * positive).mean(), p.mean()])
+        step = loss - gain if risk >= 0 else -loss
+        slope, offset = max(0.05, slope - rate * step[0]), offset - rate * step[1]
+    model.slope, model.offset = float(slope), float(offset)
+
+
+def fit(positive: np.ndarray, sums: Sums, steps: int = 30, rate: float = 0.1) -> Model:
+    """positive: feature rows; sums: totals over the unlabelled rows. Without positives or unlabelled rows the score is 0.5."""
+    got = sums(lambda x: np.concatenate([[float(len(x))], x.sum(axis=0), (x**2).sum(axis=0)]))
+    n = got[0]
+    if not len(positive) or not n:
+        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0, 0.5)
+    mean = got[1 : SIZE + 1] / n
+    scale = np.sqrt(np.maximum(got[SIZE + 1 :] / n - mean**2, 0)) + 1e-3
+    model = Model(mean, scale, np.zeros(SIZE), 0.0, 0.5)
+    p = model.shaped(positive)
+    contrast = _contrast(model, p, sums, n)
+    levels = tails(m := contrast.margin(positive))
+    model.prior = estimate_prior(m, sums(lambda x: (contrast.margin(x)[:, None] >= levels).sum(axis=0).astype(float)), n)
+    _descend(model, p, sums, n, steps, rate, 1e-4)
+    bare = _bare(model)
+    counts = sums(lambda x: np.bincount(np.rint((bare.margin(x) + EDGE) / BIN).astype(int), minlength=len(BINS)).astype(float))
+    _calibrate(model, bare.margin(positive), counts)
     return model
