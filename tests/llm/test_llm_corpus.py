@@ -107,7 +107,7 @@ def test_lines_by_definition(spark, min_lines):
     assert next(r for r in got if r.doc_id == 50).text is None
     assert op02_lines.dedup_lines(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        op02_lines.deleted_lines(docs, min_lines=3)
+        op02_lines.repeated_runs(docs, min_lines=3)
 
 
 def test_suffix_ranks_are_ordered(spark):
