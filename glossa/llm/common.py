@@ -67,9 +67,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialise(), with the rows bucketed and sorted by `key`: joins of such tables on it shuffle nothing. The rows come from an aggregation by `key`, so each bucket is one file."""
+    spark = df.sparkSession
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path, view = f"{shared_dir(spark)}/{unique}", unique.replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(view)
+    if _scratch:
+        _scratch[-1].append(path)
+    _views[path] = view
+    return spark.table(view)
+
+
+_views: dict[str, str] = {}
+
+
 def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     gateway, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for path in paths:
+        for known in [p for p in _views if path.endswith(p.rpartition("/")[2])]:
+            spark.sql(f"DROP TABLE IF EXISTS {_views.pop(known)}")
         where = gateway.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 

@@ -1,12 +1,17 @@
 """Query op3: every byte of a 200-byte string that also starts elsewhere is removed, by a logarithmic index family.
 
 Suffix entries (suffixes.py) of a batch of documents are sorted into a run: the batch's suffix array, cut at the depth
-that decides about long matches and ordered by that prefix's fingerprint. A new run is scanned against the existing levels
-by key, and levels of equal size merge, so that n batches make at most log2(n) + 1 levels and each entry is written
-that often. A run holds one row for each key with its count, so copies cost no more than their keys.
+that decides about long matches and ordered by that prefix's fingerprint. A run holds one row for each key with its
+count, so copies cost no more than their keys. Each new run is merge-scanned against the existing levels, which gives
+the keys of its long matches with earlier batches; those within the batch are the run's own repeated keys. Then the run
+joins the family, where levels of equal size merge, so that n batches make at most log2(n) + 1 levels and each key is
+written that often. Runs and levels are bucketed and sorted by key: scans and merges shuffle nothing.
+
+The entries of matched keys are then settled by whole strings. Keys that a large share of all entries have are joined by
+broadcast (hot_join), so that no task gets all copies of one passage.
 
 Defined results: null texts are empty; texts under 200 bytes lose nothing; rows of equal id and text are different
-places (each repeats the other) and get the same result; null ids are kept; no rows give no rows.
+places (each repeats the other) and get the same result; null ids are kept; other columns are left out; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import discard, documents, materialise
+from glossa.llm.common import bucketed, discard, documents, hot_join, materialise
 from glossa.llm.suffixes import LENGTH, Entries, entries, repeated_starts, runs
 
 KEY = ["doc_id", "text_hash"]
-#: Batches that the query feeds to the index family.
-BATCHES = 2
+#: Least number of batches that the index family is fed, and most entries of one: the number of batches follows the input.
+BATCHES, BATCH_ENTRIES = 8, 1 << 34
 #: Groups of more undecided entries than this are compared by strings dealt over the cluster, not in one task.
 CROWD = 5_000
 #: Bytes of contexts that one task compares at a time.
@@ -49,29 +54,36 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
 
 
 class IndexFamily:
-    """Runs of (near, n, least, most): a key, how many suffixes have it, and the range of their wholes."""
+    """Levels of (near, n, least, most): a key, how many suffixes have it, and the range of their wholes."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
 
     @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("near").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-
-    def scan(self, suffixes: DataFrame) -> DataFrame:
-        """The suffixes whose key an existing level holds: long matches of a new batch with earlier ones."""
-        keys = self.entries()
-        return suffixes.limit(0) if keys is None else suffixes.join(keys.select("near"), "near", "left_semi")
-
-    def add(self, suffixes: DataFrame) -> None:
-        """Sort a batch into a run and merge levels of equal size."""
-        rows = suffixes.select("near", F.lit(1).cast("long").alias("n"), F.col("whole").alias("least"), F.col("whole").alias("most"))
-        self.levels.append((0, materialise(self._merged(rows).sortWithinPartitions("near"), "run")))
+    def run(suffixes: DataFrame) -> DataFrame:
+        """A batch's suffixes as a sorted run."""
+        return bucketed(suffixes.groupBy("near").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")), "run", "near")
+
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.toDF("near", "n2", "least2", "most2"), "near", "full_outer")
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+        return both.select("near", n.alias("n"), F.least("least", "least2").alias("least"), F.greatest("most", "most2").alias("most"))
+
+    def scan(self, run: DataFrame) -> DataFrame:
+        """(near) of the run's keys that an existing level holds: its long matches with earlier batches."""
+        found = run.select("near").limit(0)
+        for _, level in self.levels:
+            found = found.union(run.join(level, "near", "left_semi").select("near"))
+        return found
+
+    def add(self, run: DataFrame) -> None:
+        """Take in a run and merge levels of equal size."""
+        self.levels.append((0, run))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (_, a), (level, b) = self.levels.pop(), self.levels.pop()
-            merged = materialise(self._merged(a.union(b)).sortWithinPartitions("near"), "level")
+            self.levels.append((level + 1, bucketed(self._merged(b, a), "level", "near")))
             discard(a, b)
-            self.levels.append((level + 1, merged))
 
     def entries(self) -> DataFrame | None:
         """One row for each key of all levels."""
@@ -79,8 +91,22 @@ class IndexFamily:
             return None
         rows = self.levels[0][1]
         for _, more in self.levels[1:]:
-            rows = rows.union(more)
-        return rows if len(self.levels) == 1 else self._merged(rows)
+            rows = self._merged(rows, more)
+        return rows
+
+
+def matched_keys(rows: DataFrame, batches: int) -> DataFrame:
+    """(near, n, several) of the keys that several of the entries (batch, near, whole) have: several is whether their wholes differ. Batches come one after another."""
+    family, matched = IndexFamily(), None
+    for i in range(batches):
+        run = family.run(rows.where(F.col("batch") == i))
+        found = materialise(family.scan(run).union(run.where(F.col("n") > 1).select("near")), "matched")
+        matched = found if matched is None else matched.union(found)
+        family.add(run)
+    keys = family.entries().join(matched.distinct(), "near", "left_semi").select("near", "n", (F.col("least") != F.col("most")).alias("several"))
+    keys = materialise(keys, "keys")
+    discard(matched, *(level for _, level in family.levels))
+    return keys
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,25 +155,26 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["d1", "d2", *KEY, "start", "single"])
 
 
-def repeats(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Of (doc_id, text_hash, text): the entries all of whose strings repeat (doc_id, text_hash, entry), and the intervals of other repeated strings (doc_id, text_hash, start, end)."""
-    rows = materialise(suffix_rows(docs), "suffixes")
-    family = IndexFamily()
-    for i in range(batches):
-        family.add(rows.where(F.pmod(F.hash(*KEY), F.lit(batches)) == i))
-    keys = family.entries().where(F.col("n") > 1).select("near", (F.col("least") != F.col("most")).alias("several"))
-    hits = materialise(rows.join(keys, "near"), "hits")
-    discard(rows, *(level for _, level in family.levels))
+def repeats(docs: DataFrame, batches: int | None = None, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text_hash, text): the entries all of whose strings repeat (doc_id, text_hash, entry), and the intervals of other repeated strings (doc_id, text_hash, start, end). Repeated rows may give repeated rows."""
+    rows = suffix_rows(docs).withColumn("draw", F.pmod(F.hash(*KEY), F.lit(1 << 16)))
+    rows = materialise(rows, "suffixes")
+    total = rows.count()
+    batches = batches or max(BATCHES, -(-total // BATCH_ENTRIES))
+    keys = matched_keys(rows.withColumn("batch", F.col("draw") % batches), batches)
+    hits = materialise(hot_join(rows.drop("draw"), keys, ["near"], "n", total), "hits")
+    discard(rows, keys)
     wholes = materialise(hits.where("several").groupBy("near", "whole").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "entry")).alias("one")), "wholes")
-    full = hits.where(~F.col("several")).select(*KEY, "entry").union(hits.where("several").join(wholes.where(F.col("copies") > 1), ["near", "whole"], "left_semi").select(*KEY, "entry"))
+    again = hot_join(hits.where("several"), wholes.where(F.col("copies") > 1).select("near", "whole", "copies"), ["near", "whole"], "copies", total)
+    full = hits.where(~F.col("several")).select(*KEY, "entry").union(again.select(*KEY, "entry"))
     crowds = wholes.groupBy("near").agg(F.count("*").alias("n")).select("near", (F.col("n") > crowd).alias("crowded"))
     wanted = wholes.join(crowds.where("crowded"), "near", "left").select("one.*", "near", (F.col("copies") == 1).alias("single"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("entry", "near", "single", "crowded")).alias("wanted"))
+    by_doc = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("entry", "near", "single", "crowded")).alias("wanted"))
     contexts = materialise(_with(docs.select(*KEY, "text").distinct(), by_doc, ["wanted"], "inner").mapInArrow(_contexts, "doc_id long, text_hash long, near long, single boolean, crowded boolean, low int, context binary"), "contexts")
     few = contexts.where("NOT crowded").drop("crowded").repartition("near").sortWithinPartitions("near").mapInArrow(_compared, "doc_id long, text_hash long, start int, end int")
     strings = materialise(contexts.where("crowded").mapInArrow(_strings, "d1 long, d2 long, doc_id long, text_hash long, start int, single boolean"), "strings")
-    again = strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("d1", "d2")
-    many = strings.where("single").join(again, ["d1", "d2"], "left_semi").select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
+    twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    many = hot_join(strings.where("single"), twice, ["d1", "d2"], "n", total).select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
     return full, few.union(many)
 
 
@@ -185,14 +212,15 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int | None = None, crowd: int = CROWD) -> DataFrame:
     """A row for each row of (doc_id, text): sizes, spans and the digest of what is kept."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     full, parts = repeats(docs, batches, crowd)
     found = full.select(*KEY, "entry", F.lit(None).cast("struct<start:int,end:int>").alias("part")).union(parts.select(*KEY, F.lit(None).cast("int"), F.struct("start", "end")))
-    by_doc = found.groupBy(*KEY).agg(F.collect_list("entry").alias("full"), F.collect_list("part").alias("parts"))
+    by_doc = found.groupBy(*KEY).agg(F.collect_set("entry").alias("full"), F.collect_set("part").alias("parts"))
     return _with(docs, by_doc, ["full", "parts"], "left").select("doc_id", "text", "full", "parts").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; the cases are those of this module."""
     return remove_repeats(documents(spark, sf_dir))
