@@ -78,7 +78,7 @@ def test_scans_shuffle_nothing(spark):
 
 
 def test_matches_come_from_scans(spark, monkeypatch):
-    text = "".join(random.Random(1).choice("abcdef") for _ in range(400))
+    text = "".join(random.Random(1).choices("abcdef", k=400))
     docs = spark.createDataFrame([(i, text) for i in range(8)], DOCS).withColumn("text_hash", F.xxhash64("text"))
     first = docs.withColumn("batch", F.pmod(F.pmod(F.hash(*op03_suffix.KEY), F.lit(1 << 16)), F.lit(4))).groupBy("batch").agg(F.min("doc_id")).collect()
     assert len(first) > 1
@@ -89,7 +89,7 @@ def test_matches_come_from_scans(spark, monkeypatch):
 
 
 def test_repeated_rows_gather_their_entries_once(spark):
-    text = "".join(random.Random(2).choice("abcdef") for _ in range(900))
+    text = "".join(random.Random(2).choices("abcdef", k=900))
     docs = spark.createDataFrame([(1, text)] * 500 + [(2, text[:450]), (3, "q" * 199)], DOCS)
     rows = op03_suffix.remove_repeats(docs).collect()
     assert len(rows) == 502 and {(r.doc_id, r.n_removed) for r in rows} == {(1, 900), (2, 450), (3, 0)}
