@@ -3,37 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm.common import documents, materialise
+from glossa.llm.common import discard, documents, materialise
 from glossa.llm.components import components
-from glossa.llm.resemblance import near_copies
-
-
-def fingerprint(text: str, size: int = 3) -> int:
-    """Bits set in over half of the hashes of the text's shingles, repeats included; 0 for a text of no words."""
-    words = text.encode().lower().split()  # bytes: A-Z and the six ASCII blanks only
-    n = len(words)
-    if n == 0:
-        return 0
-    if n <= size:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):  # bounds the unpacked bits of very long texts
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+from glossa.llm.resemblance import classes
+from glossa.llm.simhash import fingerprint, links
+
+
+ID, HASH = "_row_id", "_row_hash"
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -47,53 +30,36 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(radius: int) -> list[int]:
-    """All signed 64-bit masks of at most `radius` bits."""
-    found = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(64), k)]
-    return [m - (1 << 64) if m >> 63 else m for m in found]
-
-
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) between different fingerprints that connect all those at most `radius` bits apart (radius even).
-
-    Every fingerprint emits the variants within half the radius: two fingerprints are within the radius exactly if
-    they share one. What shares a variant is within the radius of each other, so the smallest fingerprint of a variant
-    stands for all: an edge to it from each of the others loses no connection. A variant has at most as many
-    fingerprints as there are masks, whatever the number of copies: copies have one fingerprint.
-    """
-    if radius % 2:
-        raise ValueError("the radius must be even")
-    variants = distinct.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in masks(radius // 2)])).alias("variant"))
-    met = variants.groupBy("variant").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
-    edges = met.select(F.array_min("met").alias("b"), F.explode("met").alias("a")).where(F.col("a") != F.col("b"))
-    return edges.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-
-
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable by links: a row for each row of docs.
+    """doc_id, fp and component_id, the smallest doc_id reachable by links: a row for each row of docs, repeats included.
 
-    Null doc_ids are never a component's name, unless it has no other. Empty table: no rows.
+    Null texts are empty: texts of no words have fingerprint 0. Null doc_ids are never a component's name, unless it has
+    no other; then it is null. Other columns are left out. Empty table: no rows.
     """
     found = materialise(fingerprints(docs, size), "fingerprints")
     distinct = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     groups = components(links(distinct, radius))
     named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     leaders = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(leaders, "component").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    by_print = materialise(named.join(leaders, "component").select("fp", "component_id"), "named")
+    discard(distinct)
+    return found.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, radius: int = 2, exact: bool = False) -> DataFrame:
-    """All columns of one row of each group of near-duplicates: the row of the smallest doc_id; of repeated rows with that id, one. Rows without an id are kept.
-
-    exact: groups are of texts with a Jaccard similarity of 4/5 of their shingles (resemblance.near_copies) instead of fingerprints within the radius.
-    """
-    found = near_copies(docs, size) if exact else near_duplicates(docs, size, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).union(docs.where(F.col("doc_id").isNull()).select(docs.columns))
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 2) -> DataFrame:
+    """All columns of one row of each group of near copies (near_copies): the row of the smallest doc_id, then text hash; of rows equal in both, the one whose columns have the least hash. Rows without an id are kept."""
+    named = docs.withColumns({ID: F.col("doc_id").cast("long"), HASH: F.xxhash64(F.coalesce("text", F.lit("")))})
+    groups = classes(docs, size, radius)
+    leaders = groups.where((F.col("at") == F.col("component_id")) & (F.col("hash") == F.col("component_hash"))).distinct()
+    kept = named.join(leaders.select(F.col("at").alias(ID), F.col("hash").alias(HASH)), [ID, HASH], "left_semi")
+    again = materialise(named.select(ID, HASH).where(F.col(ID).isNotNull()).groupBy(ID, HASH).count().where("count > 1").drop("count"), "again")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.join(again, [ID, HASH], "left_anti").select(*columns)
+    chosen = kept.join(again, [ID, HASH], "left_semi").groupBy(ID, HASH).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
+    return once.union(chosen).union(docs.where(F.col("doc_id").isNull()))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; the cases are those of near_duplicates."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id").cast(T.LongType()))

@@ -42,7 +42,7 @@ def test_keep_one_by_definition(spark, monkeypatch):
     for pairs in (resemblance.PAIRS, 0):
         monkeypatch.setattr(resemblance, "PAIRS", pairs)
         assert sorted(tuple(r) for r in resemblance.near_copies(docs).where("doc_id is not null").collect()) == want
-    kept = op05_simhash.keep_one(docs, size=5, exact=True)
+    kept = op05_simhash.keep_one(docs)
     assert sorted(r[0] for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
     assert kept.where("doc_id is null").count() == 2
     assert len(set(least.values())) > 5
