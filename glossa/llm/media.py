@@ -4,10 +4,11 @@ A stream is decoded scan by scan: every scan (spectral selection Ss..Se, success
 adds to integer coefficient arrays; the inverse transform, chroma upsampling and colour conversion run in numpy
 and give a full-resolution RGB tensor (height, width, 3).
 
-Payload packing is lossless: the unit is the quantised DCT coefficient. Each run of 64 bytes is one 8x8 luma block,
-byte b is the coefficient b (b >= 128) or b - 255 (b < 128), so that every coefficient has category 8 and every
-Huffman code of the stream has a known width. Such scans are packed and unpacked by whole arrays; any other
-progressive stream (EOB runs, zero runs, newly non-zero coefficients in refinements) takes the sequential path.
+Payload packing is lossless: the unit is the quantised DCT coefficient. Each run of 64 bytes is one 8x8 block, byte b is
+the coefficient b (b >= 128) or b - 255 (b < 128), so that every coefficient has category 8 and every Huffman code of
+the stream has a known width. The blocks fill luma first, then the two chroma components, which have half the
+resolution both ways. Such scans are packed and unpacked by whole arrays; any other progressive stream (EOB runs, zero
+runs, newly non-zero coefficients in refinements, several components a scan) takes the sequential path.
 
 Defined results: null bytes count as empty; an empty payload is one block of zeros; truncated or non-progressive
 streams raise ValueError.
@@ -78,32 +79,33 @@ def _dc_segments(first: np.ndarray) -> bytes:
     return cells[keep].tobytes()
 
 
-def pack_payload(data: bytes, subsampling: int = 2) -> bytes:
-    """A progressive YCbCr JPEG whose luma coefficients are the bytes of data, zero-padded to a positive multiple of 64."""
+def pack_payload(data: bytes) -> bytes:
+    """A progressive YCbCr 4:2:0 JPEG whose coefficients are the bytes of data, zero-padded to whole 16x16 units of six blocks."""
     blocks = max(1, -(-len(data) // BLOCK))
-    across = int(np.ceil(np.sqrt(blocks)))
-    down = -(-blocks // across)
-    coded = np.zeros((across * down, BLOCK), np.uint8)
+    units = -(-blocks // 6)
+    across = int(np.ceil(np.sqrt(units)))
+    n = across * -(-units // across)
+    coded = np.zeros((6 * n, BLOCK), np.uint8)
     coded.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
-    width, height = 8 * across, 8 * down
+    width, height = 16 * across, 16 * (n // across)
     if width > 0xFFFF:
         raise ValueError("payload beyond one image")
-    chroma = -(-(-(-width // subsampling)) // 8) * -(-(-(-height // subsampling)) // 8)
+    parts = list(enumerate((coded[: 4 * n], coded[4 * n : 5 * n], coded[5 * n :]), 1))
     out = [
         b"\xff\xd8",
         _marker(0xEF, b"PAYLOAD\0" + struct.pack(">QQ", len(data), blocks * BLOCK)),
         _marker(0xDB, bytes([0, *[1] * 64])),
-        _marker(0xC2, struct.pack(">BHHB", 8, height, width, 3) + bytes([1, subsampling << 4 | subsampling, 0, 2, 0x11, 0, 3, 0x11, 0])),
-        _dht(0, 0, 8, 8) + _marker(0xDD, b"\0\1") + _sos(1, 0x00, 0, 0, 0, 0) + _dc_segments(coded[:, 0]),
-        _marker(0xDD, b"\0\0") + _dht(0, 1, 1, 0),
+        _marker(0xC2, struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
+        _dht(0, 0, 8, 8) + _marker(0xDD, b"\0\1"),
     ]
-    flat = np.packbits(np.concatenate([np.zeros(chroma, np.uint8), np.ones(-chroma % 8, np.uint8)]))
-    out += [_sos(c, 0x10, 0, 0, 0, 0) + _stuffed(flat) for c in (2, 3)]
-    out.append(_dht(1, 0, 1, 7))
-    out += [_sos(1, 0x00, lo, hi, 0, 1) + (coded[:, lo : hi + 1] >> 1).tobytes() for lo, hi in ((1, 5), (6, 63))]
-    bits = np.zeros((len(coded), BLOCK), np.uint8)
-    bits[:, 1:] = (coded[:, 1:] & 1) ^ (coded[:, 1:] < 128)
-    out.append(_dht(1, 1, 1, 0) + _sos(1, 0x01, 1, 63, 1, 0) + _stuffed(np.packbits(bits, axis=1)))
+    out += [_sos(c, 0x00, 0, 0, 0, 0) + _dc_segments(part[:, 0]) for c, part in parts]
+    out.append(_marker(0xDD, b"\0\0") + _dht(1, 0, 1, 7))
+    out += [_sos(c, 0x00, lo, hi, 0, 1) + (part[:, lo : hi + 1] >> 1).tobytes() for lo, hi in ((1, 5), (6, 63)) for c, part in parts]
+    out.append(_dht(1, 1, 1, 0))
+    for c, part in parts:
+        bits = np.zeros((len(part), BLOCK), np.uint8)
+        bits[:, 1:] = (part[:, 1:] & 1) ^ (part[:, 1:] < 128)
+        out.append(_sos(c, 0x01, 1, 63, 1, 0) + _stuffed(np.packbits(bits, axis=1)))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -234,8 +236,6 @@ def _whole_arrays(c: _Component, data: bytes, dc: _Huffman | None, ac: _Huffman
         return False
     length, symbol = table.only
     rows = c.coefficients[:n]
-    if ss == 0 and symbol == 0 and not interval and len(data.replace(b"\xff\x00", b"\xff")) == -(-n * length // 8):
-        return True  # all differences are zero
     if ss == 0 and interval == 1 and length == 8 and symbol == 8:
         # A value is never marker-like: after its code 00, FF is stuffed and the next FF begins RSTm.
         raw = np.frombuffer(data.replace(b"\x00\xff\x00", b"\x00\xff"), np.uint8)
@@ -323,7 +323,7 @@ def _decoded(data: bytes) -> Decoded:
             for c in out.components:
                 c.across, c.down = -(-(-(-out.width * c.h // hmax)) // 8), -(-(-(-out.height * c.v // vmax)) // 8)
                 full, deep = -(-out.width // (8 * hmax)) * c.h, -(-out.height // (8 * vmax)) * c.v
-                c.wide = c.across if c.across * c.down and n and _alone(out, c) else full
+                c.wide = full
                 c.coefficients = np.zeros((max(c.wide * c.down, full * deep), 64), np.int32)
         elif 0xC0 <= code <= 0xCF and code not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not a progressive stream")
@@ -347,18 +347,12 @@ def _decoded(data: bytes) -> Decoded:
     raise ValueError("truncated stream")
 
 
-def _alone(picture: Decoded, c: _Component) -> bool:
-    """Payload streams have one component a scan; their rows need no padding to whole MCUs."""
-    return picture.payload is not None
-
-
 def unpack_payload(picture: Decoded) -> tuple[int, bytes]:
-    """Unpadded length and the padded payload, read from the luma coefficients."""
+    """Unpadded length and the payload padded to whole blocks, read from the coefficients."""
     if picture.payload is None:
         raise ValueError("no payload in this stream")
     length, padded = picture.payload
-    c = picture.components[0]
-    value = c.coefficients[: c.across * c.down].reshape(-1)[:padded]
+    value = np.concatenate([c.coefficients.reshape(-1) for c in picture.components])[:padded]
     return length, np.where(value < 0, value + 255, value).astype(np.uint8).tobytes()
 
 

@@ -27,7 +27,7 @@ def test_payloads_come_back():
         picture = media.decode(media.pack_payload(data))
         length, payload = media.unpack_payload(picture)
         assert (length, payload[:n], len(payload) % 64, set(payload[n:]) <= {0}) == (n, data, 0, True) and len(payload) >= 64
-        assert picture.scans == 6 and media.to_rgb(picture).shape == (picture.height, picture.width, 3)
+        assert picture.scans == 12 and media.to_rgb(picture).shape == (picture.height, picture.width, 3)
 
 
 def test_array_and_sequential_scans_agree(monkeypatch):
@@ -95,6 +95,25 @@ def test_bad_streams():
             media.decode(bad)
 
 
+def picture_by_definition(padded, height, width):
+    """Samples of each block by the cosine sum, chroma repeated both ways, colours by the usual matrix."""
+    n = height * width // 256
+    k = np.arange(8)
+    basis = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) * np.where(k[:, None] == 0, np.sqrt(1 / 8), 0.5)
+    data = padded + bytes(384 * n - len(padded))
+    planes = []
+    for first, count, down, across in ((0, 4 * n, height // 8, width // 8), (4 * n, n, height // 16, width // 16), (5 * n, n, height // 16, width // 16)):
+        plane = np.zeros((8 * down, 8 * across))
+        for b in range(count):
+            natural = np.zeros(64)
+            natural[media.ZIGZAG] = [x if x >= 128 else x - 255 for x in data[64 * (first + b) : 64 * (first + b) + 64]]
+            y, x = divmod(b, across)
+            plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = basis.T @ natural.reshape(8, 8) @ basis + 128
+        planes.append(plane if down == height // 8 else plane.repeat(2, 0).repeat(2, 1))
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    return np.clip(np.rint(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)), 0, 255).astype(int)
+
+
 def test_op4_rows(spark):
     rows = op04_media.read_media(op04_media.store_texts(frame(spark, ODD))).collect()
     assert len(rows) == len(ODD) + 2
@@ -102,6 +121,15 @@ def test_op4_rows(spark):
         data = (text or "").encode()
         padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        across = int(np.ceil(np.sqrt(-(-len(padded) // 384))))
+        stored = media.pack_payload(data)
+        assert (r.height % 16, r.width, r.media_bytes, r.media_sha256) == (0, 16 * across, len(stored), hashlib.sha256(stored).hexdigest())
+        rgb = picture_by_definition(padded, r.height, r.width)
+        seen = np.frombuffer(r.rgb, np.uint8).reshape(rgb.shape)
+        assert np.abs(seen.astype(int) - rgb).max() <= 1  # rounding
+        sums = [int(seen[..., k].astype(int).sum()) * 1000 // (r.height * r.width) for k in range(3)]
+        bins = [int(((seen[..., 1] >= 32 * k) & (seen[..., 1] < 32 * k + 32)).sum()) for k in range(8)]
+        assert r.feature == f"{r.width}x{r.height};" + ",".join(map(str, sums)) + ";" + ",".join(map(str, bins))
     assert rows[0].feature == rows[1].feature and op04_media.read_media(op04_media.store_texts(frame(spark, ODD).limit(0))).count() == 0
 
 
