@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from glossa.llm import logistic, media, ngrams, op01_quality, op04_media, op06_toxicity, op07_pieces, op08_packing, op09_secrets, packing, pieces, quality, secrets
+from glossa.llm import common, logistic, media, ngrams, op01_quality, op04_media, op06_toxicity, op07_pieces, op08_packing, op09_secrets, packing, pieces, quality, secrets
 
 ODD = [None, "", " ", "\n\n", "a", "é" * 70, "x" * 5000, "Hello  world\tnaïve 漢字 \x00 <|endoftext|>", "퟿｡ ́e", "a\r\nb\x0bc"]
 
@@ -136,36 +136,49 @@ def test_op4_rows(spark):
 # ------------------------------------------------------------------ op7, op8
 
 
+def best_ids(v, text):
+    """The whole lattice at once: of equal sums, the way whose last piece is longer."""
+    n = len(text)
+    best, back = [0.0] + [float("-inf")] * n, [(0, [])] * (n + 1)
+    for a in range(n):
+        if text[a] not in v.scores and best[a] + v.fallback > best[a + 1]:
+            best[a + 1], back[a + 1] = best[a] + v.fallback, (a, v.fall_back(text[a]))
+        for b in range(a + 1, min(n, a + v.longest) + 1):
+            if text[a:b] in v.scores and best[a] + v.scores[text[a:b]][0] > best[b]:
+                best[b], back[b] = best[a] + v.scores[text[a:b]][0], (a, [v.scores[text[a:b]][1]])
+    out = []
+    while n:
+        out, n = back[n][1] + out, back[n][0]
+    return out
+
+
 def test_viterbi_is_best_and_streams():
-    v = pieces.Vocabulary(pieces.vocabulary())
     coder = pieces.PieceIds(pieces.vocabulary())
+    v = coder.v
     rng = random.Random(7)
-    texts = [t or "" for t in ODD] + ["".join(rng.choice("then ating  \n") for _ in range(80)) for _ in range(10)]
+    texts = [t or "" for t in ODD] + ["".join(rng.choices("then ating  \n漢é", k=80)) for _ in range(20)] + ["".join(rng.choices("thenatig", k=700)) + " a b"]
     for text in texts:
-        spelt = pieces.spelt(text)
-        ids = pieces.segment(v, spelt)
+        want = best_ids(v, pieces.spelt(text))
         parts = [text[i : i + 3] for i in range(0, len(text), 3)]
-        assert ids == coder.encode(text).tolist() == [i for part in pieces.stream(v, iter(parts)) for i in part]
-        assert v.decode(ids) == text.encode()
+        assert want == coder.encode(text).tolist() == [i for part in pieces.stream(v, iter(parts)) for i in part]
+        assert v.decode(want) == text.encode()
+
+
+def test_scores_of_unigrams_stay_fractions():
+    v = pieces.Vocabulary.of_pieces({"a": -1.4, "b": -1.4, "ab": -2.6, "abab": -5.5})
     encoder = pieces.StreamingViterbi(v)
-    for _ in range(300):
-        encoder.feed("▁the")
-    assert encoder.most <= 4 * v.longest  # the window stays bounded
-    # brute force: no segmentation scores higher
-    value = {i: s for s, i in v.scores.values()}
+    assert encoder.feed("abab") + encoder.finish() == [258, 258] == best_ids(v, "abab")  # rounded, -6 would lose to -6
 
-    def best(text):
-        top = [0.0] + [-1e30] * len(text)
-        for b in range(1, len(text) + 1):
-            for a in range(b):
-                if text[a:b] in v.scores:
-                    top[b] = max(top[b], top[a] + v.scores[text[a:b]][0])
-                elif b == a + 1:
-                    top[b] = max(top[b], top[a] + v.fallback)
-        return top[-1]
 
-    for text in ("▁thanedble", "▁ation▁in▁the", "antidisestablish"):
-        assert sum(value[i] for i in pieces.segment(v, text)) == best(text)
+def test_window_is_bounded_on_the_query_path(spark, monkeypatch):
+    text = "".join(random.Random(8).choices("thenatigrs", k=1_000_000))
+    coder = pieces.PieceIds(pieces.vocabulary())
+    ids = coder.encode(text)
+    assert coder.v.decode(ids.tolist()) == text.encode() and not coder.at
+    assert coder.encoder.most <= 2 * coder.v.longest + 2 and coder.encoder.held <= pieces.CHUNK
+    monkeypatch.setattr(pieces.StreamingViterbi, "feed", lambda self, part: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        pieces.PieceIds(pieces.vocabulary()).encode("some words")
 
 
 def test_op7_rows(spark):
@@ -185,6 +198,44 @@ def test_word_ids_are_the_tokenizers():
         assert words.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def packed_by_definition(lengths, c):
+    """Every item looks at every bin."""
+    scale = [w / f / f for w, f in zip(c.weights, (c.tokens, c.documents, c.attention), strict=True)]
+    bins, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        s, best = int(lengths[i]), None
+        for b, (r, d, a) in enumerate(bins):
+            if 0 < r >= s and d >= 1 and a >= s * s:
+                need, rest = (s, 1, s * s), (r, d, a)
+                terms = [k * x * y for k, x, y in zip(scale, need, rest, strict=True)] if c.rule == "dot" else [k * (y - x) ** 2 for k, x, y in zip(scale, need, rest, strict=True)]
+                key = (-sum(terms) if c.rule == "dot" else sum(terms), r, b)
+                best = min(best or key, key)
+        b = best[2] if best else len(bins)
+        if not best:
+            bins.append((c.tokens, c.documents, c.attention))
+        bins[b] = (bins[b][0] - s, bins[b][1] - 1, bins[b][2] - s * s)
+        out[i] = b
+    return [out[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_chooses_among_all_bins(rule):
+    rng = np.random.default_rng(5)
+    for capacity in (packing.Capacity(rule=rule), packing.Capacity(documents=4, attention=2048 * 900, weights=(1.0, 0.5, 0.5), rule=rule)):
+        lengths = np.minimum(int(capacity.attention**0.5), rng.lognormal(5.5, 1.2, 400).astype(int) + 1)
+        bins, _ = packing.pack(lengths, capacity)
+        assert bins.tolist() == packed_by_definition(lengths.tolist(), capacity)
+        if capacity.documents == 4:  # both other limits bind
+            used = [lengths[bins == b] for b in range(bins.max() + 1)]
+            assert any(len(x) == 4 and x.sum() < 1900 for x in used) and bins.max() + 1 > packing.pack(lengths)[0].max() + 1
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    items = spark.range(400).selectExpr("CAST(7 AS LONG) AS doc_id", "0 AS piece", "CAST(0 AS LONG) AS start", "CAST(100 AS LONG) AS length", "CAST(1 AS LONG) AS ids_crc32", "1 AS _shard").repartition(4)
+    rows = op08_packing.pack_pieces(items.drop("_shard"), shard_items=40).collect()
+    assert len(rows) == 400 and len({r.sequence_id % 10 for r in rows}) == 10
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_keeps_every_limit(rule):
     rng = np.random.default_rng(3)
@@ -250,6 +301,26 @@ def test_secrets_link_across_the_whole_scope(spark):
         assert (KEY not in op09_secrets.redact_texts(docs).first()["text"]) == linked
 
 
+def test_links_by_every_pair():
+    """The interval join against all pairs of parts in one scope."""
+    rng = random.Random(11)
+    words = [f"AKIA{'B' * 16}", KEY, "https://h.example/a", "token=abcdefghij", "x", "\n", "\n\n", " ", "0af9" * 8]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(12))
+        base, every = secrets.scan(text, secrets.WHOLE)
+        cuts = [m.start() for m in secrets.BLANK.finditer(text)]
+        scope = lambda s: sum(c <= s[0] for c in cuts)
+        meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+        access = [s for s in base if s[2] == "access"]
+        hosts = [(m.start(), m.end(), "endpoint") for m in secrets.ENDPOINT.finditer(text)]
+        tokens = [(m.start(), m.end(), "keyid") for m in secrets.TOKEN.finditer(text) if secrets._mixed(m.group())]
+        tokens = [t for t in tokens if not any(meets(t, o) for o in base + hosts)]
+        keys = [t for t in tokens if any(scope(t) == scope(o) for o in access + hosts)]
+        backed = [s for s in base if s[2] != "hex"] + [k for k in keys if any(scope(k) == scope(a) for a in access)]
+        linked = keys + [h for h in hosts if any(scope(h) == scope(o) for o in backed) and not any(meets(h, b) for b in base)]
+        assert sorted(every) == sorted(base + linked), text
+
+
 def test_secret_in_a_long_span_with_many_others_is_not_listed_twice():
     inner = "-".join("AKIA" + "B" * 16 for _ in range(12))
     text = f"token={inner}.{KEY} AKIA{'C' * 16}"
@@ -310,16 +381,32 @@ def test_quality_learns_from_positives(spark):
     assert sum((r.score >= 0.7) == (r.doc_id % 4 != 0) for r in rows) >= 0.97 * len(rows) and 0.3 < model.prior <= 0.99
     odd = op01_quality.score(frame(spark, ODD), model).collect()
     assert all(0 <= r.score <= 1 for r in odd) and len(odd) == len(ODD) + 2
-    none = op01_quality.fit(docs.limit(0), labels.limit(0))
-    assert 0 <= none.score(np.zeros((1, quality.SIZE)))[0] <= 1
+    assert op01_quality.fit(docs.limit(0), labels.limit(0)).score(np.zeros((1, quality.SIZE)))[0] == 0.5
 
 
-def test_risk_is_not_driven_below_zero():
+def test_risk_against_all_rows_at_once(monkeypatch):
+    """Sums by parts give the model that one block gives; the prior is near the share of positives."""
+    monkeypatch.setattr(quality, "SIZE", 2)
     rng = np.random.default_rng(0)
-    p, u = rng.normal(1, 1, (300, 2)), np.vstack([rng.normal(1, 1, (700, 2)), rng.normal(-1.5, 1, (300, 2))])
-    weights, bias = quality._ascend(p, u, 0.7, 800, 0.02, 1e-4, 0)
-    assert ((p @ weights + bias) > 0).mean() > 0.85 and ((u[700:] @ weights + bias) < 0).mean() > 0.8
-    assert 0.5 <= quality.estimate_prior(p @ [1, 1], u @ [1, 1]) <= 0.95
+    p, u = rng.normal(1, 1, (600, 2)), np.vstack([rng.normal(1, 1, (1400, 2)), rng.normal(-1.5, 1, (600, 2))])
+    whole = quality.fit(p, lambda f: f(u))
+    parts = quality.fit(p, lambda f: sum(f(u[i : i + 170]) for i in range(0, len(u), 170)))
+    assert np.allclose(whole.weights, parts.weights) and 0.55 <= whole.prior <= 0.85
+    assert (whole.score(p) > 0.5).mean() > 0.9 and (whole.score(u[1400:]) < 0.5).mean() > 0.9
+    assert quality.fit(p[:0], lambda f: f(u)).score(u[:1])[0] == 0.5 == quality.fit(p, lambda f: f(u[:0])).score(u[:1])[0]
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    docs, labels = labelled(spark, 300, lambda r: prose(r) + " you gloomfart", prose, "toxic")
+    hot = docs.where("doc_id = 4")
+    for _ in range(6):
+        hot = hot.union(hot)
+    picked = common.labelled_sample(docs.union(hot), labels.union(labels), "toxic", 3, 1, 50).collect()
+    assert len({r.doc_id for r in picked}) == len(picked) and max(r.place for r in picked) < 50
+    twice = op06_toxicity.score(docs.union(hot), op06_toxicity.fit(docs.union(hot), labels)).where("doc_id = 4").select("score").distinct()
+    assert twice.count() == 1
+    model = op01_quality.fit(docs.union(hot), labels.withColumnRenamed("toxic", "quality"))
+    assert op01_quality.score(docs.union(hot), model, "mine").columns == ["doc_id", "text", "mine"]
 
 
 def test_toxicity_holds_out(spark):
@@ -332,10 +419,35 @@ def test_toxicity_holds_out(spark):
     assert op06_toxicity.score(docs, none).select("score").distinct().count() == 1
 
 
-def test_rare_words_say_nothing():
-    stems = {"hash": np.array([1, 2]), "n0": np.array([500, 0]), "n1": np.array([100, 90]), "all": np.array([900, 120]), "kinds": np.array([5, 2])}
-    words = {"hash": np.array([], np.int64), "stem": np.array([], np.int64), "n0": np.array([]), "n1": np.array([]), "all": np.array([])}
-    r = ngrams.fit(stems, words, {"n0": 5000, "n1": 1000, "kinds": 700, "seen0": 400, "seen1": 90})
-    assert r.stem_ratio[1] > 2 > abs(r.stem_ratio[0]) and len(r.of([])) == 0 and (r.of(["unseen"]) == r.unseen_stem).all()
+def test_class_models_are_distributions():
+    """P_c(stem) * P_c(word | stem) sums to 1 over the corpus, and the ratios are those of these probabilities."""
+    rng, d = random.Random(4), 3.0
+    words = ["".join(rng.choices("abc", k=rng.randint(3, 8))) for _ in range(300)]
+    words = sorted(set(words))
+    counts = {w: (rng.choice((0, 0, 1, 5, 40)), rng.choice((0, 0, 2, 9)), rng.randint(60, 90)) for w in words}
+    by_stem = {}
+    for w in words:
+        by_stem.setdefault(w[: ngrams.STEM], []).append(w)
+    prob = []
+    for c in (0, 1):
+        n = {w: counts[w][c] for w in words}
+        ns = {s: sum(n[w] for w in ws) for s, ws in by_stem.items()}
+        total = sum(ns.values())
+        p = {}
+        for s, ws in by_stem.items():
+            ps = max(ns[s] - d, 0) / total + sum(min(x, d) for x in ns.values()) / total * len(ws) / len(words)
+            for w in ws:
+                rest = sum(min(n[x], d) for x in ws) / ns[s] if ns[s] else 1.0
+                p[w] = ps * ((max(n[w] - d, 0) / ns[s] if ns[s] else 0.0) + rest * counts[w][2] / sum(counts[x][2] for x in ws))
+        assert abs(sum(p.values()) - 1) < 1e-9
+        prob.append(p)
+    table = {s: [sum(counts[w][k] for w in ws) for k in range(3)] + [len(ws)] + [sum(min(counts[w][c], d) for w in ws) for c in (0, 1)] for s, ws in by_stem.items()}
+    kept = [s for s, t in table.items() if t[0] > d or t[1] > d]
+    stems = {"stem": np.array([ngrams.stem_hash(s) for s in kept]), **{k: np.array([table[s][i] for s in kept], float) for i, k in enumerate(("n0", "n1", "n", "kinds", "cut0", "cut1"))}}
+    said = [w for w in words if counts[w][0] > d or counts[w][1] > d]
+    rows = {"word": np.array([ngrams.word_hash(w) for w in said]), "stem": np.array([ngrams.stem_hash(w) for w in said]), **{k: np.array([counts[w][i] for w in said], float) for i, k in enumerate(("n0", "n1", "n"))}}
+    totals = {"n0": sum(t[0] for t in table.values()), "n1": sum(t[1] for t in table.values()), "kinds": len(words), "cut0": sum(min(t[0], d) for t in table.values()), "cut1": sum(min(t[1], d) for t in table.values())}
+    got = ngrams.fit(stems, rows, totals, d).of(words)
+    assert np.allclose(got, [np.log(prob[1][w] / prob[0][w]) for w in words])
     assert len(ngrams.features(np.zeros(0))) == len(op06_toxicity.NAMES)
     assert logistic.fit(np.zeros((0, 2)), np.zeros(0)).score(np.zeros((1, 2)))[0] == pytest.approx(0.5)
