@@ -34,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="glossa-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="glossa-shared-"))
     return base.rstrip("/")
 
 
+#: Folders made for local sessions that name none, by application.
+_own: dict[str, str] = {}
+
 _scratch: list[list[str]] = []
 
 
