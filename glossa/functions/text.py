@@ -43,16 +43,22 @@ def ends_word(pattern: str, letters: str) -> str:
 
 def sentences(text: str | Column, p: Profile) -> Column:
     """Array of trimmed sentences; empty ones are dropped."""
+    if p.sentence_splitter is not None:
+        return p.sentence_splitter(col(text))
     found = F.transform(F.regexp_extract_all(col(text), F.lit(p.sentence), F.lit(0)), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.filter(found, lambda s: s != "")
 
 
 def tokens(text: str | Column, p: Profile) -> Column:
+    if p.tokenizer is not None:
+        return p.tokenizer(col(text))
     return F.regexp_extract_all(col(text), F.lit(p.token), F.lit(0))
 
 
 def lemma(token: Column, p: Profile) -> Column:
-    """Table lookup of the plain lower-case form, else that form."""
+    """The plugged-in analyser's answer; without one a table lookup of the plain lower-case form, else that form."""
+    if p.lemmatizer is not None:
+        return p.lemmatizer(token)
     form = plain_lower(token)
     if not p.lemmas:
         return form

@@ -11,7 +11,6 @@ from glossa.functions import text as T
 from glossa.plans.profile import Profile
 
 COLUMNS = ["marker_id", "marker_source", "microtheme", "phrase_family", "unit_type", "unit_raw", "unit_norm", "marker_label", "precision_level", "source_type", "enabled", "risk_comment", "comment"]
-PRIORITY = {"PHRASE": 0, "CURATED": 1, "LISTED": 2}
 
 
 def theme_aliases(themes: DataFrame) -> DataFrame:
@@ -64,7 +63,7 @@ def curated(rows: DataFrame, aliases: DataFrame, p: Profile) -> DataFrame:
     theme = F.when(T.strip("microtheme") != "", F.concat(F.lit(" ["), F.col("microtheme"), F.lit("]"))).otherwise("")
     label = F.concat(F.when(kind == "WORD", norm).otherwise(unit), theme)
     return df.select(
-        F.col("id").alias("marker_id"), F.lit("CURATED").alias("marker_source"), "microtheme", F.lit("WORD_CORE").alias("phrase_family"), kind.alias("unit_type"), unit.alias("unit_raw"),
+        F.col("id").alias("marker_id"), F.lit(p.curated_source).alias("marker_source"), "microtheme", F.lit("WORD_CORE").alias("phrase_family"), kind.alias("unit_type"), unit.alias("unit_raw"),
         norm.alias("unit_norm"), label.alias("marker_label"), "precision_level", "source_type", F.col("enabled").cast("string"), "risk_comment", "comment",
     )
 
@@ -75,7 +74,7 @@ def listed(units: DataFrame, aliases: DataFrame, p: Profile) -> DataFrame:
     rows = rows.withColumn("n", F.row_number().over(Window.orderBy("ord"))).withColumn("norm", T.lemma(F.col("unit"), p))
     rows = normalise_themes(rows.withColumn("microtheme", listed_theme(F.col("norm"), p)), aliases, p)
     return rows.select(
-        F.format_string("LIST_%03d", "n").alias("marker_id"), F.lit("LISTED").alias("marker_source"), "microtheme", F.lit("WORD_LISTED").alias("phrase_family"), F.lit("WORD").alias("unit_type"), F.col("unit").alias("unit_raw"),
+        F.format_string(p.listed_id, "n").alias("marker_id"), F.lit(p.listed_source).alias("marker_source"), "microtheme", F.lit(p.listed_family).alias("phrase_family"), F.lit("WORD").alias("unit_type"), F.col("unit").alias("unit_raw"),
         F.col("norm").alias("unit_norm"), F.concat("norm", F.lit(" ["), "microtheme", F.lit("]")).alias("marker_label"), F.lit("CORE").alias("precision_level"), F.lit("dictionary").alias("source_type"), F.lit("1").alias("enabled"),
         F.lit("").alias("risk_comment"), F.lit("word list unit").alias("comment"),
     )
@@ -101,7 +100,8 @@ def registry(curated_rows: DataFrame, units: DataFrame, phrase_rows: DataFrame,
     every = every.withColumn("unit_norm", T.strip("unit_norm"))
     if levels:
         every = every.where(F.col("precision_level").isin(*levels))
-    priority = F.create_map(*[F.lit(x) for k, v in PRIORITY.items() for x in (k, v)])[F.col("marker_source")]
+    order_of = ("PHRASE", p.curated_source, p.listed_source)
+    priority = F.create_map(*[F.lit(x) for i, k in enumerate(order_of) for x in (k, i)])[F.col("marker_source")]
     first = F.row_number().over(Window.partitionBy("unit_type", "unit_norm").orderBy(priority, "marker_id"))
     kept = every.withColumn("_first", first).where(F.col("_first") == 1).drop("_first")
     order = Window.orderBy("marker_source", "precision_level", "marker_id")  # the registry is a small table

@@ -58,6 +58,6 @@ def share_by_part(df: DataFrame, perspectives: list[str]) -> DataFrame:
 def dynamics_lines(df: DataFrame, segments: DataFrame, kind: str, n: int = 6) -> DataFrame:
     """Counts of the n top markers in each segment of the table, in its order, 0 where there is none."""
     top = top_markers(df, n).select("marker_id")
-    grid = segments.select(F.col(f"{kind}_id").alias("ord"), F.col(f"{kind}_name").alias(kind)).join(F.broadcast(top), F.lit(True))
+    grid = segments.select(F.col(f"{kind}_id").alias("ord"), F.col(f"{kind}_name").alias(kind)).distinct().join(F.broadcast(top), F.lit(True))
     found = df.join(F.broadcast(top), "marker_id", "left_semi").groupBy(kind, "marker_id").agg(F.count("*").alias("count"))
     return grid.join(found, [kind, "marker_id"], "left").fillna(0, ["count"])

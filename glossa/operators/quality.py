@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators.stats import level, top_markers
+from glossa.plans.profile import Profile
 
 LINKS = ("YES", "PROBABLE", "NO")
 CONFIDENCES = ("HIGH", "MEDIUM", "LOW")
@@ -118,27 +119,23 @@ def theme_has(pattern: str) -> Column:
     return T.matches(F.coalesce("microtheme", F.lit("")), pattern)
 
 
-#: Topical selections: name and pattern of the microtheme.
-TOPICS = {"memory": "память|воспомин|reference", "understanding": "пониман|ясность|догад|соображ|article", "decision": "решение|намерение|place", "doubt": "сомнен|колеб|doubt|loose"}
-
-
-def selections(clean: DataFrame) -> dict[str, tuple[DataFrame, str]]:
+def selections(clean: DataFrame, p: Profile) -> dict[str, tuple[DataFrame, str]]:
     """Name to (hits, title) of the example sheets; clean: hits without noise that count."""
     wide, strict = clean.where("hero_link IN ('YES', 'PROBABLE')"), clean.where("hero_link = 'YES'")
     out = {"strict": (strict, "strict hero contexts"), "core": (wide.where(level("CORE")), "CORE"), "extended": (wide.where(level("EXTENDED")), "EXTENDED"), "experimental": (clean.where(level("EXPERIMENTAL")), "EXPERIMENTAL")}
     out |= {"inner": (wide.where("perspective = 'HERO_INNER_SPEECH'"), "inner speech"), "others_to": (wide.where("perspective = 'OTHERS_TO_HERO'"), "others to hero"), "narrator": (strict.where("perspective = 'NARRATOR_ABOUT_HERO'"), "narrator about hero")}
     out["others"] = (wide.where("perspective IN ('OTHERS_TO_HERO', 'OTHERS_ABOUT_HERO', 'OTHERS_NEAR_HERO')"), "other characters")
-    return out | {k: (wide.where(theme_has(v)), k) for k, v in TOPICS.items()}
+    return out | {name: (wide.where(theme_has(pattern)), name) for name, _, pattern in p.topics}
 
 
-def best_examples(clean: DataFrame, each: int = 2) -> DataFrame:
-    """Two compact examples for each bucket: perspectives, then topics. A hit may be in several."""
+def best_examples(clean: DataFrame, p: Profile, each: int = 2) -> DataFrame:
+    """Two compact examples for each bucket, with the reason: perspectives, then topics. A hit may be in several."""
     wide = clean.where("hero_link IN ('YES', 'PROBABLE')")
-    is_a = lambda x: F.col("perspective") == x
-    buckets = {"narrator about hero": is_a("NARRATOR_ABOUT_HERO"), "inner speech": is_a("HERO_INNER_SPEECH"), "direct speech": is_a("HERO_DIRECT_SPEECH"), "others to hero": is_a("OTHERS_TO_HERO")} | {k: theme_has(v) for k, v in TOPICS.items()}
+    views = ("NARRATOR_ABOUT_HERO", "HERO_INNER_SPEECH", "HERO_DIRECT_SPEECH", "OTHERS_TO_HERO")
+    buckets = {t: F.col("perspective") == v for t, v in zip(p.bucket_titles, views, strict=True)} | {title: theme_has(pattern) for _, title, pattern in p.topics}
     found = wide.withColumn("thesis_bucket", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in buckets.items()]))))
     first = F.row_number().over(Window.partitionBy("thesis_bucket").orderBy(rank("perspective_confidence", CONFIDENCES), *PLACE))
-    return found.withColumn("_n", first).where(F.col("_n") <= each).select(*EXAMPLE, "thesis_bucket")
+    return found.withColumn("_n", first).where(F.col("_n") <= each).select(*EXAMPLE, "thesis_bucket", F.lit(p.why_selected).alias("why_selected"))
 
 
 def noise_examples(raw: DataFrame, n: int = 150) -> DataFrame:

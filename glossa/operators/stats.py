@@ -83,18 +83,31 @@ def coverage(markers: DataFrame, tagged: DataFrame) -> DataFrame:
 
 
 def segment_rates(hits: DataFrame, sents: DataFrame, segments: DataFrame, kind: str) -> DataFrame:
-    """Each segment's sentences, words, hits and rates; segments without any stay. Both sides are summed by segment before they meet."""
-    seg = segments.select(F.col(f"{kind}_id").alias("_id"), F.col(f"{kind}_name").alias(kind), "start_sent", "end_sent")
+    """Each segment's sentences, words, hits and rates; segments without any stay. Both sides are summed by place before they meet. Segments with a doc_id are joined by it and keep it."""
+    doc = ["doc_id"] if "doc_id" in segments.columns else []
+    key = [*doc, "_id"]
+    seg = segments.select(*doc, F.col(f"{kind}_id").alias("_id"), F.col(f"{kind}_name").alias(kind), "start_sent", "end_sent")
+    # Segments of one project are a small table; those built for each document grow with the corpus and meet by doc_id.
+    other = seg.withColumnRenamed("doc_id", "_doc") if doc else F.broadcast(seg)
     within = F.col("sent_id").between(F.col("start_sent"), F.col("end_sent"))
-    s = sents.groupBy("sent_id").agg(F.count("*").alias("n"), F.sum("word_count").alias("w")).join(F.broadcast(seg), within).groupBy("_id").agg(F.sum("n").alias("sentences"), F.sum("w").alias("words"))
-    h = hits.groupBy("sent_id").agg(F.count("*").alias("n")).join(F.broadcast(seg), within).groupBy("_id").agg(F.sum("n").alias("hits"))
-    out = seg.join(s, "_id", "left").join(h, "_id", "left").fillna(0, ["sentences", "words", "hits"])
-    return out.select(kind, "start_sent", "end_sent", "sentences", "words", "hits", rate(F.col("hits"), F.col("sentences"), 1000).alias("hits_per_1000_sentences"), rate(F.col("hits"), F.col("words"), 10000).alias("hits_per_10000_words"))
+    meets = within & (F.col("doc_id") == F.col("_doc")) if doc else within
+    s = sents.groupBy(*doc, "sent_id").agg(F.count("*").alias("n"), F.sum("word_count").alias("w")).join(other, meets).groupBy(*key).agg(F.sum("n").alias("sentences"), F.sum("w").alias("words"))
+    h = hits.groupBy(*doc, "sent_id").agg(F.count("*").alias("n")).join(other, meets).groupBy(*key).agg(F.sum("n").alias("hits"))
+    out = seg.join(s, key, "left").join(h, key, "left").fillna(0, ["sentences", "words", "hits"])
+    return out.select(*doc, kind, "start_sent", "end_sent", "sentences", "words", "hits", rate(F.col("hits"), F.col("sentences"), 1000).alias("hits_per_1000_sentences"), rate(F.col("hits"), F.col("words"), 10000).alias("hits_per_10000_words"))
+
+
+#: Most columns of a pivoted table.
+PIVOT_COLUMNS = 10_000
 
 
 def pivot_matrix(df: DataFrame, index: str, column: str, values: list[str] | None = None) -> DataFrame:
-    """Counts with a column for each value, in order, 0 where there is none. Without `values` they are read from the data first."""
-    values = sorted(r[0] for r in df.select(column).distinct().collect()) if values is None else values
+    """Counts with a column for each value, in order, 0 where there is none. Without `values` they are read from the data first: as many as a table can have columns, else it raises."""
+    if values is None:
+        found = [r[0] for r in df.select(column).distinct().limit(PIVOT_COLUMNS + 1).collect()]
+        if len(found) > PIVOT_COLUMNS:
+            raise ValueError(f"{column} has over {PIVOT_COLUMNS} values; name those that are wanted")
+        values = sorted(found)
     out = df.groupBy(index).pivot(column, values).agg(F.count(F.lit(1)))
     return out.fillna(0, [c for c in out.columns if c != index])
 
@@ -112,7 +125,9 @@ def hero_vs_corpus(hits: DataFrame) -> DataFrame:
 
 
 def analytical_indices(hits: DataFrame, rates: DataFrame) -> DataFrame:
-    """Ratios by part; 0 where there is nothing to relate to."""
+    """Ratios by part; 0 where there is nothing to relate to. Rates of several documents' parts of one name are taken together."""
+    if "doc_id" in rates.columns:
+        rates = rates.groupBy("part").agg(F.sum("hits").alias("hits"), F.sum("words").alias("words")).withColumn("hits_per_10000_words", rate(F.col("hits"), F.col("words"), 10000))
     n = hits.groupBy("part").agg(
         F.count("*").alias("all_hits"), F.count_if(F.col("perspective") == "HERO_INNER_SPEECH").alias("inner_speech_hits"), F.count_if(F.col("perspective").isin(*OTHERS)).alias("external_pressure_hits"),
         F.count_if(level("CORE")).alias("core_hits"), F.count_if(level("EXTENDED")).alias("extended_hits"),

@@ -19,6 +19,10 @@ LABELS_RU = {
     "HERO_INNER_SPEECH": "герой: внутренняя речь", "HERO_DIRECT_SPEECH": "герой: прямая речь", "NARRATOR_ABOUT_HERO": "повествователь о герое", "OTHERS_TO_HERO": "другие обращаются к герою",
     "OTHERS_ABOUT_HERO": "другие говорят о герое", "OTHERS_NEAR_HERO": "другие рядом с героем", "UNKNOWN": "неопределено",
 }
+#: Labels in tables; the plots' ones above are shorter.
+TAG_LABELS_RU = LABELS_RU | {
+    "OTHERS_TO_HERO": "другие персонажи обращаются к герою", "OTHERS_ABOUT_HERO": "другие персонажи говорят о герое", "OTHERS_NEAR_HERO": "другие персонажи в контексте рядом с героем",
+}
 ACT_LABELS_RU = {"PROMPT": "побуждение (совет/призыв думать)", "EVALUATE": "оценка (критика/похвала способности думать)", "STATEMENT": "констатация", "UNKNOWN": "неопределено"}
 
 
@@ -174,10 +178,21 @@ def tagged_sentences(sents: DataFrame, p: Profile) -> DataFrame:
 TAGS = ["hero_link", "hero_evidence", "perspective", "perspective_evidence", "perspective_confidence", "speaker_detected", "addressee_detected", "others_speech_act"]
 
 
+def with_labels(hits: DataFrame) -> DataFrame:
+    """hits with perspective_label and speech_act_label; values without a label stay as they are."""
+
+    def label(column: str, labels: dict[str, str]) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for k, v in labels.items() for x in (k, v)])[F.col(column)], F.col(column))
+
+    return hits.withColumns({"perspective_label": label("perspective", TAG_LABELS_RU), "speech_act_label": label("others_speech_act", ACT_LABELS_RU)})
+
+
 def assign_segments(hits: DataFrame, segments: DataFrame | None, kind: str) -> DataFrame:
     """hits with <kind>_id and <kind>, the segment whose closed interval holds sent_id, else -1 and UNKNOWN.
 
-    Column names of the other kind are taken where a table has no own ones. Segments don't overlap.
+    Column names of the other kind are taken where a table has no own ones. Segments don't overlap. Segments with a
+    doc_id hold sentences of their document alone and are joined by it; those without, a table of one project's
+    intervals, hold those of every document.
     """
     if segments is None:
         return hits.withColumns({f"{kind}_id": F.lit(-1), kind: F.lit("UNKNOWN")})
@@ -185,8 +200,10 @@ def assign_segments(hits: DataFrame, segments: DataFrame | None, kind: str) -> D
     pick = lambda *names: next(c for c in names if c in segments.columns)
     s = segments.select(
         F.col(pick(f"{kind}_id", f"{twin}_id")).cast("int").alias(f"{kind}_id"), F.col(pick(f"{kind}_name", kind, f"{twin}_name")).cast("string").alias(kind), F.col("start_sent").cast("int").alias("_from"), F.col("end_sent").cast("int").alias("_to"),
+        *([F.col("doc_id").alias("_doc")] if "doc_id" in segments.columns else []),
     )
-    joined = hits.join(s, F.col("sent_id").between(F.col("_from"), F.col("_to")), "left").drop("_from", "_to")
+    within = F.col("sent_id").between(F.col("_from"), F.col("_to"))
+    joined = hits.join(s, within & (F.col("doc_id") == F.col("_doc")) if "_doc" in s.columns else within, "left").drop("_from", "_to", "_doc")
     return joined.withColumns({f"{kind}_id": F.coalesce(f"{kind}_id", F.lit(-1)), kind: F.coalesce(kind, F.lit("UNKNOWN"))})
 
 

@@ -117,9 +117,9 @@ def steps(p: Profile) -> dict[str, str]:
         "tagged_sents": f"SELECT *, {tags} FROM linked_sents",
         "themes": values(P.LATIN_THEMES, "canonical, aliases"),
         "aliases": f"SELECT {plain_lower('trim(alias)')} AS alias, any_value(canonical) AS canonical FROM (SELECT canonical, unnest(list_append(string_split(aliases, ';'), canonical)) AS alias FROM themes) WHERE trim(alias) <> '' GROUP BY 1",
-        "curated": f"""SELECT id AS marker_id, 'CURATED' AS marker_source, {theme(p, 'microtheme')} AS microtheme, 'WORD_CORE' AS phrase_family, upper(unit_type) AS unit_type, unit AS unit_raw,
+        "curated": f"""SELECT id AS marker_id, 'S1' AS marker_source, {theme(p, 'microtheme')} AS microtheme, 'WORD_CORE' AS phrase_family, upper(unit_type) AS unit_type, unit AS unit_raw,
             CASE WHEN upper(unit_type) = 'WORD' THEN {lemma('unit', p)} ELSE trim(unit) END AS unit_norm, 'CORE' AS precision_level, 'curated' AS source_type, '1' AS enabled, '' AS risk_comment, comment FROM ({values(P.LATIN_CURATED, 'id, microtheme, unit, unit_type, comment')})""",
-        "listed": f"""SELECT 'LIST_' || lpad(n::VARCHAR, 3, '0') AS marker_id, 'LISTED' AS marker_source, {theme(p, 'theme')} AS microtheme, 'WORD_LISTED' AS phrase_family, 'WORD' AS unit_type, unit AS unit_raw, norm AS unit_norm, 'CORE' AS precision_level,
+        "listed": f"""SELECT 'ALEX_' || lpad(n::VARCHAR, 3, '0') AS marker_id, 'ALEXANDROVA' AS marker_source, {theme(p, 'theme')} AS microtheme, 'WORD_ALEXANDROVA' AS phrase_family, 'WORD' AS unit_type, unit AS unit_raw, norm AS unit_norm, 'CORE' AS precision_level,
             'dictionary' AS source_type, '1' AS enabled, '' AS risk_comment, 'word list unit' AS comment FROM (SELECT *, {theme_of} AS theme FROM (SELECT *, {lemma('unit', p)} AS norm, row_number() OVER (ORDER BY ord) AS n
             FROM (SELECT ord, trim(value) AS unit FROM ({values(listed, 'ord, value')})) WHERE unit <> '' AND NOT starts_with(unit, '#')))""",
         "phrases": f"""SELECT CASE WHEN regexp_full_match(id, '[0-9]+') THEN 'PHR_' || CASE WHEN length(id) < 3 THEN lpad(id, 3, '0') ELSE id END ELSE id END AS marker_id, 'PHRASE' AS marker_source, {theme(p, 'microtheme')} AS microtheme,
@@ -128,7 +128,7 @@ def steps(p: Profile) -> dict[str, str]:
             FROM ({values(P.LATIN_PHRASES, 'id, phrase_text, pattern_lemmas, microtheme, phrase_family, precision_level, source_type, enabled, risk_comment, comment')}) WHERE lower(trim(enabled)) IN ('1', 'true', 'yes', 'да', 'y')""",
         "sourced": "SELECT *, 0 AS prio FROM phrases UNION ALL SELECT *, 1 FROM curated UNION ALL SELECT *, 2 FROM listed",
         "markers": """SELECT * EXCLUDE (prio, k), row_number() OVER (ORDER BY marker_source, precision_level, marker_id) AS marker_ord FROM (SELECT *,
-            CASE WHEN marker_source = 'CURATED' AND unit_type <> 'WORD' THEN unit_raw WHEN marker_source = 'PHRASE' THEN unit_raw ELSE unit_norm END || ' [' || microtheme || ']' AS marker_label,
+            CASE WHEN marker_source = 'S1' AND unit_type <> 'WORD' THEN unit_raw WHEN marker_source = 'PHRASE' THEN unit_raw ELSE unit_norm END || ' [' || microtheme || ']' AS marker_label,
             row_number() OVER (PARTITION BY unit_type, trim(unit_norm) ORDER BY prio, marker_id) AS k FROM sourced) WHERE k = 1""",
         "tokens": "SELECT doc_id, sent_id, lemmas, unnest(lemmas) AS lemma, generate_subscripts(lemmas, 1) AS pos FROM sents",
         "candidates": f"""SELECT doc_id, sent_id, marker_id, (pos - 1)::BIGINT AS s, (fin - 1)::BIGINT AS e FROM (SELECT *,

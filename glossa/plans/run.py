@@ -86,9 +86,9 @@ def showcase_tables(a: Analysis, top_n: int = 25, examples_per_marker: int = 4)
         "top_all": quality.count_table(clean, keys, top_n), "top_strict": quality.count_table(strict, keys, top_n), "top_wide": quality.count_table(wide, keys, top_n), "precision_layers": quality.count_table(clean, ["precision_level"]),
         "phrase_families": quality.count_table(wide.where("unit_type = 'PHRASE'"), ["phrase_family", "microtheme", "precision_level"], top_n), "microthemes_strict": quality.count_table(strict, ["microtheme"], top_n),
         "perspective_strict": quality.count_table(strict, ["perspective"]), "perspective_wide": quality.count_table(wide, ["perspective"]), "dynamics_parts": stats.dynamics(strict, "part", top_n), "dynamics_books": stats.dynamics(strict, "book", top_n),
-        "best_examples": quality.best_examples(clean), "noise_examples": quality.noise_examples(a.tagged),
+        "best_examples": quality.best_examples(clean, a.p), "noise_examples": quality.noise_examples(a.tagged),
     }
-    return out | {f"examples_{k}": quality.examples(df, title, top_n, examples_per_marker) for k, (df, title) in quality.selections(clean).items()}
+    return out | {f"examples_{k}": quality.examples(df, title, top_n, examples_per_marker) for k, (df, title) in quality.selections(clean, a.p).items()}
 
 
 def plot_tables(a: Analysis) -> dict[str, DataFrame]:
@@ -131,7 +131,50 @@ def validate(a: Analysis) -> DataFrame:
     return out.select(F.when(bad, "WARN").otherwise("OK").alias("level"), "check", "n")
 
 
-def run(a: Analysis, out: str, extra: dict[str, Any] | None = None, make_plots: bool = False, xlsx: bool = False, clean_out: bool = False, export_names: bool = False) -> None:
+#: Most bars of a chart and most cells of a heat map; the tables beside them are whole.
+BARS, CELLS = 20, 1_000
+
+
+def figure(name: str, df: DataFrame) -> str:
+    """A plot table as SVG: heat maps of (row, column, count), lines of a marker over segments, a pie of shares, bars of all else."""
+    title, kinds = name.replace("_", " "), dict(df.dtypes)
+    texts = [c for c, t in df.dtypes if t == "string"]
+    if "heatmap" in name:
+        row, column = texts[:2]
+        return files.heatmap_svg(title, [(r[0], r[1], float(r[2])) for r in df.orderBy(row, column).select(row, column, "count").limit(CELLS).collect()])
+    if "dynamics" in name:
+        kind = next(c for c in texts if c != "marker_id")
+        series: dict[str, list[tuple[str, float]]] = {}
+        for r in df.orderBy("marker_id", "ord").select("marker_id", kind, "count").limit(CELLS).collect():
+            series.setdefault(r[0], []).append((r[1], float(r[2])))
+        return files.line_svg(title, series)
+    if "is_labelled" in kinds:
+        return files.pie_svg(title, [(r[0], float(r[1]), r[2]) for r in df.orderBy(F.desc("count"), "label").select("label", "count", "is_labelled").collect()])
+    value = next((c for c in ("count", "share_pct", "hits_per_10000_words", "hero_count", *df.columns) if c in kinds and kinds[c] != "string"), None)
+    if not texts or value is None:
+        return files.bar_svg(title, [])
+    label = next((c for c in ("label", "marker_label") if c in texts), texts[0])
+    return files.bar_svg(title, [(r[0], float(r[1] or 0)) for r in df.orderBy(F.desc(value), label).select(label, value).limit(BARS).collect()])
+
+
+def validate_files(spark: SparkSession, root: str, rest: dict[str, Any]) -> DataFrame:
+    """(level, check, n) of a configuration's files: whether each is there, and the rows of segment tables with the columns they need; -1 where a file is absent."""
+    at = lambda x: x if "://" in x or posixpath.isabs(x) else posixpath.join(root, x)
+    found: list[tuple[str, str, int]] = []
+    for name, path in rest.get("markers", {}).items():
+        there = files.exists(spark, at(path))
+        found.append(("OK" if there else "WARN", f"marker file {name}", 1 if there else -1))
+    for name, path in rest.get("segmentation", {}).items():
+        if not files.exists(spark, at(path)):
+            found.append(("WARN" if name == "books_csv" else "INFO", f"segmentation {name}", -1))
+            continue
+        table = spark.read.csv(at(path), header=True)
+        missing = [c for c in ("start_sent", "end_sent") if c not in table.columns]
+        found.append(("WARN" if missing else "OK", f"segmentation {name}" + (f" without {', '.join(missing)}" if missing else ""), table.count()))
+    return spark.createDataFrame(found, "level string, check string, n long")
+
+
+def run(a: Analysis, out: str, extra: dict[str, Any] | None = None, make_plots: bool = False, xlsx: bool = True, clean_out: bool = False, export_names: bool = False) -> None:
     """All tables of a project under `out`."""
     spark, p = a.sources.docs.sparkSession, a.p
     if clean_out and files.exists(spark, out):
@@ -154,12 +197,9 @@ def run(a: Analysis, out: str, extra: dict[str, Any] | None = None, make_plots:
     files.save_workbook(showcase_tables(a), f"{out}/SHOWCASE", xlsx)
     if make_plots:
         tables = plot_tables(a)
-        files.save_workbook(tables, f"{out}/PLOTS")
-        for name, df in tables.items():
-            label, value = next((c for c, t in df.dtypes if t == "string"), None), next((c for c in ("count", "share_pct", "hits_per_10000_words", "hero_count") if c in df.columns), None)
-            if label and value:
-                rows = [(r[0], float(r[1])) for r in spark.read.parquet(f"{out}/PLOTS/{name}.parquet").orderBy(F.desc(value), label).select(label, value).limit(20).collect()]
-                files.write_text(spark, f"{out}/PLOTS/{name}.svg", files.bar_svg(name.replace("_", " "), rows))
+        files.save_workbook(tables, f"{out}/PLOTS", xlsx=False)
+        for name in tables:
+            files.write_text(spark, f"{out}/PLOTS/{name}.svg", figure(name, spark.read.parquet(f"{out}/PLOTS/{name}.parquet")))
     if p.save_run_metadata:
         files.write_json(spark, f"{out}/RUN_METADATA.json", metadata(a, extra or {}))
 
@@ -178,7 +218,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--auto-build-segmentation", action="store_true")
     ap.add_argument("--include-headers", action="store_true")
     ap.add_argument("--include-epigraph", action="store_true")
-    ap.add_argument("--xlsx", action="store_true")
+    ap.add_argument("--no-xlsx", action="store_true", help="tables as Parquet alone")
     ap.add_argument("--export-names", action="store_true", help="column names of older exports")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("glossa").getOrCreate()
@@ -197,13 +237,13 @@ def main(argv: list[str] | None = None) -> int:
             files.save_csv(books.orderBy("doc_id", "book_id"), f"{out}/books.csv")
             files.save_csv(parts.orderBy("doc_id", "part_id"), f"{out}/parts.csv")
             return 0
-        sources = replace(sources, books=sources.books if sources.books is not None else books.drop("doc_id"), parts=sources.parts if sources.parts is not None else parts.drop("doc_id"))
+        sources = replace(sources, books=sources.books if sources.books is not None else books, parts=sources.parts if sources.parts is not None else parts)
     a = Analysis(sources, p, args.max_sents)
     if args.command == "validate":
-        validate(a).show(50, truncate=False)
+        validate_files(spark, root, rest).select("level", "check", F.col("n")).union(validate(a)).show(100, truncate=False)
         return 0
     extra = {"corpus_path": posixpath.relpath(corpus, root), "corpus_sha256": files.sha256(spark, corpus), "config_path": posixpath.basename(args.config), "config_sha256": files.sha256(spark, args.config)}
-    run(a, out, extra, args.make_plots, args.xlsx, args.clean_out, args.export_names)
+    run(a, out, extra, args.make_plots, not args.no_xlsx, args.clean_out, args.export_names)
     return 0
 
 

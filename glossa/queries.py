@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators import lexicon, plotdata, quality, segments, stats, texts
-from glossa.operators.tagging import LABELS_RU, OTHERS, PERSPECTIVES
+from glossa.operators.tagging import ACT_LABELS_RU, LABELS_RU, OTHERS, PERSPECTIVES, TAG_LABELS_RU, with_labels
 from glossa.plans.analysis import Analysis, bench_analysis
 from glossa.plans.oracle import quoted, rate, share, sql
+from glossa.plans.profile import LATIN
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +115,9 @@ add("priority_sample", lambda a: quality.priority_sample(a.tagged, a.p.max_hits_
 LABELS = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in LABELS_RU.items())
 add("perspective_labels", lambda a: _labels(a), f"SELECT CASE perspective {LABELS} ELSE perspective END AS label, count(*) AS n FROM tagged GROUP BY 1")
 
+TAGS_RU, ACTS_RU = (" ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in t.items()) for t in (TAG_LABELS_RU, ACT_LABELS_RU))
+add("tag_labels", lambda a: with_labels(a.tagged).groupBy("perspective_label", "speech_act_label").agg(F.count("*").alias("n")), f"SELECT CASE perspective {TAGS_RU} ELSE perspective END AS perspective_label, CASE others_speech_act {ACTS_RU} ELSE others_speech_act END AS speech_act_label, count(*) AS n FROM tagged GROUP BY 1, 2")
+
 # ------------------------------------------------------------------ segments
 add("segments_ntile", lambda a: segments.equal_segments(a.sentences, 8, "part"), "SELECT doc_id, part_id, 'Part ' || part_id AS part_name, min(sent_id) AS start_sent, max(sent_id) AS end_sent FROM (SELECT doc_id, sent_id, ntile(8) OVER (PARTITION BY doc_id ORDER BY sent_id)::INT AS part_id FROM sents) GROUP BY ALL")
 add(
@@ -240,12 +244,12 @@ for scope, table in CLEAN.items():
     add(f"showcase_top_{scope}", lambda a, s=scope: quality.count_table(a.clean if s == "all" else stats.linked(a.clean, s), TOP_KEYS, 10), f"{grouped(table, names(TOP_KEYS))} ORDER BY count DESC, {names(TOP_KEYS)} LIMIT 10")
 TOPIC = {"strict": CLEAN["strict"], "core": f"(SELECT * FROM {CLEAN['wide']} WHERE precision_level = 'CORE')", "extended": f"(SELECT * FROM {CLEAN['wide']} WHERE precision_level = 'EXTENDED')", "experimental": "(SELECT * FROM clean WHERE precision_level = 'EXPERIMENTAL')"}
 TOPIC |= {"inner": f"(SELECT * FROM {CLEAN['wide']} WHERE perspective = 'HERO_INNER_SPEECH')", "others_to": f"(SELECT * FROM {CLEAN['wide']} WHERE perspective = 'OTHERS_TO_HERO')", "narrator": f"(SELECT * FROM {CLEAN['strict']} WHERE perspective = 'NARRATOR_ABOUT_HERO')", "others": f"(SELECT * FROM {CLEAN['wide']} WHERE {IN_OTHERS})"}
-TOPIC |= {k: f"(SELECT * FROM {CLEAN['wide']} WHERE regexp_matches(microtheme, '(?i){v}'))" for k, v in quality.TOPICS.items()}
+TOPIC |= {k: f"(SELECT * FROM {CLEAN['wide']} WHERE regexp_matches(microtheme, '(?i){v}'))" for k, _, v in LATIN.topics}
 for topic, table in TOPIC.items():
-    add(f"examples_{topic}", lambda a, t=topic: quality.examples(*quality.selections(a.clean)[t]).select("hit_id", "marker_id"), f"SELECT hit_id, marker_id FROM {table} AS x WHERE marker_id IN (SELECT marker_id FROM {table} AS y GROUP BY marker_id ORDER BY count(*) DESC, marker_id LIMIT 25) QUALIFY row_number() OVER (PARTITION BY marker_id ORDER BY {PLACE}) <= 4")
-BUCKETS = {"narrator about hero": "perspective = 'NARRATOR_ABOUT_HERO'", "inner speech": "perspective = 'HERO_INNER_SPEECH'", "direct speech": "perspective = 'HERO_DIRECT_SPEECH'", "others to hero": "perspective = 'OTHERS_TO_HERO'"} | {k: f"regexp_matches(microtheme, '(?i){v}')" for k, v in quality.TOPICS.items()}
+    add(f"examples_{topic}", lambda a, t=topic: quality.examples(*quality.selections(a.clean, a.p)[t]).select("hit_id", "marker_id"), f"SELECT hit_id, marker_id FROM {table} AS x WHERE marker_id IN (SELECT marker_id FROM {table} AS y GROUP BY marker_id ORDER BY count(*) DESC, marker_id LIMIT 25) QUALIFY row_number() OVER (PARTITION BY marker_id ORDER BY {PLACE}) <= 4")
+BUCKETS = {"narrator about hero": "perspective = 'NARRATOR_ABOUT_HERO'", "inner speech": "perspective = 'HERO_INNER_SPEECH'", "direct speech": "perspective = 'HERO_DIRECT_SPEECH'", "others to hero": "perspective = 'OTHERS_TO_HERO'"} | {k: f"regexp_matches(microtheme, '(?i){v}')" for k, _, v in LATIN.topics}
 CONF = "CASE perspective_confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END"
-add("best_examples", lambda a: quality.best_examples(a.clean).select("thesis_bucket", "hit_id"), " UNION ALL ".join(f"(SELECT '{k}' AS thesis_bucket, hit_id FROM {CLEAN['wide']} WHERE {w} ORDER BY {CONF}, {PLACE} LIMIT 2)" for k, w in BUCKETS.items()))
+add("best_examples", lambda a: quality.best_examples(a.clean, a.p).select("thesis_bucket", "hit_id", "why_selected"), " UNION ALL ".join(f"(SELECT '{k}' AS thesis_bucket, hit_id, 'picked automatically as a compact example' AS why_selected FROM {CLEAN['wide']} WHERE {w} ORDER BY {CONF}, {PLACE} LIMIT 2)" for k, w in BUCKETS.items()))
 add("noise_examples", lambda a: quality.noise_examples(a.tagged).select("hit_id", "noise_reason"), "SELECT hit_id, noise_reason FROM tagged WHERE is_noise ORDER BY hit_id LIMIT 150")
 
 # ------------------------------------------------------------------ plot data
@@ -306,3 +310,10 @@ def _high(a: Analysis) -> DataFrame:
     from dataclasses import replace
 
     return stats.counted(a.tagged, replace(a.p, min_perspective_confidence_main="HIGH")).select("hit_id")
+
+
+# ------------------------------------------------------------------ sources, sinks, segments and runs
+from glossa import project_queries  # noqa: E402
+
+QUERIES |= project_queries.QUERIES
+ORACLE_SQL |= project_queries.ORACLE_SQL

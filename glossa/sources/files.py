@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import json
+import math
+import tempfile
 import zipfile
+from collections.abc import Iterable, Sequence
+from typing import IO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +39,15 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def write_stream(spark: SparkSession, path: str, data: IO[bytes], block: int = 1 << 20) -> None:
+    """A file from the driver, by blocks."""
+    fs, where = _fs(spark, path)
+    out = fs.create(where, True)
+    while part := data.read(block):
+        out.write(part)
+    out.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode())
 
@@ -138,34 +150,50 @@ def save_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def save_workbook(sheets: dict[str, DataFrame], path: str, xlsx: bool = False, xlsx_rows: int = 5_000) -> None:
-    """A Parquet folder for each sheet; on demand also an .xlsx with the first rows of each, built by the driver."""
+#: Rows that a sheet of an .xlsx can hold.
+SHEET_ROWS = 1_048_576
+
+
+def save_workbook(sheets: dict[str, DataFrame], path: str, xlsx: bool = True) -> None:
+    """A Parquet folder for each sheet, and an .xlsx with all rows of each: the driver holds a part of a table at a time. A table of more rows than a sheet can hold goes on in further sheets."""
     for name, df in sheets.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
-    if xlsx:
+    if xlsx and sheets:
         spark = next(iter(sheets.values())).sparkSession
-        tables = {}
-        for name in sheets:
-            df = spark.read.parquet(f"{path}/{name}.parquet")
-            tables[name] = [df.columns, *[list(r) for r in df.limit(xlsx_rows).collect()]]
-        write_bytes(spark, f"{path}.xlsx", workbook_bytes(tables))
+        tables = ((name, spark.read.parquet(f"{path}/{name}.parquet")) for name in sheets)
+        with tempfile.TemporaryFile() as f:
+            write_workbook(f, ((name, df.columns, df.toLocalIterator()) for name, df in tables))
+            f.seek(0)
+            write_stream(spark, f"{path}.xlsx", f)
 
 
-def workbook_bytes(tables: dict[str, list[list]]) -> bytes:
-    """A minimal Office Open XML workbook: a list of rows for each sheet."""
+def write_workbook(f: IO[bytes], tables: Iterable[tuple[str, list[str], Iterable[Sequence]]], sheet_rows: int = SHEET_ROWS) -> None:
+    """A minimal Office Open XML workbook of (name, columns, rows), written as the rows come."""
+    main, rels = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    names: list[str] = []
 
     def cell(v: object) -> str:
         if isinstance(v, bool) or v is None or not isinstance(v, int | float):
             return f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>'
         return f"<c><v>{v}</v></c>"
 
-    main, rels = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    names = [n[:31] for n in tables]
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, columns, rows in tables:
+            left, number = iter(rows), 1
+            more: Sequence | None = columns
+            while more is not None:
+                names.append((name if number == 1 else f"{name[:27]}_{number}")[:31])
+                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as out:
+                    line = lambda r: f"<row>{''.join(map(cell, r))}</row>".encode()
+                    out.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode() + line(columns))
+                    if number > 1:
+                        out.write(line(more))
+                    for _, row in zip(range(sheet_rows - 1 - (number > 1)), left, strict=False):
+                        out.write(line(row))
+                    out.write(b"</sheetData></worksheet>")
+                more, number = next(left, None), number + 1
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i, _ in enumerate(names, 1))
         z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rels}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -173,17 +201,66 @@ def workbook_bytes(tables: dict[str, list[list]]) -> bytes:
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rels}"><sheets>{sheets}</sheets></workbook>')
         targets = "".join(f'<Relationship Id="rId{i}" Type="{rels}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in enumerate(names, 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{targets}</Relationships>')
-        for i, rows in enumerate(tables.values(), 1):
-            body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
+
+
+# ------------------------------------------------------------------ figures, from a few rows each
+
+
+def _svg(title: str, width: float, height: float, body: str) -> str:
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}" font-family="sans-serif" font-size="12"><text x="20" y="24" font-size="16">{escape(title)}</text>{body}</svg>'
+
+
+def _label(x: float, y: float, text: object, anchor: str = "start") -> str:
+    return f'<text x="{x:.1f}" y="{y:.1f}" text-anchor="{anchor}">{escape(str(text))}</text>'
+
+
+COLOURS = ("#4878a8", "#c8643c", "#5a9a5a", "#8a5aa8", "#b0903c", "#5aa0a8")
 
 
 def bar_svg(title: str, rows: list[tuple[str, float]]) -> str:
-    """A horizontal bar chart of a few rows."""
+    """A horizontal bar chart."""
     top, high = max([v for _, v in rows], default=0) or 1, 26
-    bars = "".join(f'<text x="290" y="{60 + i * high}" text-anchor="end">{escape(str(k))}</text><rect x="300" y="{47 + i * high}" width="{400 * v / top:.1f}" height="18" fill="#4878a8"/><text x="{306 + 400 * v / top:.1f}" y="{60 + i * high}">{v:g}</text>' for i, (k, v) in enumerate(rows))
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="780" height="{70 + high * len(rows)}" font-family="sans-serif" font-size="12"><text x="20" y="24" font-size="16">{escape(title)}</text>{bars}</svg>'
+    bars = "".join(_label(290, 60 + i * high, k, "end") + f'<rect x="300" y="{47 + i * high}" width="{400 * v / top:.1f}" height="18" fill="{COLOURS[0]}"/>' + _label(306 + 400 * v / top, 60 + i * high, f"{v:g}") for i, (k, v) in enumerate(rows))
+    return _svg(title, 780, 70 + high * len(rows), bars)
+
+
+def heatmap_svg(title: str, rows: list[tuple[str, str, float]]) -> str:
+    """Cells of (row, column, value), darker for more, each with its value."""
+    down, across = list(dict.fromkeys(r for r, _, _ in rows)), list(dict.fromkeys(c for _, c, _ in rows))
+    top = max([v for _, _, v in rows], default=0) or 1
+    body = "".join(_label(190, 112 + 24 * i, r, "end") for i, r in enumerate(down)) + "".join(f'<g transform="translate({222 + 48 * j},90) rotate(-35)">{_label(0, 0, c)}</g>' for j, c in enumerate(across))
+    for r, c, v in rows:
+        x, y, shade = 200 + 48 * across.index(c), 96 + 24 * down.index(r), v / top
+        body += f'<rect x="{x}" y="{y}" width="46" height="22" fill="{COLOURS[0]}" fill-opacity="{0.08 + 0.92 * shade:.3f}"/>' + _label(x + 23, y + 15, f"{v:g}", "middle")
+    return _svg(title, 260 + 48 * len(across) + 120, 120 + 24 * len(down), body)
+
+
+def line_svg(title: str, series: dict[str, list[tuple[str, float]]]) -> str:
+    """A line with dots for each series over the same places in order."""
+    places = list(dict.fromkeys(k for points in series.values() for k, _ in points))
+    top = max([v for points in series.values() for _, v in points], default=0) or 1
+    at = lambda k, v: (60 + 90 * places.index(k), 300 - 230 * v / top)
+    body = "".join(_label(60 + 90 * i, 322, k, "middle") for i, k in enumerate(places)) + _label(50, 70, f"{top:g}", "end") + _label(50, 300, "0", "end")
+    for i, (name, points) in enumerate(series.items()):
+        colour, dots = COLOURS[i % len(COLOURS)], [at(k, v) for k, v in points]
+        body += f'<polyline fill="none" stroke="{colour}" stroke-width="2" points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in dots)}"/>' + "".join(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="3" fill="{colour}"/>' for x, y in dots)
+        body += f'<rect x="{90 + 90 * len(places)}" y="{60 + 20 * i}" width="12" height="12" fill="{colour}"/>' + _label(108 + 90 * len(places), 71 + 20 * i, name)
+    return _svg(title, 380 + 90 * len(places), 340, body)
+
+
+def pie_svg(title: str, rows: list[tuple[str, float, bool]]) -> str:
+    """Sectors of (label, value, whether it is labelled), clockwise from the top."""
+    whole, turn, body = sum(v for _, v, _ in rows) or 1, 0.0, ""
+    spot = lambda part, r: (220 + r * math.sin(2 * math.pi * part), 200 - r * math.cos(2 * math.pi * part))
+    for i, (label, v, named) in enumerate(rows):
+        share = v / whole
+        (x, y), (x2, y2) = spot(turn, 140), spot(min(turn + share, turn + 0.9999), 140)
+        body += f'<path d="M220,200 L{x:.1f},{y:.1f} A140,140 0 {int(share > 0.5)} 1 {x2:.1f},{y2:.1f} Z" fill="{COLOURS[i % len(COLOURS)]}" stroke="#fff"/>'
+        if named:
+            tx, ty = spot(turn + share / 2, 156)
+            body += _label(tx, ty, f"{label} {100 * share:.1f}%", "start" if tx >= 220 else "end")
+        turn += share
+    return _svg(title, 560, 380, body)
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:

@@ -6,7 +6,7 @@ import pytest
 from sample import TEXT, sample
 
 from glossa.plans.profile import RUSSIAN
-from glossa.plans.run import main, run, validate
+from glossa.plans.run import main, run, validate, validate_files
 from glossa.sources import files
 
 
@@ -36,21 +36,37 @@ def test_tables_and_lists(spark, tmp_path):
         files.load_table(spark, f"{tmp_path}/absent")
 
 
-def test_workbook_bytes():
-    book = zipfile.ZipFile(BytesIO(files.workbook_bytes({"a": [["x", "y"], [1, "<b>"]], "b": []})))
-    assert "&lt;b&gt;" in book.read("xl/worksheets/sheet1.xml").decode() and len(book.namelist()) == 6
+def test_workbook_has_all_rows():
+    f = BytesIO()
+    files.write_workbook(f, iter([("a", ["x", "y"], [(1, "<b>")]), ("long", ["n"], ((i,) for i in range(9))), ("b", ["z"], [])]), sheet_rows=5)
+    book = zipfile.ZipFile(f)
+    assert "&lt;b&gt;" in book.read("xl/worksheets/sheet1.xml").decode() and "long_3" in book.read("xl/workbook.xml").decode()
+    found = [book.read(f"xl/worksheets/sheet{i}.xml").decode() for i in range(2, 6)]
+    assert [x.count("<row>") for x in found] == [5, 5, 2, 1] and [x.count("<v>") for x in found] == [4, 4, 1, 0]
+
+
+def test_figures():
     assert files.bar_svg("t", [("a", 2.0), ("b", 0.0)]).count("<rect") == 2
+    assert files.heatmap_svg("t", [("p", "x", 1.0), ("p", "y", 3.0), ("q", "x", 0.0)]).count("<rect") == 3
+    assert files.line_svg("t", {"m": [("1", 1.0), ("2", 2.0)], "n": [("1", 0.0)]}).count("<polyline") == 2
+    pie = files.pie_svg("t", [("a", 3.0, True), ("b", 1.0, False)])
+    assert pie.count("<path") == 2 and "75.0%" in pie and "25.0%" not in pie
+    assert all("<svg" in f("t", x) for f, x in ((files.bar_svg, []), (files.heatmap_svg, []), (files.line_svg, {}), (files.pie_svg, [])))
 
 
 def test_run_writes_everything(spark, tmp_path):
     a = sample(spark)
     a.keep = True
     out = str(tmp_path / "out")
-    run(a, out, {"corpus_path": "x"}, make_plots=True, xlsx=False, export_names=True)
+    run(a, out, {"corpus_path": "x"}, make_plots=True, export_names=True)
     meta = json.loads((tmp_path / "out/RUN_METADATA.json").read_text())
     assert (meta["hits_total_raw"], meta["hits_counted_main"], meta["corpus_path"]) == (14, 8, "x")
     assert "MelekhovLink" in spark.read.parquet(f"{out}/TD_HITS_TAGGED.parquet").columns
     assert dict(spark.read.parquet(f"{out}/STATS/overview.parquet").collect())["hits_total_counted"] == "8"
+    with zipfile.ZipFile(tmp_path / "out/STATS.xlsx") as book:
+        assert len(book.namelist()) == 40
+    assert "<polyline" in (tmp_path / "out/PLOTS/dynamics_top_markers_parts.svg").read_text() and "<path" in (tmp_path / "out/PLOTS/top_markers_hero_pie.svg").read_text()
+    assert "fill-opacity" in (tmp_path / "out/PLOTS/part_microtheme_heatmap.svg").read_text()
     assert (tmp_path / "out/PLOTS/perspective.svg").exists() and (tmp_path / "out/SHOWCASE/best_examples.parquet").exists()
     assert {r["check"]: r.n for r in validate(a).collect()}["sentences"] == 5
 
@@ -61,6 +77,10 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "config.json").write_text(json.dumps({"corpus_path": "corpus.txt", "markers": {"s1_csv": "s1.csv"}, "output_dir": "out", "export_csv": False, "save_phrase_quality_report": False}), encoding="utf-8")
     config = str(tmp_path / "config.json")
     assert main(["validate", "--config", config]) == 0
+    (tmp_path / "bad.csv").write_text("part_id,start\n1,2\n")
+    rest = {"markers": {"s1_csv": "s1.csv", "phrases_csv": "none.csv"}, "segmentation": {"parts_csv": "bad.csv", "books_csv": "none.csv"}}
+    found = {(r.level, r.check, r.n) for r in validate_files(spark, str(tmp_path), rest).collect()}
+    assert found == {("OK", "marker file s1_csv", 1), ("WARN", "marker file phrases_csv", -1), ("WARN", "segmentation parts_csv without start_sent, end_sent", 1), ("WARN", "segmentation books_csv", -1)}
     assert main(["segments", "--config", config]) == 0 and (tmp_path / "out/books.csv").exists()
     assert main(["run", "--config", config, "--corpus", str(tmp_path / "none.txt")]) == 2
     assert RUSSIAN.phrase_gap == 2

@@ -55,10 +55,10 @@ def test_registry(spark):
     phrases = spark.createDataFrame([("7", "a b", "", "x / y", "", "", "m", "yes", "", ""), ("8", "c", "c", "навязчивая мысль", "F", "extended", "m", "0", "", "")], PHRASES)
     themes = spark.createDataFrame([("Тема", "x / y; ёж"), ("Ещё", "еж"), ("", "нет")], THEMES)
     rows = {r.marker_id: r for r in lexicon.registry(curated, units, phrases, themes, RUSSIAN).collect()}
-    assert set(rows) == {"A1", "A2", "PHR_007", "LIST_002"}  # the listed `слово` is the curated one's copy
+    assert set(rows) == {"A1", "A2", "PHR_007", "ALEX_002"}  # the listed `слово` is the curated one's copy
     assert rows["A1"].microtheme == "Тема" and rows["A1"].marker_label == "слово [Тема]" and rows["A2"].microtheme == RUSSIAN.default_theme
     assert rows["PHR_007"].unit_norm == "a b" and rows["PHR_007"].phrase_family == "PHRASE_GENERAL" and rows["PHR_007"].precision_level == "CORE"
-    assert rows["LIST_002"].microtheme == "инициация мысли"
+    assert rows["ALEX_002"].microtheme == "инициация мысли"
     aliases = dict(lexicon.theme_aliases(themes).collect())
     assert aliases["еж"] == "Ещё" and aliases["тема"] == "Тема"
     bare = phrases.drop("precision_level", "source_type", "comment").withColumn("microtheme", F.lit("навязчивая мысль"))

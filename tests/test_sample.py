@@ -47,3 +47,32 @@ def test_keep_all_keeps_nested_and_empty_corpus_is_typed(spark):
     assert empty.tagged.count() == 0 and "perspective" in empty.tagged.columns
     blank = sample(spark, docs=spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "doc_id long, text string"))
     assert blank.tagged.count() == 0 and blank.sentences.count() == 0
+
+
+def test_the_profile_has_its_own_lemmas(spark):
+    rows = sample(spark, profile=RUSSIAN).tagged.orderBy("hit_id").collect()
+    assert len(rows) >= 14 and {r.target_lemma for r in rows if r.hit_type == "WORD"} >= {"думать"}
+    assert len(RUSSIAN.verbs) == len(set(RUSSIAN.verbs)) == 41
+
+
+def test_plug_ins(spark):
+    from pyspark.sql import functions as F
+
+    p = replace(RUSSIAN, lemmatizer=lambda t: F.when(t.startswith("вспом"), "вспомнить").otherwise(F.lower(t)), tokenizer=lambda s: F.split(s, " "), sentence_splitter=lambda s: F.split(s, r"\|"))
+    docs = spark.createDataFrame([(1, "Он вспомнила всё|а потом")], "doc_id long, text string")
+    rows = sample(spark, docs=docs, profile=p).sentences.orderBy("sent_id").collect()
+    assert [(r.tokens, r.lemmas) for r in rows] == [(["Он", "вспомнила", "всё"], ["он", "вспомнить", "всё"]), (["а", "потом"], ["а", "потом"])]
+
+
+def test_segments_of_several_documents(spark):
+    from glossa.operators import segments, stats, tagging
+
+    docs = spark.createDataFrame([(i, TEXT) for i in range(3)], "doc_id long, text string")
+    books, parts = segments.build_segments(docs, RUSSIAN)
+    a = sample(spark, docs=docs)
+    a.sources = replace(a.sources, books=books, parts=parts)
+    assert a.tagged.count() == a.hits.count() == 3 * len(HITS)
+    rates = stats.segment_rates(a.linked, a.sentences, parts, "part")
+    assert rates.count() == parts.count() and rates.agg({"sentences": "sum"}).first()[0] <= 15
+    assert stats.analytical_indices(a.linked, rates).count() == a.linked.select("part").distinct().count()
+    assert tagging.with_labels(a.tagged).where("perspective_label = perspective").count() == 0
