@@ -142,12 +142,22 @@ def hits(sents: DataFrame, markers: DataFrame, rules: list[dict[str, str]], p: P
     return found, numbered(nested, [F.col("sent_id"), F.col("token_idx"), F.col("marker_id")], "candidate_id").drop("tokens", "marker_ord")
 
 
-def numbered(rows: DataFrame, order: list, name: str, block: int = 4096) -> DataFrame:
-    """Dense ids from 1 by doc_id and `order`: ranks within documents, plus what documents and blocks of documents before them hold. Only the sums of blocks are ordered in one task."""
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("doc_id") / block))
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("m"))
-    before_block = F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before_doc = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("d", before_doc).join(blocks.withColumn("b", before_block), "block").select("doc_id", (F.col("d") + F.col("b")).alias("_before"))
+def numbered(rows: DataFrame, order: list, name: str, bits: int = 21) -> DataFrame:
+    """Dense ids from 1 by doc_id and `order`: ranks within documents, plus what the documents before them hold.
+
+    Sums before a document are taken by blocks of ids that share their upper bits, and by blocks of blocks: no task orders more
+    than 2**22 narrow rows, however far apart the ids are.
+    """
+    doc = F.col("doc_id").cast("bigint")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n")).withColumns({"b1": F.shiftright(doc, bits), "b2": F.shiftright(doc, 2 * bits)})
+    one = counts.groupBy("b1", "b2").agg(F.sum("n").alias("n"))
+    two = one.groupBy("b2").agg(F.sum("n").alias("n"))
+
+    def before(by: list[str], at: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    docs = counts.select("doc_id", "b1", before(["b1"], "doc_id").alias("s0"))
+    starts = docs.join(one.select("b1", "b2", before(["b2"], "b1").alias("s1")), "b1").join(two.select("b2", before([], "b2").alias("s2")), "b2")
+    starts = starts.select("doc_id", (F.col("s0") + F.col("s1") + F.col("s2")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
     return rows.withColumn(name, rank).join(starts, "doc_id").withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_before")

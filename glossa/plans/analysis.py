@@ -34,9 +34,17 @@ class Analysis:
 
     def __init__(self, sources: Sources, p: Profile, max_sents: int | None = None, keep: bool = True):
         self.sources, self.p, self.max_sents, self.keep = sources, p, max_sents, keep
+        self._held: list[DataFrame] = []
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else df
+        if self.keep:
+            self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        """Let go of what is kept."""
+        while self._held:
+            self._held.pop().unpersist()
 
     @cached_property
     def headings(self) -> DataFrame:
@@ -154,10 +162,19 @@ def bench_profile() -> Profile:
 _analyses: dict[tuple[str, str], Analysis] = {}
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of the analysis that queries share: the next query starts cold."""
+    for (app, _), held in _analyses.items():
+        if app == spark.sparkContext.applicationId:
+            held.release()
+    _analyses.clear()
+
+
 def bench_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    """One analysis for each application and folder, so that queries share what they have in common."""
+    """One analysis at a time, of the last application and folder asked for, so that queries share what they have in common."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _analyses:
+        forget(spark)
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         _analyses[key] = Analysis(latin_sources(spark, spread(docs)), bench_profile())
     return _analyses[key]

@@ -70,6 +70,30 @@ def theme(p: Profile, raw: str) -> str:
     return f"coalesce((SELECT canonical FROM aliases WHERE alias = {key}), (SELECT canonical FROM aliases WHERE alias = {compact}), nullif(trim(coalesce({raw}, '')), ''), {quoted(p.default_theme)})"
 
 
+#: The expected rules, written out: the rule's number first, then what each rule says.
+PERSPECTIVES = """SELECT * EXCLUDE (rule, to_hero, linked),
+    ['HERO_INNER_SPEECH', 'HERO_DIRECT_SPEECH', 'OTHERS_TO_HERO', 'OTHERS_TO_HERO', 'OTHERS_ABOUT_HERO', 'OTHERS_NEAR_HERO', 'UNKNOWN', 'HERO_INNER_SPEECH', 'OTHERS_TO_HERO', 'OTHERS_TO_HERO', 'OTHERS_ABOUT_HERO', 'OTHERS_NEAR_HERO', 'UNKNOWN',
+     'OTHERS_TO_HERO', 'HERO_INNER_SPEECH', 'NARRATOR_ABOUT_HERO', 'NARRATOR_ABOUT_HERO', 'UNKNOWN'][rule] AS perspective,
+    CASE rule WHEN 1 THEN 'direct_speech+inner_marker;' || speaker_evidence WHEN 2 THEN 'direct_speech;' || speaker_evidence
+        WHEN 3 THEN 'direct_speech;' || speaker_evidence || ';' || addressee_evidence || ';speechact=' || speech_act WHEN 4 THEN 'direct_speech;' || speaker_evidence || ';speechact=PROMPT;hero_link=' || hero_link
+        WHEN 5 THEN 'direct_speech;' || speaker_evidence || ';hero_same_sentence' WHEN 6 THEN 'direct_speech;' || speaker_evidence || ';hero_near' WHEN 7 THEN 'direct_speech;' || speaker_evidence || ';no_hero_link'
+        WHEN 8 THEN 'direct_or_inner_speech;hero_same_sentence;inner_marker' WHEN 9 THEN 'direct_speech;unknown_speaker;' || addressee_evidence || ';speechact=' || speech_act
+        WHEN 10 THEN 'direct_speech;unknown_speaker;speechact=PROMPT;hero_link=' || hero_link WHEN 11 THEN 'direct_speech;unknown_speaker;hero_same_sentence' WHEN 12 THEN 'direct_speech;unknown_speaker;hero_near'
+        WHEN 13 THEN 'direct_speech;speaker_not_detected;no_hero_link' WHEN 14 THEN 'reported_speech;' || speaker_evidence || ';' || addressee_evidence || ';speechact=PROMPT'
+        WHEN 15 THEN 'inner_speech_marker;hero_link=' || hero_link WHEN 16 THEN 'narrative_context;hero_near+pronoun' WHEN 17 THEN 'narrative_context;hero_link=' || hero_link ELSE 'no_direct_speech;no_hero_link' END AS perspective_evidence,
+    CASE WHEN rule IN (1, 2) THEN 'HIGH' WHEN rule IN (3, 14) THEN CASE addressee WHEN 'HERO' THEN 'HIGH' ELSE 'MEDIUM' END WHEN rule = 4 THEN CASE hero_link WHEN 'YES' THEN 'MEDIUM' ELSE 'LOW' END WHEN rule IN (5, 8, 16) THEN 'MEDIUM'
+        WHEN rule = 9 THEN CASE addressee WHEN 'HERO' THEN 'MEDIUM' ELSE 'LOW' END WHEN rule IN (15, 17) THEN CASE hero_link WHEN 'YES' THEN 'HIGH' ELSE 'MEDIUM' END ELSE 'LOW' END AS perspective_confidence,
+    CASE WHEN rule <= 7 OR rule = 14 THEN speaker_name WHEN rule <= 13 THEN 'UNKNOWN' WHEN rule = 15 THEN 'HERO_PROBABLE' WHEN rule <= 17 THEN 'NARRATOR' ELSE 'UNKNOWN' END AS speaker_detected,
+    CASE WHEN rule IN (3, 9, 14) THEN addressee_name WHEN rule IN (4, 10) THEN 'HERO_PROBABLE' ELSE '' END AS addressee_detected,
+    CASE WHEN rule IN (3, 4, 5, 6, 9, 10, 11, 12, 14) THEN speech_act ELSE '' END AS others_speech_act
+    FROM (SELECT *, CASE
+        WHEN is_direct_speech AND speaker = 'HERO' THEN CASE WHEN has_inner_speech THEN 1 ELSE 2 END
+        WHEN is_direct_speech AND speaker = 'OTHER' THEN CASE WHEN to_hero THEN 3 WHEN linked AND speech_act = 'PROMPT' THEN 4 WHEN hero_link = 'YES' THEN 5 WHEN hero_link = 'PROBABLE' THEN 6 ELSE 7 END
+        WHEN is_direct_speech THEN CASE WHEN hero_link = 'YES' AND has_inner_speech THEN 8 WHEN to_hero THEN 9 WHEN linked AND speech_act = 'PROMPT' THEN 10 WHEN hero_link = 'YES' THEN 11 WHEN hero_link = 'PROBABLE' THEN 12 ELSE 13 END
+        WHEN speaker = 'OTHER' AND to_hero AND speech_act = 'PROMPT' THEN 14 WHEN has_inner_speech AND linked THEN 15 WHEN hero_link = 'PROBABLE' AND has_hero_pronoun THEN 16 WHEN linked THEN 17 ELSE 18 END AS rule
+        FROM (SELECT *, addressee IN ('HERO', 'HERO_PROBABLE') AS to_hero, hero_link IN ('YES', 'PROBABLE') AS linked FROM linked_sents))"""
+
+
 def steps(p: Profile) -> dict[str, str]:
     gap = p.phrase_gap
     (after, e_after), (before, e_before) = tagging.other_speaker_patterns(p)
@@ -86,7 +110,6 @@ def steps(p: Profile) -> dict[str, str]:
             rules.append(f"WHEN {' AND '.join(parts) or 'true'} THEN {quoted(reason or 'EXCLUSION_TABLE')}")
     span = "STRUCT(marker_id VARCHAR, s BIGINT, e BIGINT)[]"
     ranked = "STRUCT(less BIGINT, s BIGINT, marker_id VARCHAR, e BIGINT)[]"
-    tags = ", ".join(f"{v} AS {k}" for k, v in tagging.perspective_sql().items())
     out = {
         "raw": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "lines": "SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM raw)",
@@ -114,7 +137,7 @@ def steps(p: Profile) -> dict[str, str]:
         "linked_sents": """SELECT r.*, CASE WHEN hero_name_variant <> '' THEN 'YES' WHEN near_id IS NOT NULL THEN 'PROBABLE' ELSE 'NO' END AS hero_link,
             CASE WHEN hero_name_variant <> '' THEN 'same_sentence:' || hero_name_variant WHEN near_id IS NOT NULL THEN CASE WHEN near_id < r.sent_id THEN 'prev_sentence:' ELSE 'next_sentence:' END || near_name || CASE WHEN has_hero_pronoun THEN '+pronoun' ELSE '' END ELSE '' END AS hero_evidence
             FROM roles r LEFT JOIN near n ON r.doc_id = n.doc_id AND r.sent_id = n.sent_id""",
-        "tagged_sents": f"SELECT *, {tags} FROM linked_sents",
+        "tagged_sents": PERSPECTIVES,
         "themes": values(P.LATIN_THEMES, "canonical, aliases"),
         "aliases": f"SELECT {plain_lower('trim(alias)')} AS alias, any_value(canonical) AS canonical FROM (SELECT canonical, unnest(list_append(string_split(aliases, ';'), canonical)) AS alias FROM themes) WHERE trim(alias) <> '' GROUP BY 1",
         "curated": f"""SELECT id AS marker_id, 'S1' AS marker_source, {theme(p, 'microtheme')} AS microtheme, 'WORD_CORE' AS phrase_family, upper(unit_type) AS unit_type, unit AS unit_raw,

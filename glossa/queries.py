@@ -216,7 +216,7 @@ PHRASE = ["marker_id", "marker_label", "microtheme", "phrase_family", "unit_raw"
 PHRASE_COVERAGE = f"SELECT {', '.join('m.' + c for c in PHRASE)}, count(h.hit_id) AS count_all, count(h.hit_id) > 0 AS appears_in_corpus FROM markers m LEFT JOIN (SELECT * FROM tagged WHERE hit_type = 'PHRASE') h ON h.marker_id = m.marker_id WHERE m.unit_type = 'PHRASE' GROUP BY ALL"
 add("phrase_coverage", lambda a: quality.phrase_coverage(a.markers, a.tagged), PHRASE_COVERAGE)
 add("coverage_zero_hits", lambda a: quality.phrase_zero_hits(a.markers, a.tagged.where("hero_link = 'YES' AND part_id > 5")).select("marker_id"), "SELECT marker_id FROM markers WHERE unit_type = 'PHRASE' AND marker_id NOT IN (SELECT marker_id FROM tagged WHERE hit_type = 'PHRASE' AND hero_link = 'YES' AND part_id > 5)")
-add("phrase_top_hits", lambda a: quality.phrase_top(a.markers, a.tagged, 3), f"SELECT * FROM ({PHRASE_COVERAGE}) WHERE count_all > 0 ORDER BY count_all DESC, precision_level, marker_id LIMIT 3")
+add("phrase_top_hits", lambda a: quality.phrase_top(a.markers, a.tagged), f"SELECT * FROM ({PHRASE_COVERAGE}) WHERE count_all > 0 ORDER BY count_all DESC, precision_level, marker_id LIMIT 100")
 add("topk_examples_per_marker", lambda a: quality.phrase_examples(a.tagged).select(*EXAMPLE), f"SELECT {names(EXAMPLE)} FROM tagged WHERE hit_type = 'PHRASE' QUALIFY row_number() OVER (PARTITION BY marker_id ORDER BY {PLACE}) <= 3")
 add("phrase_by_precision", lambda a: stats.group_count(a.markers.where("unit_type = 'PHRASE'"), "precision_level"), grouped("(SELECT * FROM markers WHERE unit_type = 'PHRASE')", "precision_level"))
 add("phrase_by_family", lambda a: stats.group_count(a.tagged.where("hit_type = 'PHRASE'"), "phrase_family"), grouped("(SELECT * FROM tagged WHERE hit_type = 'PHRASE')", "phrase_family"))
@@ -241,7 +241,7 @@ add("manual_check", lambda a: quality.manual_check(a.tagged).select("hit_id", "h
 TOP_KEYS = ["marker_id", "marker_label", "microtheme", "phrase_family", "unit_type", "precision_level"]
 CLEAN = {"all": "clean", "strict": "(SELECT * FROM clean WHERE hero_link = 'YES')", "wide": "(SELECT * FROM clean WHERE hero_link IN ('YES', 'PROBABLE'))"}
 for scope, table in CLEAN.items():
-    add(f"showcase_top_{scope}", lambda a, s=scope: quality.count_table(a.clean if s == "all" else stats.linked(a.clean, s), TOP_KEYS, 10), f"{grouped(table, names(TOP_KEYS))} ORDER BY count DESC, {names(TOP_KEYS)} LIMIT 10")
+    add(f"showcase_top_{scope}", lambda a, s=scope: quality.count_table(a.clean if s == "all" else stats.linked(a.clean, s), TOP_KEYS, 25), f"{grouped(table, names(TOP_KEYS))} ORDER BY count DESC, {names(TOP_KEYS)} LIMIT 25")
 TOPIC = {"strict": CLEAN["strict"], "core": f"(SELECT * FROM {CLEAN['wide']} WHERE precision_level = 'CORE')", "extended": f"(SELECT * FROM {CLEAN['wide']} WHERE precision_level = 'EXTENDED')", "experimental": "(SELECT * FROM clean WHERE precision_level = 'EXPERIMENTAL')"}
 TOPIC |= {"inner": f"(SELECT * FROM {CLEAN['wide']} WHERE perspective = 'HERO_INNER_SPEECH')", "others_to": f"(SELECT * FROM {CLEAN['wide']} WHERE perspective = 'OTHERS_TO_HERO')", "narrator": f"(SELECT * FROM {CLEAN['strict']} WHERE perspective = 'NARRATOR_ABOUT_HERO')", "others": f"(SELECT * FROM {CLEAN['wide']} WHERE {IN_OTHERS})"}
 TOPIC |= {k: f"(SELECT * FROM {CLEAN['wide']} WHERE regexp_matches(microtheme, '(?i){v}'))" for k, _, v in LATIN.topics}
@@ -261,7 +261,7 @@ add("pie_top5_rest", lambda a: plotdata.pie(stats.linked(a.clean, "WIDE")), f"SE
 ORDER = ", ".join(f"({i}, {quoted(x)}, {quoted(LABELS_RU[x])})" for i, x in enumerate(PERSPECTIVES))
 add("perspective_fixed_order", lambda a: plotdata.perspective_bars(stats.linked(a.clean, "WIDE")), f"SELECT ord, o.perspective, label, count(w.hit_id) AS count FROM (VALUES {ORDER}) AS o(ord, perspective, label) LEFT JOIN {W} w ON w.perspective = o.perspective GROUP BY ALL")
 for index in ("perspective", "part"):
-    add(f"heatmap_{index}_microtheme", lambda a, i=index: plotdata.heatmap(stats.linked(a.clean, "WIDE"), i, "microtheme", 4), f"SELECT i.{index}, c.microtheme, count(w.hit_id) AS count FROM (SELECT DISTINCT {index} FROM {W}) i CROSS JOIN (SELECT microtheme FROM {W} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 4) c LEFT JOIN {W} w ON w.{index} = i.{index} AND w.microtheme = c.microtheme GROUP BY ALL")
+    add(f"heatmap_{index}_microtheme", lambda a, i=index: plotdata.heatmap(stats.linked(a.clean, "WIDE"), i, "microtheme"), f"SELECT i.{index}, c.microtheme, count(w.hit_id) AS count FROM (SELECT DISTINCT {index} FROM {W}) i CROSS JOIN (SELECT microtheme FROM {W} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 14) c LEFT JOIN {W} w ON w.{index} = i.{index} AND w.microtheme = c.microtheme GROUP BY ALL")
 add("corpus_vs_hero", lambda a: plotdata.corpus_vs_hero(a.clean, "WIDE"), "SELECT microtheme, count(*) AS corpus_count, count(*) FILTER (hero_link <> 'NO') AS hero_count, count(*) FILTER (hero_link <> 'NO') - count(*) AS difference_abs FROM clean GROUP BY microtheme")
 add("plot_share_by_part", lambda a: plotdata.share_by_part(stats.linked(a.clean, "WIDE"), ["HERO_INNER_SPEECH"]), f"SELECT part, count(*) AS all_hits, count(*) FILTER (perspective = 'HERO_INNER_SPEECH') AS hits, {share("count(*) FILTER (perspective = 'HERO_INNER_SPEECH')", 'count(*)')} AS share_pct FROM {W} GROUP BY part")
 for kind in ("part", "book"):
