@@ -244,6 +244,21 @@ def test_fingerprint_rows_by_definition(spark):
     assert op10_fingerprints.fingerprint_rows(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_order_holds_for_any_ids_and_equal_rows(spark):
+    """Ids of the whole range of longs, one far id, and 100,000 equal rows: as many rows, and no range with much more than its share."""
+    far = [(-(1 << 63), "a b c"), (5, "b c d"), ((1 << 63) - 1, "c d e")]
+    got = {r.doc_id: r.edited_sha256 for r in op10_fingerprints.fingerprint_rows(spark.createDataFrame(far, DOCS)).collect()}
+    follows = {(1 << 63) - 1: "b c d", 5: "a b c", -(1 << 63): "c d e"}
+    assert got == {i: hashlib.sha256((t[:3] + follows[i][:2]).encode()).hexdigest() for i, t in far}
+    dense = spark.range(2000).selectExpr("id AS doc_id", "'x' AS text").union(spark.createDataFrame([(10**15, "z")], DOCS))
+    equal = spark.range(100_000).selectExpr("CAST(1 AS LONG) AS doc_id", "'a b' AS text").union(spark.createDataFrame([(2, "c")], DOCS))
+    for docs, n in ((dense, 2001), (equal, 100_001)):
+        dealt = op10_fingerprints.dealt_in_order(docs).where("NOT _copy").groupBy("_bucket").count().collect()
+        assert sum(r["count"] for r in dealt) == n and max(r["count"] for r in dealt) < n / 8
+    ends = {r.n: r["count"] for r in op10_fingerprints.fingerprint_rows(equal).groupBy(F.col("near_next").alias("n")).count().collect()}
+    assert ends == {1.0: 99_999, 0.0: 2}
+
+
 def test_sketches_estimate_and_merge(spark):
     words = [f"w{i}" for i in range(4000)]
     rows = [(0, " ".join(words[:3000])), (0, " ".join(words[2996:])), (1, " ".join(words)), (2, ""), (3, None)]
