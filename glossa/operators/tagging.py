@@ -19,7 +19,7 @@ LABELS_RU = {
     "HERO_INNER_SPEECH": "герой: внутренняя речь", "HERO_DIRECT_SPEECH": "герой: прямая речь", "NARRATOR_ABOUT_HERO": "повествователь о герое", "OTHERS_TO_HERO": "другие обращаются к герою",
     "OTHERS_ABOUT_HERO": "другие говорят о герое", "OTHERS_NEAR_HERO": "другие рядом с героем", "UNKNOWN": "неопределено",
 }
-#: Labels in tables; the plots' ones above are shorter.
+#: Labels in tables; the plots' ones above are shorter.
 TAG_LABELS_RU = LABELS_RU | {
     "OTHERS_TO_HERO": "другие персонажи обращаются к герою", "OTHERS_ABOUT_HERO": "другие персонажи говорят о герое", "OTHERS_NEAR_HERO": "другие персонажи в контексте рядом с героем",
 }
