@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from glossa.llm import components as components_module
 from glossa.llm import op02_lines, op03_suffix, op05_simhash, op10_fingerprints, sketches
 from glossa.llm.components import components
 from glossa.llm.suffixes import entries
@@ -207,7 +208,9 @@ def test_links_meet_in_the_middle(spark):
                 assert root(a) == root(b)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
