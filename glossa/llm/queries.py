@@ -13,6 +13,8 @@ from glossa.llm.op07_pieces import op7_sentencepiece
 from glossa.llm.op08_packing import op8_best_fit_packing
 from glossa.llm.op09_secrets import op9_secret_scans
 from glossa.llm.op10_fingerprints import op10_document_fingerprints
+from glossa.llm.op11_merkle import ORACLE as MERKLE_SQL
+from glossa.llm.op11_merkle import op11_merkle_manifest
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scans": op9_secret_scans,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op11_merkle_manifest": MERKLE_SQL}
