@@ -15,6 +15,7 @@ from glossa.llm.op09_secrets import op9_secret_scans
 from glossa.llm.op10_fingerprints import op10_document_fingerprints
 from glossa.llm.op11_merkle import ORACLE as MERKLE_SQL
 from glossa.llm.op11_merkle import op11_merkle_manifest
+from glossa.llm.op12_pii import op12_pii
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pii": op12_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op11_merkle_manifest": MERKLE_SQL}
