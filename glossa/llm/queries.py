@@ -16,6 +16,7 @@ from glossa.llm.op10_fingerprints import op10_document_fingerprints
 from glossa.llm.op11_merkle import ORACLE as MERKLE_SQL
 from glossa.llm.op11_merkle import op11_merkle_manifest
 from glossa.llm.op12_pii import op12_pii
+from glossa.llm.op13_alignment import op13_cross_tokenizer_alignment
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_pii": op12_pii,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op11_merkle_manifest": MERKLE_SQL}
