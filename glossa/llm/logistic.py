@@ -25,10 +25,11 @@ class Logistic:
         return sigmoid(self.margin(x))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Logistic:
-    """Ridge-penalised maximum likelihood. One class alone, or no rows: a constant, smoothed share."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, weight: np.ndarray | None = None) -> Logistic:
+    """Ridge-penalised maximum likelihood, rows counting `weight` times. One class alone, or no rows: a constant, smoothed share."""
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    weight = np.ones(len(x)) if weight is None else weight
     beta = np.zeros(z.shape[1])
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -37,8 +38,18 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Lo
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = sigmoid(z @ beta)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * beta)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (weight * (y - p)) - penalty * beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return Logistic(mean, scale, beta[:-1], float(beta[-1]))
+
+
+def held_out_loss(x: np.ndarray, y: np.ndarray, ridge: float, weight: np.ndarray, folds: int = 5) -> float:
+    """The mean logarithmic loss of rows under models of the other folds."""
+    part, total = np.arange(len(y)) % folds, 0.0
+    for k in range(folds):
+        rest, own = part != k, part == k
+        p = np.clip(fit(x[rest], y[rest], ridge, weight=weight[rest]).score(x[own]), 1e-6, 1 - 1e-6)
+        total -= float((weight[own] * (y[own] * np.log(p) + (1 - y[own]) * np.log(1 - p))).sum())
+    return total / max(1e-9, float(weight.sum()))

@@ -1,8 +1,11 @@
 """Query op6: toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
 Class counts come from a bounded sample of labelled rows, the shared counts they back off to from every word of every
-document. Stems and words that no class has in more than DISCOUNT documents have the same ratio whatever their counts,
-so the driver needs rows for the others only, and of those there are no more than words in the sample.
+document. The driver gets a row for each word of the sample, and there are no more than it holds.
+
+Nothing but learning rows decides anything: the discount and the calibration's ridge are those that foretell them best,
+each row scored by models that its own words are taken out of (ngrams.left_out). Rows weigh as many as their class has
+for each one sampled.
 
 Defined results: null texts are empty and score as no words do; rows that repeat an id with one text are learnt from
 once, and score alike; of several labels of one id the highest counts; null ids aren't learnt from; without documents
@@ -25,17 +28,17 @@ from glossa.llm import logistic, ngrams
 from glossa.llm.common import discard, documents, labelled_sample, materialise, release, remainder, table
 
 #: Labelled rows of each class that the class counts and the calibration may use; the shared counts take every document.
-SAMPLE = 20_000
-#: One in so many rows of the sample calibrates (its words aren't counted for a class).
-CALIBRATION = 4
-#: Discount of each count: what so many documents of a class or fewer say is left to the shared counts.
-DISCOUNT = 3.0
+SAMPLE = 8_000
+#: Discounts to choose from, beside the one that the counts of counts give: what so many documents of a class say is left to the shared counts.
+WHOLE = (1.0, 2.0, 3.0)
+RIDGES = (0.1, 1.0, 10.0)
 
 
 @dataclass
 class Model:
     ratios: ngrams.Ratios
     calibration: logistic.Logistic
+    discounts: tuple[float, float]
 
 
 class _Words:
@@ -83,21 +86,45 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Model:
     """The model of docs (doc_id, text without nulls) and labels (doc_id, toxic). What is counted is shuffled as (word, counts) sums of each partition."""
-    picked = labelled_sample(docs, labels, "toxic", modulus, held_out, sample)
-    learn = picked.where(F.col("place") % CALIBRATION != 0).select("text", "label")
-    every = docs.select("text", F.lit(-1).alias("label")).unionByName(learn)
+    learn = materialise(labelled_sample(docs, labels, "toxic", modulus, held_out, sample).select("text", "label", "place"), "learn")
+    known = count_words(docs, learn)
+    choices = [(ngrams.estimated(known.n[0]), ngrams.estimated(known.n[1])), *((d, d) for d in WHOLE)]
+    found = learn.mapInArrow(_left_out(known, choices), "label int, place int, choice int, " + FEATURES).toPandas().sort_values(["choice", "place", "label"], kind="stable")
+    weight = _class_weights(labels, learn, modulus, held_out)
+    best, chosen = None, None
+    for i, d in enumerate(choices):
+        rows = found[found["choice"] == i]
+        x, y = rows[NAMES].to_numpy(float), rows["label"].to_numpy(float)
+        w = np.where(y == 1, weight[1], weight[0])
+        for ridge in RIDGES:
+            loss = logistic.held_out_loss(x, y, ridge, w)
+            if best is None or loss < best:
+                best, chosen = loss, Model(ngrams.fit(known, d), logistic.fit(x, y, ridge, weight=w), d)
+    discard(learn)
+    return chosen
+
+
+def count_words(docs: DataFrame, learn: DataFrame) -> ngrams.Counts:
+    """Documents that hold each word, by class of the learning rows (text, label) and over all of docs (text)."""
+    every = docs.select("text", F.lit(-1).alias("label")).unionByName(learn.select("text", "label"))
     counted = every.mapInArrow(_count, "stem long, word long, n0 long, n1 long, n long")
     words = materialise(counted.groupBy("word").agg(F.min("stem").alias("stem"), *(F.sum(c).alias(c) for c in ("n0", "n1", "n"))), "words")
-    cut = {f"cut{c}": F.least(f"n{c}", F.lit(DISCOUNT)) for c in (0, 1)}
-    stems = words.withColumns(cut).groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n", *cut)), F.count("*").alias("kinds"))
+    stems = words.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max((F.col("n0") + F.col("n1") > 0)).alias("said"))
     stems = materialise(stems, "stems")
-    totals = stems.withColumns(cut).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "kinds", *cut))).first().asDict()
-    says = (F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)
-    s, w = stems.where(says).toPandas(), words.where(says).toPandas()
+    kinds = stems.agg(F.sum("kinds")).first()[0] or 0
+    s, w = stems.where("said").drop("said").toPandas(), words.where("n0 + n1 > 0").toPandas()
     discard(words, stems)
-    ratios = ngrams.fit({c: s[c].to_numpy() for c in s}, {c: w[c].to_numpy() for c in w}, {k: float(v or 0) for k, v in totals.items()}, DISCOUNT)
-    check = picked.where(F.col("place") % CALIBRATION == 0).mapInArrow(_features(ratios), f"label int, {FEATURES}").toPandas()
-    return Model(ratios, logistic.fit(check[NAMES].to_numpy(float), check["label"].to_numpy(float), ridge=0.1))
+    return ngrams.counts({c: s[c].to_numpy() for c in s}, {c: w[c].to_numpy() for c in w}, float(kinds))
+
+
+def _class_weights(labels: DataFrame, learn: DataFrame, modulus: int, held_out: int) -> dict[int, float]:
+    """How many labelled learning rows each sampled one stands for, by class; 1 at least for the rarer class."""
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", modulus) != held_out))
+    every = {int(r[0] > 0): int(r[1]) for r in rows.groupBy("doc_id").agg(F.max("label").alias("label")).groupBy("label").count().collect()}
+    taken = {int(r[0]): int(r[1]) for r in learn.groupBy("label").count().collect()}
+    share = {c: every.get(c, 0) / max(1, taken.get(c, 0)) for c in (0, 1)}
+    least = min((v for v in share.values() if v > 0), default=1.0)
+    return {c: (v or least) / least for c, v in share.items()}
 
 
 NAMES = ["mean", "window", "top", "evidence", "share"]
@@ -119,12 +146,26 @@ def _vectors(ratios: ngrams.Ratios):
     return of
 
 
-def _features(ratios: ngrams.Ratios):
+def _left_out(known: ngrams.Counts, choices: list[tuple[float, float]]):
+    """Learning rows (text, label, place) to their features for each choice of discounts, without their own words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _vectors(ratios)
+        release()
+        every = [(ngrams.sums(known, 0, d[0]), ngrams.sums(known, 1, d[1])) for d in choices]
         for batch in batches:
-            x = np.array([of(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, x.T)], ["label", *NAMES])
+            rows, x = [], []
+            for text, label, place in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "place")), strict=True):
+                words = ngrams.words_of(text)
+                different = list(dict.fromkeys(words))
+                at = {w: i for i, w in enumerate(different)}
+                order = np.array([at[w] for w in words], np.int64)
+                places = known.places(different)
+                for i, both in enumerate(every):
+                    rows.append((label, place, i))
+                    x.append(ngrams.features(ngrams.left_out(known, both, places, label)[order]))
+            keys = [pa.array(c, pa.int32()) for c in (zip(*rows, strict=True) if rows else [()] * 3)]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, np.array(x).reshape(-1, len(NAMES)).T)], ["label", "place", "choice", *NAMES])
+        release()
 
     return run
 
@@ -146,6 +187,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; the cases are those of this module."""
     docs = documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("long"))
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
