@@ -6,7 +6,7 @@ A linear scorer g over document statistics minimises the non-negative unbiased r
 
 on trusted positives and unlabelled web text; where the bracket falls below zero, the step goes against it, so the
 model can't drive the negative part below nothing. The class prior is estimated first. No labelled negative has a part
-in it: the margin's scale and offset minimise the same risk with the logistic loss, which makes scores probabilities.
+in it: the margin's scale minimises the same risk with the logistic loss, which makes scores probabilities.
 
 All that is needed of unlabelled rows are sums over them: a function `sums(f)` gives the total of f(rows) over all rows,
 wherever they are. Each step of the descent is one such sum over every unlabelled row.
@@ -116,23 +116,31 @@ EDGE, BIN = 30.0, 0.1
 BINS = np.arange(-EDGE, EDGE + BIN / 2, BIN)
 
 
-def estimate_prior(positive: np.ndarray, above: np.ndarray, unlabelled: float) -> float:
+#: Folds in which the prior's scorer is judged by rows that it wasn't made from.
+FOLDS = 4
+LEVELS = np.linspace(0.0, 0.9, 46)
+
+
+def estimate_prior(above: np.ndarray, positives: int, unlabelled: float) -> float:
     """Share of positives among unlabelled rows, by the lowest ratio of the two distributions' upper tails.
 
-    positive: margins of positives; above: how many unlabelled rows have at least the margin of each of tails(positive);
-    unlabelled: how many there are. As the positives among the unlabelled rows at or above a threshold are prior * F_p of all,
-    prior <= F_u / F_p at every threshold; the least bound is taken where both tails hold enough rows.
+    above: how many unlabelled rows have at least the margin that a share 1 - LEVELS of the positives has; as the positives
+    among the unlabelled rows at or above a threshold are prior * F_p of all, prior <= F_u / F_p at every threshold.
+    Margins are of scorers that a row had no part in, so no bound is low by fitting. The threshold is the one whose bound
+    and two standard errors are lowest, so that none is picked for being low by chance; the prior is its bound.
     """
     bounds = []
-    for t, n in zip(tails(positive), above, strict=True):
-        p = (positive >= t).mean()
-        if p * len(positive) >= 30 and n >= 30:
-            bounds.append((n / unlabelled + 1.0 / np.sqrt(unlabelled)) / p)
-    return float(np.clip(min(bounds, default=0.5), 0.05, 0.99))
+    for level, n in zip(LEVELS, above, strict=True):
+        p, u = 1.0 - level, n / unlabelled
+        if p * positives >= 30 and n >= 30:
+            error = np.sqrt((1 - u) / n + (1 - p) / (p * positives))
+            bounds.append((u / p * (1 + 2 * error), u / p))
+    return float(np.clip(min(bounds, default=(0.5, 0.5))[1], 0.05, 0.99))
 
 
-def tails(positive: np.ndarray) -> np.ndarray:
-    return np.quantile(positive, np.linspace(0.0, 0.9, 46))
+def folds_of(x: np.ndarray) -> np.ndarray:
+    """The fold of each row, by its values."""
+    return np.array([zlib.crc32(r.tobytes()) % FOLDS for r in x.astype("<f4")], np.int64).reshape(-1)
 
 
 def _bare(model: Model) -> Model:
@@ -140,18 +148,33 @@ def _bare(model: Model) -> Model:
     return Model(model.mean, model.scale, model.weights, model.bias, model.prior)
 
 
-def _contrast(model: Model, p: np.ndarray, sums: Sums, n: float) -> Model:
-    """The linear scorer that best parts positives from unlabelled rows in the least-squares sense."""
-    bare = _bare(model)
+def _prior(model: Model, positive: np.ndarray, sums: Sums, n: float) -> float:
+    """The class prior, by the linear scorers that best part positives from unlabelled rows in the least-squares sense: each is made without a fold of both and counts the rows of this fold."""
+    bare, width = _bare(model), SIZE + SIZE * SIZE + 1
 
     def moments(x: np.ndarray) -> np.ndarray:
-        z = bare.shaped(x)
-        return np.concatenate([z.sum(axis=0), (z.T @ z).reshape(-1)])
-
-    got = sums(moments)
-    mean = got[:SIZE] / n
-    spread = got[SIZE:].reshape(SIZE, SIZE) / n - np.outer(mean, mean)
-    return Model(model.mean, model.scale, np.linalg.solve(spread + 0.05 * np.eye(SIZE), p.mean(axis=0) - mean), 0.0, 0.5)
+        z, fold = bare.shaped(x), folds_of(x)
+        parts = [z[fold == k] for k in range(FOLDS)]
+        return np.concatenate([np.concatenate([[float(len(p))], p.sum(axis=0), (p.T @ p).reshape(-1)]) for p in parts])
+
+    got = sums(moments).reshape(FOLDS, width)
+    z, fold = bare.shaped(positive), folds_of(positive)
+    scorers, limits = [], []
+    for k in range(FOLDS):
+        rest = got.sum(axis=0) - got[k]
+        others, own = z[fold != k], z[fold == k]
+        if not len(others) or not len(own) or not rest[0]:
+            return 0.5
+        mean = rest[1 : SIZE + 1] / rest[0]
+        spread = rest[SIZE + 1 :].reshape(SIZE, SIZE) / rest[0] - np.outer(mean, mean)
+        scorers.append(np.linalg.solve(spread + 0.05 * np.eye(SIZE), others.mean(axis=0) - mean))
+        limits.append(np.quantile(own @ scorers[k], LEVELS))
+
+    def tails(x: np.ndarray) -> np.ndarray:
+        z, fold = bare.shaped(x), folds_of(x)
+        return sum(((z[fold == k] @ scorers[k])[:, None] >= limits[k]).sum(axis=0).astype(float) for k in range(FOLDS))
+
+    return estimate_prior(sums(tails), len(positive), n)
 
 
 def _descend(model: Model, p: np.ndarray, sums: Sums, n: float, steps: int, rate: float, decay: float) -> None:
@@ -181,18 +204,38 @@ def _descend(model: Model, p: np.ndarray, sums: Sums, n: float, steps: int, rate
     model.weights, model.bias = theta[:-1], float(theta[-1])
 
 
-def _calibrate(model: Model, positive: np.ndarray, counts: np.ndarray, steps: int = 400, rate: float = 0.5) -> None:
-    """Slope and offset by the non-negative risk with the logistic loss; counts: unlabelled rows by bin of margin."""
-    share = counts / max(1.0, counts.sum())
-    slope, offset = 1.0, 0.0
-    for _ in range(steps):
-        p, u = sigmoid(slope * positive + offset), sigmoid(slope * BINS + offset)
-        risk = (share * np.logaddexp(0, slope * BINS + offset)).sum() - model.prior * np.logaddexp(0, slope * positive + offset).mean()
-        gain = model.prior * np.array([((1 - p) * positive).mean(), (1 - p).mean()])
-        loss = np.array([(share * u * BINS).sum(), (share * u).sum()]) - model.prior * np.array([(p * positive).mean(), p.mean()])
-        step = loss - gain if risk >= 0 else -loss
-        slope, offset = max(0.05, slope - rate * step[0]), offset - rate * step[1]
-    model.slope, model.offset = float(slope), float(offset)
+def _least(f: Callable[[float], float], low: float, high: float, tolerance: float = 1e-5) -> float:
+    """Where a convex function is least within bounds, by golden sections."""
+    ratio = (np.sqrt(5) - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = f(a), f(b)
+    while high - low > tolerance:
+        if fa <= fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = f(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = f(b)
+    return (low + high) / 2
+
+
+def risk(prior: float, p: np.ndarray, u: np.ndarray, slope: float, offset: float) -> float:
+    """The non-negative risk with the logistic loss; p and u: shares of positives and of unlabelled rows by bin of margin.
+
+    It is the larger of prior * R_p+ and prior * R_p+ + R_u- - prior * R_p-; the latter is R_u- less the prior times the
+    positives' mean margin. Both are convex in slope and offset, and so is the risk.
+    """
+    z = slope * BINS + offset
+    plus = prior * float(p @ np.logaddexp(0, -z))
+    return max(plus, float(u @ np.logaddexp(0, z)) - prior * float(p @ z))
+
+
+def _calibrate(model: Model, positive: np.ndarray, unlabelled: np.ndarray, tolerance: float = 1e-5) -> None:
+    """The slope of the least risk; counts of rows by bin of margin. The offset stays 0, where the descent has put the classes' boundary. A finer search changes nothing but digits."""
+    p, u = positive / max(1.0, positive.sum()), unlabelled / max(1.0, unlabelled.sum())
+    model.slope, model.offset = _least(lambda slope: risk(model.prior, p, u, slope, 0.0), 0.05, 2.0, tolerance), 0.0
 
 
 def fit(positive: np.ndarray, sums: Sums, steps: int = 30, rate: float = 0.1) -> Model:
@@ -205,11 +248,9 @@ def fit(positive: np.ndarray, sums: Sums, steps: int = 30, rate: float = 0.1) ->
     scale = np.sqrt(np.maximum(got[SIZE + 1 :] / n - mean**2, 0)) + 1e-3
     model = Model(mean, scale, np.zeros(SIZE), 0.0, 0.5)
     p = model.shaped(positive)
-    contrast = _contrast(model, p, sums, n)
-    levels = tails(m := contrast.margin(positive))
-    model.prior = estimate_prior(m, sums(lambda x: (contrast.margin(x)[:, None] >= levels).sum(axis=0).astype(float)), n)
+    model.prior = _prior(model, positive, sums, n)
     _descend(model, p, sums, n, steps, rate, 1e-4)
     bare = _bare(model)
-    counts = sums(lambda x: np.bincount(np.rint((bare.margin(x) + EDGE) / BIN).astype(int), minlength=len(BINS)).astype(float))
-    _calibrate(model, bare.margin(positive), counts)
+    binned = lambda x: np.bincount(np.rint((bare.margin(x) + EDGE) / BIN).astype(int), minlength=len(BINS)).astype(float)
+    _calibrate(model, binned(positive), sums(binned))
     return model

@@ -409,6 +409,46 @@ def test_repeated_rows_are_learnt_from_once(spark):
     assert op01_quality.score(docs.union(hot), model, "mine").columns == ["doc_id", "text", "mine"]
 
 
+def two_humps(seed=3, n=4_000, share=0.6):
+    """Counts by bin of margin: positives, and unlabelled rows of which `share` are positives."""
+    rng = np.random.RandomState(seed)
+    good, bad = rng.normal(6, 2, 3 * n), rng.normal(-9, 4, n)
+    binned = lambda x: np.bincount(np.rint((np.clip(x, -quality.EDGE, quality.EDGE) + quality.EDGE) / quality.BIN).astype(int), minlength=len(quality.BINS)).astype(float)
+    return binned(good[: 2 * n]), binned(np.concatenate([good[2 * n : 2 * n + int(n * share)], bad[: int(n * (1 - share))]]))
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.87])
+def test_calibration_settles(share):
+    """A finer search gives the same slope; no slope of a grid has less risk."""
+    p, u = two_humps(share=share)
+    found = []
+    for tolerance in (1e-4, 1e-7):
+        model = quality.Model(np.zeros(quality.SIZE), np.ones(quality.SIZE), np.zeros(quality.SIZE), 0.0, share)
+        quality._calibrate(model, p, u, tolerance)
+        found.append((model.slope, model.offset))
+    assert np.allclose(found[0], found[1], atol=2e-3) and found[1][1] == 0
+    p, u = p / p.sum(), u / u.sum()
+    assert all(quality.risk(share, p, u, *found[1]) <= quality.risk(share, p, u, s, 0.0) + 1e-6 for s in np.linspace(0.05, 2, 60))
+
+
+def test_risk_is_that_of_its_definition():
+    p, u = (x / x.sum() for x in two_humps())
+    loss = lambda z: np.logaddexp(0, -z)
+    for slope, offset in ((0.3, -1.0), (1.0, 0.5), (0.05, 4.0)):
+        z = slope * quality.BINS + offset
+        want = 0.6 * p @ loss(z) + max(0.0, u @ loss(-z) - 0.6 * p @ loss(-z))
+        assert quality.risk(0.6, p, u, slope, offset) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("share", [0.4, 0.8])
+def test_prior_of_a_mixture(share):
+    rng = np.random.RandomState(5)
+    row = lambda n, at: np.clip(rng.normal(at, 0.1, (n, quality.SIZE)), 0, 1).astype("<f4").astype(float)
+    positive, n = row(800, 0.55), 1_500
+    unlabelled = np.concatenate([row(int(n * share), 0.55), row(n - int(n * share), 0.35)])
+    assert quality.fit(positive, lambda f: f(unlabelled)).prior == pytest.approx(share, abs=0.08)
+
+
 def test_toxicity_holds_out(spark):
     docs, labels = labelled(spark, 900, lambda r: prose(r) + " you gloomfart", prose, "toxic")
     model = op06_toxicity.fit(docs, labels)
@@ -419,6 +459,39 @@ def test_toxicity_holds_out(spark):
     assert op06_toxicity.score(docs, none).select("score").distinct().count() == 1
 
 
+def known_of(counts):
+    """ngrams.Counts of {word: (n0, n1, n)}."""
+    stems = {}
+    for w in counts:
+        stems.setdefault(w[: ngrams.STEM], []).append(w)
+    said = [w for w, c in counts.items() if c[0] + c[1]]
+    kept = [s for s, ws in stems.items() if any(w in said for w in ws)]
+    s = {"stem": np.array([ngrams.stem_hash(x) for x in kept], np.int64), "n": np.array([sum(counts[w][2] for w in stems[x]) for x in kept]), "kinds": np.array([len(stems[x]) for x in kept])}
+    w = {"word": np.array([ngrams.word_hash(x) for x in said], np.int64), "stem": np.array([ngrams.stem_hash(x) for x in said], np.int64), **{k: np.array([counts[x][i] for x in said]) for i, k in enumerate(("n0", "n1", "n"))}}
+    return ngrams.counts(s, w, float(len(counts)))
+
+
+@pytest.mark.parametrize("d", [0.6, 1.0, 2.0])
+def test_left_out_is_a_model_without_the_row(d):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("ab", k=rng.randint(4, 8))) for _ in range(120)})
+    rows = [(sorted(rng.sample(words, 25)), i % 2) for i in range(12)]
+    counts = lambda own: {w: (*(sum(w in r for r, c in own if c == k) for k in (0, 1)), 20) for w in words}
+    known = known_of(counts(rows))
+    both = ngrams.sums(known, 0, d), ngrams.sums(known, 1, d)
+    for i, (own, label) in enumerate(rows):
+        rest = counts(rows[:i] + rows[i + 1 :])
+        # What no class holds any more has to stay in the table for the ratios to be the models' own.
+        whole = known_of({w: c if c[0] + c[1] else (0, 0, c[2]) for w, c in rest.items()})
+        want = ngrams.fit(whole, (d, d))
+        got = ngrams.left_out(known, both, known.places(own), label)
+        assert np.allclose(got, want.of(own)), i
+
+
+def test_discounts_from_counts_of_counts():
+    assert ngrams.estimated(np.array([1, 1, 1, 2, 5, 0])) == 3 / 5 and ngrams.estimated(np.array([4, 0])) == 0.75
+
+
 def test_class_models_are_distributions():
     """P_c(stem) * P_c(word | stem) sums to 1 over the corpus, and the ratios are those of these probabilities."""
     rng, d = random.Random(4), 3.0
@@ -441,13 +514,7 @@ def test_class_models_are_distributions():
                 p[w] = ps * ((max(n[w] - d, 0) / ns[s] if ns[s] else 0.0) + rest * counts[w][2] / sum(counts[x][2] for x in ws))
         assert abs(sum(p.values()) - 1) < 1e-9
         prob.append(p)
-    table = {s: [sum(counts[w][k] for w in ws) for k in range(3)] + [len(ws)] + [sum(min(counts[w][c], d) for w in ws) for c in (0, 1)] for s, ws in by_stem.items()}
-    kept = [s for s, t in table.items() if t[0] > d or t[1] > d]
-    stems = {"stem": np.array([ngrams.stem_hash(s) for s in kept]), **{k: np.array([table[s][i] for s in kept], float) for i, k in enumerate(("n0", "n1", "n", "kinds", "cut0", "cut1"))}}
-    said = [w for w in words if counts[w][0] > d or counts[w][1] > d]
-    rows = {"word": np.array([ngrams.word_hash(w) for w in said]), "stem": np.array([ngrams.stem_hash(w) for w in said]), **{k: np.array([counts[w][i] for w in said], float) for i, k in enumerate(("n0", "n1", "n"))}}
-    totals = {"n0": sum(t[0] for t in table.values()), "n1": sum(t[1] for t in table.values()), "kinds": len(words), "cut0": sum(min(t[0], d) for t in table.values()), "cut1": sum(min(t[1], d) for t in table.values())}
-    got = ngrams.fit(stems, rows, totals, d).of(words)
+    got = ngrams.fit(known_of(counts), (d, d)).of(words)
     assert np.allclose(got, [np.log(prob[1][w] / prob[0][w]) for w in words])
     assert len(ngrams.features(np.zeros(0))) == len(op06_toxicity.NAMES)
     assert logistic.fit(np.zeros((0, 2)), np.zeros(0)).score(np.zeros((1, 2)))[0] == pytest.approx(0.5)
