@@ -56,7 +56,9 @@ class ByteTokens:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        letters = {chr(v): k for k, v in _byte_letters().items()}
+        letters = {chr(b): b for b in range(256)} | {chr(v): k for k, v in _byte_letters().items()}
+        for b in _byte_letters():  # these are spelt by other letters than their own
+            del letters[chr(b)]
         self.spelt = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.spelt[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()

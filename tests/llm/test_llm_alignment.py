@@ -22,6 +22,24 @@ def aligner():
     return alignment.Aligner(alignment.vocabularies())
 
 
+@pytest.fixture(scope="module")
+def spelt():
+    """The bytes of each id, from other files than the operator's."""
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+
+    ranks = [line.split() for line in open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")]
+    a = {int(i): base64.b64decode(x) for x, i in ranks} | {50256: b"<|endoftext|>"}
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return a, [bytes.fromhex(m.id_to_piece(i)[3:5]) if m.is_byte(i) else m.id_to_piece(i).replace("\u2581", " ").encode() for i in range(m.vocab_size())]
+
+
+def test_bytes_of_ids(aligner, spelt):
+    assert dict(enumerate(aligner.a.spelt)) == spelt[0] and aligner.b.spelt == spelt[1] and aligner.a.quick is not None
+
+
 def spans(sizes):
     ends = np.cumsum(sizes).tolist()
     return list(zip([0, *ends[:-1]], ends, strict=True))
@@ -76,7 +94,9 @@ def expected(aligner, rows):
     return out
 
 
-def check(aligner, texts):
+def check(aligner, texts, least):
+    """At least this share of the texts has tokens."""
+    assert sum(brute(aligner, t) is not None for t in texts) >= least * len(texts)
     for text, got in zip(texts, aligner.documents([t or "" for t in texts]), strict=True):
         want = brute(aligner, text)
         if want is None:
@@ -90,18 +110,18 @@ def check(aligner, texts):
 
 
 def test_odd_texts(aligner):
-    check(aligner, ODD)
+    check(aligner, ODD, 0.6)
 
 
 def test_random_texts(aligner):
     rng = random.Random(2)
     for letters in ("ab \n", "the and\r\t ;{}", " \t\r\n\x0b\xa0　x", "aé漢▁ 🙂́'", "'sdmtrel v 0", "".join(map(chr, range(32, 0x250)))):
-        check(aligner, ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(300)])
+        check(aligner, ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(300)], 0.05)
 
 
 def test_documents(aligner):
     texts = [r[0] for r in duckdb.connect().execute("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall()]
-    check(aligner, texts)
+    check(aligner, texts, 1.0)
 
 
 def test_memory_starts_afresh(monkeypatch, aligner):
@@ -109,7 +129,7 @@ def test_memory_starts_afresh(monkeypatch, aligner):
     texts = [" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 6))) for _ in range(40)) for _ in range(60)]
     monkeypatch.setattr(alignment, "MOST", 50)
     monkeypatch.setattr(alignment, "STEP", 500)
-    check(aligner, texts)
+    check(aligner, texts, 1.0)
 
 
 def test_union_find():
@@ -144,7 +164,8 @@ def test_rows(spark, aligner, monkeypatch, size):
     found = op13_alignment.align_texts(docs, slice_pairs=size)
     assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(key, found.collect())) == sorted(map(key, expected(aligner, rows)))
+    want = expected(aligner, rows)
+    assert sorted(map(key, found.collect())) == sorted(map(key, want)) and sum(w[1] > 0 for w in want) > 80
 
 
 def test_counts_are_given_out_in_parts(spark, monkeypatch, aligner):
