@@ -14,18 +14,20 @@ parent, until one node remains. Two kinds of tasks do the work, both over sorted
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialise
+from glossa.llm.common import materialise, release
 
 ARITY = 8
 #: Levels that one round of either direction covers: a block has at most ARITY ** SPAN nodes of its lowest level.
 SPAN = 3
+#: Rows whose paths a task holds at a time.
+ROWS = 1_000
 NODE = "tree string, n long, level int, at long, digest string"
 #: A path from a node upwards: for each level, "slot:siblings", joined by ";".
 LEVEL, PART = ";", ":"
@@ -132,11 +134,17 @@ def roots(leaves: DataFrame, parents: DataFrame) -> DataFrame:
     return one.unionByName(parents.where(f"shiftleft(1L, 3 * level) >= n AND shiftleft(1L, 3 * (level - 1)) < n").select("tree", "n", F.col("digest").alias("root")))
 
 
-def descend(leaves: DataFrame, parents: DataFrame, tops: DataFrame, tallest: int, name: str) -> DataFrame:
+#: What a leaf's key and path are turned into, many at a time, with its type's name.
+Finish = tuple[Callable[[list[dict], list[str]], pa.Array], str]
+PATHS: Finish = (lambda keys, paths: pa.array(paths, pa.string()), "string")
+
+
+def descend(leaves: DataFrame, parents: DataFrame, tops: DataFrame, tallest: int, name: str, finish: Finish = PATHS) -> DataFrame:
     """(key, above, path) of each leaf (tree, n, at, digest, key): the path up to the tree's root and then on along `path` of its row of tops (tree, n, path, above), whose `above` is handed down.
 
     key is any struct of the leaf. Each round deals blocks of SPAN levels: anchors (paths of the blocks' ancestors),
-    links (parents within) and the nodes that want a path.
+    links (parents within) and the nodes that want a path. `finish` makes the last column of leaves' paths where they
+    are found: long paths needn't leave the task.
     """
     kind = leaves.schema["key"].dataType
     nothing = F.lit(None).cast(kind)
@@ -154,15 +162,15 @@ def descend(leaves: DataFrame, parents: DataFrame, tops: DataFrame, tallest: int
         empty = {"level": F.lit(0), "at": F.lit(0).cast("long"), "children": F.lit(None).cast("array<string>"), "path": F.lit(None).cast("string"), "above": F.lit(None).cast(tops.schema["above"].dataType), "key": nothing}
         rows = [df.withColumn("rank", F.lit(i)).select("tree", "n", "block", "rank", *[F.col(c) if c in df.columns else v.alias(c) for c, v in empty.items()]) for i, df in enumerate((anchor, links, wanted))]
         dealt = reduce(DataFrame.unionByName, rows).repartition("tree", "block").sortWithinPartitions("tree", "block", "rank")
-        schema = dealt.select("tree", "n", F.col("at").alias("block"), "path", "above", "key").schema
-        found = dealt.select("tree", "n", "block", "rank", "level", "at", "children", "path", "above", "key").mapInArrow(_paths(low, high), schema)
+        schema = dealt.select("tree", "n", F.col("at").alias("block"), F.lit(None).cast("string" if low else finish[1]).alias("path"), "above", "key").schema
+        found = dealt.select("tree", "n", "block", "rank", "level", "at", "children", "path", "above", "key").mapInArrow(_paths(low, high, PATHS[0] if low else finish[0]), schema)
         if low == 0:
             return found.select("key", "above", "path")
         anchors = materialise(found.drop("key"), f"{name}-{low}")
     raise AssertionError("the last round is at level 0")
 
 
-def _paths(low: int, high: int):
+def _paths(low: int, high: int, finish: Callable[[list[dict], list[str]], pa.Array]):
     """Rows sorted by (tree, block, rank) to those of rank 2, with paths. Holds the links of one block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +192,7 @@ def _paths(low: int, high: int):
                     memo[level, at] = known
             return known
 
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             kept, paths, tops = [], [], []
             columns = (batch.column(c).to_pylist() for c in ("tree", "n", "block", "rank", "level", "at", "children", "path"))
             for i, (tree, n, block, rank, level, at, children, given) in enumerate(zip(*columns, strict=True)):
@@ -200,7 +208,8 @@ def _paths(low: int, high: int):
                     tops.append(above)
             chosen = batch.take(pa.array(kept, pa.int64()))
             handed = pa.concat_arrays(tops) if tops else chosen.column("above")
-            yield pa.RecordBatch.from_arrays([chosen.column("tree"), chosen.column("n"), chosen.column("at"), pa.array(paths, pa.string()), handed, chosen.column("key")], ["tree", "n", "block", "path", "above", "key"])
+            yield pa.RecordBatch.from_arrays([chosen.column("tree"), chosen.column("n"), chosen.column("at"), finish(chosen.column("key").to_pylist(), paths), handed, chosen.column("key")], ["tree", "n", "block", "path", "above", "key"])
+        release()
 
     return run
 

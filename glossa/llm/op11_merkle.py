@@ -10,7 +10,6 @@ a null doc_id is never tampered with; no rows give no rows; other columns have n
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +39,8 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select(tree.alias("tree"), "doc_id", leaf_digest(F.col("text")).alias("digest"), F.when(remainder("doc_id", 3) == 0, lower).alias("tampered"), F.monotonically_increasing_id().alias("place"))
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """(doc_id, leaf, subroot, root, path, tampered) of each row of docs (FIELDS): path holds the slot and siblings at each level from the leaf to the root."""
+def manifest(docs: DataFrame, finish: merkle.Finish = merkle.PATHS) -> DataFrame:
+    """(doc_id, leaf, subroot, root, path) of each row of docs (FIELDS): path holds the slot and siblings at each level from the leaf to the root, or what `finish` makes of them."""
     rows = materialise(leaves(docs), "leaves")
     placed = materialise(merkle.numbered(rows, ["doc_id", "digest", "place"], "leaves-sorted"), "leaves-numbered")
     parents, tallest = merkle.build(placed, "nodes")
@@ -54,30 +53,27 @@ def manifest(docs: DataFrame) -> DataFrame:
     keyed = crowns.withColumn("key", F.struct("lang", "rows", "digest"))
     tops = merkle.descend(keyed, above, root, levels, "crown-paths").select(F.col("key.lang").alias("tree"), F.col("key.rows").alias("n"), "path", F.struct(F.col("key.digest").alias("subroot"), F.col("above.root").alias("root")).alias("above"))
     keyed = placed.withColumn("key", F.struct("doc_id", "digest", "tampered"))
-    found = merkle.descend(keyed, parents, materialise(tops, "tops"), tallest, "paths")
-    return found.select("key.doc_id", F.col("key.digest").alias("leaf"), "above.subroot", "above.root", "path", "key.tampered")
+    found = merkle.descend(keyed, parents, materialise(tops, "tops"), tallest, "paths", finish)
+    return found.select("key.doc_id", F.col("key.digest").alias("leaf"), "above.subroot", "above.root", "path")
 
 
-def verified(rows: DataFrame) -> DataFrame:
-    """manifest() rows with proof_sha256, and the root that the leaf as it is now (tampered, if it is) and the siblings give."""
+def _proved(keys: list[dict], paths: list[str]) -> pa.Array:
+    """proof_sha256, and the root that the leaf as it is now (tampered, if it is) and its siblings give."""
+    proofs = [hashlib.sha256(merkle.siblings_of(p).encode()).hexdigest() for p in paths]
+    folded = [merkle.fold(k["tampered"] or k["digest"], p) for k, p in zip(keys, paths, strict=True)]
+    return pa.StructArray.from_arrays([pa.array(proofs, pa.string()), pa.array(folded, pa.string())], ["proof_sha256", "folded_root"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            proofs, folded = [], []
-            for leaf, path, tampered in zip(*(batch.column(c).to_pylist() for c in ("leaf", "path", "tampered")), strict=True):
-                proofs.append(hashlib.sha256(merkle.siblings_of(path).encode()).hexdigest())
-                folded.append(merkle.fold(tampered or leaf, path))
-            names = ["doc_id", "leaf", "subroot", "root"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(proofs, pa.string()), pa.array(folded, pa.string())], [*names, "proof_sha256", "folded_root"])
 
-    found = rows.mapInArrow(run, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
-    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+def verified(docs: DataFrame) -> DataFrame:
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of each row of docs; paths are folded where they are found."""
+    rows = manifest(docs, (_proved, "struct<proof_sha256:string,folded_root:string>"))
+    return rows.select("doc_id", "leaf", "subroot", "root", "path.proof_sha256", "path.folded_root", (F.col("path.folded_root") == F.col("root")).alias("verified"))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each row of documents; the cases are those of this module."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "source", "lang", F.col("n_chars").cast("long"), "text")
-    return verified(manifest(docs))
+    return verified(docs)
 
 
 def _levels(table: str, first: str, count: int = 8) -> str:

@@ -71,7 +71,7 @@ def expected(rows):
 
 
 def of(spark, rows):
-    return op11_merkle.verified(op11_merkle.manifest(spark.createDataFrame(rows, SCHEMA)))
+    return op11_merkle.verified(spark.createDataFrame(rows, SCHEMA))
 
 
 def key(r):
@@ -109,6 +109,12 @@ def test_null_ids_equal_rows_and_clashing_names(spark, tmp_path):
     assert sorted(map(key, op11_merkle.op11_merkle_manifest(spark, str(tmp_path)).collect())) == want
 
 
+def test_paths_prove_leaves(spark):
+    rows = made({"en": 90, "de": 2})
+    for r in op11_merkle.manifest(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert merkle.fold(r.leaf, r.path) == r.root and h(merkle.siblings_of(r.path)) in {e[4] for e in expected(rows) if e[1] == r.leaf}
+
+
 def test_no_rows(spark):
     found = of(spark, [])
     assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"] and found.collect() == []
