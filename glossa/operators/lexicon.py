@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.plans.profile import Profile
 
+#: rows, the column of a unit and a new column's name, to rows with the unit's lemma in it
+Lemmas = Callable[[DataFrame, str, str], DataFrame]
 COLUMNS = ["marker_id", "marker_source", "microtheme", "phrase_family", "unit_type", "unit_raw", "unit_norm", "marker_label", "precision_level", "source_type", "enabled", "risk_comment", "comment"]
 
 
@@ -56,10 +59,15 @@ def with_defaults(df: DataFrame, source: str, p: Profile) -> DataFrame:
     return df.where(F.lower(T.strip(F.col("enabled").cast("string"))).isin("1", "true", "yes", "да", "y")).fillna("")
 
 
-def curated(rows: DataFrame, aliases: DataFrame, p: Profile) -> DataFrame:
-    df = normalise_themes(with_defaults(rows, "CURATED", p), aliases.where(F.lit(True)), p)
+def with_lemma(rows: DataFrame, unit: str, p: Profile, lemmas: Lemmas | None) -> DataFrame:
+    """rows with the unit's lemma as `_lemma`: by `lemmas`, or by the profile."""
+    return rows.withColumn("_lemma", T.lemma(F.col(unit), p)) if lemmas is None else lemmas(rows, unit, "_lemma")
+
+
+def curated(rows: DataFrame, aliases: DataFrame, p: Profile, lemmas: Lemmas | None = None) -> DataFrame:
+    df = with_lemma(normalise_themes(with_defaults(rows, "CURATED", p), aliases.where(F.lit(True)), p), "unit", p, lemmas)
     unit, kind = F.col("unit"), F.upper("unit_type")
-    norm = F.when(kind == "WORD", T.lemma(unit, p)).otherwise(T.strip(unit))
+    norm = F.when(kind == "WORD", F.col("_lemma")).otherwise(T.strip(unit))
     theme = F.when(T.strip("microtheme") != "", F.concat(F.lit(" ["), F.col("microtheme"), F.lit("]"))).otherwise("")
     label = F.concat(F.when(kind == "WORD", norm).otherwise(unit), theme)
     return df.select(
@@ -68,10 +76,10 @@ def curated(rows: DataFrame, aliases: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def listed(units: DataFrame, aliases: DataFrame, p: Profile) -> DataFrame:
+def listed(units: DataFrame, aliases: DataFrame, p: Profile, lemmas: Lemmas | None = None) -> DataFrame:
     """units: (ord, value), a line each; blank lines and comments go, the others are numbered in order."""
     rows = units.select("ord", T.strip(F.regexp_replace("value", "^﻿", "")).alias("unit")).where((F.col("unit") != "") & ~F.col("unit").startswith("#"))
-    rows = rows.withColumn("n", F.row_number().over(Window.orderBy("ord"))).withColumn("norm", T.lemma(F.col("unit"), p))
+    rows = with_lemma(rows.withColumn("n", F.row_number().over(Window.orderBy("ord"))), "unit", p, lemmas).withColumnRenamed("_lemma", "norm")
     rows = normalise_themes(rows.withColumn("microtheme", listed_theme(F.col("norm"), p)), aliases, p)
     return rows.select(
         F.format_string(p.listed_id, "n").alias("marker_id"), F.lit(p.listed_source).alias("marker_source"), "microtheme", F.lit(p.listed_family).alias("phrase_family"), F.lit("WORD").alias("unit_type"), F.col("unit").alias("unit_raw"),
@@ -93,10 +101,10 @@ def phrases(rows: DataFrame, aliases: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def registry(curated_rows: DataFrame, units: DataFrame, phrase_rows: DataFrame, themes: DataFrame, p: Profile, levels: tuple[str, ...] | None = None) -> DataFrame:
+def registry(curated_rows: DataFrame, units: DataFrame, phrase_rows: DataFrame, themes: DataFrame, p: Profile, levels: tuple[str, ...] | None = None, lemmas: Lemmas | None = None) -> DataFrame:
     """All markers with marker_ord, their order: of equal (unit_type, unit_norm) the first by source (phrases, curated, listed), then id."""
     aliases = theme_aliases(themes)
-    every = phrases(phrase_rows, aliases, p).unionByName(curated(curated_rows, aliases, p)).unionByName(listed(units, aliases, p))
+    every = phrases(phrase_rows, aliases, p).unionByName(curated(curated_rows, aliases, p, lemmas)).unionByName(listed(units, aliases, p, lemmas))
     every = every.withColumn("unit_norm", T.strip("unit_norm"))
     if levels:
         every = every.where(F.col("precision_level").isin(*levels))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators.joins import in_intervals
+from glossa.operators.morphology import has_tag
 from glossa.plans.profile import Profile
 
 PERSPECTIVES = ("HERO_INNER_SPEECH", "HERO_DIRECT_SPEECH", "NARRATOR_ABOUT_HERO", "OTHERS_TO_HERO", "OTHERS_ABOUT_HERO", "OTHERS_NEAR_HERO", "UNKNOWN")
@@ -157,22 +159,37 @@ def perspective_rules() -> list[tuple[str, str, str, str, str, str]]:
     ]
 
 
-def perspective_sql() -> dict[str, str]:
-    """Column name to CASE expression."""
-    rules = perspective_rules()
+def perspective_sql(act: str = "speech_act") -> dict[str, str]:
+    """Column name to CASE expression; act: the speech act, as an expression."""
+    rules = [tuple(x.replace("speech_act", act) for x in r) for r in perspective_rules()]
     case = lambda i, last, quote=False: "CASE " + " ".join(f"WHEN {r[0]} THEN " + (f"'{r[i]}'" if quote else r[i]) for r in rules) + f" ELSE {last} END"
     others = ", ".join(f"'{x}'" for x in OTHERS)
     label = case(1, "'UNKNOWN'", True)
     return {
         "perspective": label, "perspective_evidence": case(2, "'no_direct_speech;no_hero_link'"), "perspective_confidence": case(3, "'LOW'"), "speaker_detected": case(4, "'UNKNOWN'"), "addressee_detected": case(5, "''"),
-        "others_speech_act": f"CASE WHEN ({label}) IN ({others}) THEN speech_act ELSE '' END",
+        "others_speech_act": f"CASE WHEN ({label}) IN ({others}) THEN speech_act ELSE '' END".replace("THEN speech_act", f"THEN {act}"),
     }
 
 
 def tagged_sentences(sents: DataFrame, p: Profile) -> DataFrame:
-    """sents with links and perspectives; the columns they are derived from go."""
+    """sents with links and perspectives; the columns they are derived from go. Where sents has the tokens' `tags`, `prompted` is what the perspective's columns are of a hit that is an imperative."""
     full = with_links(with_flags(sents, p), p)
-    return full.withColumns({k: F.expr(v) for k, v in perspective_sql().items()})
+    tagged = full.withColumns({k: F.expr(v) for k, v in perspective_sql().items()})
+    if "tags" not in sents.columns:
+        return tagged
+    return tagged.withColumn("prompted", F.struct(*[F.expr(v).alias(k) for k, v in perspective_sql("'PROMPT'").items()]))
+
+
+def is_imperative(first: str, last: str, tags: str = "tags", tag: str = "impr") -> Column:
+    """Whether any parse of a hit's token is an imperative; a hit of several tokens never is. first, last: its places."""
+    own = F.col(first) == F.col(last)
+    return F.coalesce(own & has_tag(F.array(F.try_element_at(tags, (F.col(first) + 1).cast("int"))), tag), F.lit(False))
+
+
+def with_imperatives(hits: DataFrame) -> DataFrame:
+    """hits that carry their sentence's `tags` and `prompted`, with the perspective's columns of imperatives in place of the sentence's."""
+    act = is_imperative("token_idx", "token_end_idx")
+    return hits.withColumns({c: F.when(act, F.col(f"prompted.{c}")).otherwise(F.col(c)) for c in perspective_sql()}).drop("tags", "prompted")
 
 
 TAGS = ["hero_link", "hero_evidence", "perspective", "perspective_evidence", "perspective_confidence", "speaker_detected", "addressee_detected", "others_speech_act"]
@@ -200,10 +217,9 @@ def assign_segments(hits: DataFrame, segments: DataFrame | None, kind: str) -> D
     pick = lambda *names: next(c for c in names if c in segments.columns)
     s = segments.select(
         F.col(pick(f"{kind}_id", f"{twin}_id")).cast("int").alias(f"{kind}_id"), F.col(pick(f"{kind}_name", kind, f"{twin}_name")).cast("string").alias(kind), F.col("start_sent").cast("int").alias("_from"), F.col("end_sent").cast("int").alias("_to"),
-        *([F.col("doc_id").alias("_doc")] if "doc_id" in segments.columns else []),
+        *(["doc_id"] if "doc_id" in segments.columns else []),
     )
-    within = F.col("sent_id").between(F.col("_from"), F.col("_to"))
-    joined = hits.join(s, within & (F.col("doc_id") == F.col("_doc")) if "_doc" in s.columns else within, "left").drop("_from", "_to", "_doc")
+    joined = in_intervals(hits, "sent_id", s, "_from", "_to", "doc_id" if "doc_id" in s.columns else None)
     return joined.withColumns({f"{kind}_id": F.coalesce(f"{kind}_id", F.lit(-1)), kind: F.coalesce(kind, F.lit("UNKNOWN"))})
 
 

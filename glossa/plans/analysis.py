@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators import lexicon, matching, stats, tagging, texts
+from glossa.operators import lexicon, matching, morphology, stats, tagging, texts
 from glossa.plans import profile as P
 from glossa.plans.profile import Profile
 
@@ -27,6 +27,7 @@ class Sources:
     exclusions: DataFrame
     parts: DataFrame | None = None
     books: DataFrame | None = None
+    forms: DataFrame | None = None  # a morphological dictionary: form, lemma, and tags and weight or not
 
 
 class Analysis:
@@ -50,20 +51,34 @@ class Analysis:
     def headings(self) -> DataFrame:
         return texts.headings(self.sources.docs, self.p)
 
+    @cached_property
+    def morphology(self) -> tuple[DataFrame, DataFrame] | None:
+        """(forms, rules of endings), if the sources have a dictionary."""
+        if self.sources.forms is None:
+            return None
+        forms = self._kept(morphology.dictionary(self.sources.forms))
+        return forms, self._kept(morphology.ending_rules(forms))
+
+    @property
+    def _lemmas(self) -> lexicon.Lemmas | None:
+        return self.morphology and (lambda rows, unit, out: morphology.lemma_column(rows, unit, out, *self.morphology))
+
     @cached_property
     def sentences(self) -> DataFrame:
         found = texts.sentences(self.sources.docs, self.p, self.max_sents)
+        if self.morphology:
+            found = morphology.lemmatised(found, self._kept(morphology.analyse(morphology.words(found), *self.morphology)))
         return self._kept(tagging.tagged_sentences(texts.contexts(found, self.p.context_window_sentences), self.p))
 
     @cached_property
     def markers(self) -> DataFrame:
         s, levels = self.sources, None if self.p.experimental_phrases_in_main_stats else self.p.enabled_precision_levels
-        return small(self._kept(lexicon.registry(s.curated, s.listed, s.phrases, s.themes, self.p, levels)))
+        return small(self._kept(lexicon.registry(s.curated, s.listed, s.phrases, s.themes, self.p, levels, self._lemmas)))
 
     @cached_property
     def all_markers(self) -> DataFrame:
         s = self.sources
-        return lexicon.registry(s.curated, s.listed, s.phrases, s.themes, self.p)
+        return lexicon.registry(s.curated, s.listed, s.phrases, s.themes, self.p, lemmas=self._lemmas)
 
     @cached_property
     def rules(self) -> list[dict[str, str]]:
@@ -71,8 +86,9 @@ class Analysis:
 
     @cached_property
     def _hits(self) -> tuple[DataFrame, DataFrame]:
-        cols = ["doc_id", "sent_id", "sent_text", "tokens", "lemmas", "prev_sent_text", "next_sent_text", "context_window", *tagging.TAGS]
-        return matching.hits(self.sentences.select(*cols), self.markers, self.rules, self.p, self._kept)
+        cols = ["doc_id", "sent_id", "sent_text", "tokens", "lemmas", "prev_sent_text", "next_sent_text", "context_window", *tagging.TAGS, *(["tags", "prompted"] if self.morphology else [])]
+        found, nested = matching.hits(self.sentences.select(*cols), self.markers, self.rules, self.p, self._kept)
+        return (tagging.with_imperatives(found), nested.drop("tags", "prompted")) if self.morphology else (found, nested)
 
     @cached_property
     def hits(self) -> DataFrame:

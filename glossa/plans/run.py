@@ -33,6 +33,7 @@ def project_sources(spark: SparkSession, root: str, rest: dict[str, Any], p: Pro
         files.read_texts(spark, corpus, p.encodings), table(m.get("s1_csv") or m.get("curated_csv"), "id string, microtheme string, unit string, unit_type string, comment string"),
         files.read_word_list(spark, at(m.get("alexandrova_txt") or m.get("listed_txt") or "absent")), table(m.get("phrases_csv"), PHRASES), table(m.get("microthemes_csv"), "canonical_microtheme string, aliases string"),
         files.read_exclusions(spark, at(m["exclusions_csv"]) if m.get("exclusions_csv") else None), seg(s.get("parts_csv"), PARTS), seg(s.get("books_csv"), BOOKS),
+        files.read_forms(spark, at(m["forms"])) if m.get("forms") else None,
     )
 
 

@@ -127,11 +127,6 @@ def _assigned(a: Analysis) -> DataFrame:
     return found.select("hit_id", "book_id", "book", "part_id", "part")
 
 
-def _acts(a: Analysis) -> DataFrame:
-    """Speech acts where a morphology says that sentences with `on` hold an imperative."""
-    return a.sentences.select("doc_id", "sent_id", tagging.speech_act(F.col("sent_text"), a.p, F.array_contains("lemmas", "on")).alias("act"))
-
-
 def _headings(a: Analysis) -> DataFrame:
     return segments.first_headings(segments.char_to_sentence(segments.line_headings(a.sources.docs, a.p), texts.sentence_offsets(a.sources.docs, a.p)))
 
@@ -139,7 +134,7 @@ def _headings(a: Analysis) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "encoding_fallback": encoding_fallback, "table_and_mirror": table_and_mirror, "workbook_sheets": workbook_sheets, "word_list_file": word_list_file, "csv_flexible": csv_flexible, "exclusions_file": exclusions_file,
     "clean_output": clean_output, "config_options": config_options, "run_metadata": run_metadata, "segments_headings": _of(_headings), "segments_books": _built(0), "segments_parts": _built(1), "segments_of_documents": _of(_assigned),
-    "speech_act_imperative": _of(_acts), "validate_registry": _of(lambda a: validate(a)),
+    "validate_registry": _of(lambda a: validate(a)),
 }
 
 # ------------------------------------------------------------------ the same in SQL
@@ -175,9 +170,6 @@ def _with(chain: str, select: str) -> str:
     return f"WITH {chain},\n{base.removeprefix('WITH ')}" if base.startswith("WITH ") else f"WITH {chain}\n{base}"
 
 
-P0 = P.LATIN
-IMPERATIVE = " OR ".join(has("sent_text", f"(?:^|[^{P0.letters}])(?:{e})(?:$|[^{P0.letters}])") for e in P0.evaluations)
-PROMPTS = has("sent_text", f"(?:^|[^{P0.letters}])(?:{'|'.join(P0.prompts)})(?:$|[^{P0.letters}])")
 CHECKS = {
     "sentences": "(SELECT count(*) FROM sents)", "headings": "(SELECT count(*) FROM headings)", "markers_total": "(SELECT count(*) FROM markers)", "phrase_markers": "(SELECT count(*) FROM markers WHERE unit_type = 'PHRASE')",
     "duplicate_marker_id": "(SELECT count(*) - count(DISTINCT marker_id) FROM markers)", "duplicate_unit": "(SELECT count(*) - count(DISTINCT (unit_type, unit_norm)) FROM markers)", "empty_microtheme": "(SELECT count(*) FROM markers WHERE trim(microtheme) = '')",
@@ -209,6 +201,5 @@ ORACLE_SQL: dict[str, str] = {
     "segments_of_documents": _with(
         HEADS, "SELECT hit_id, coalesce(b.book_id, -1) AS book_id, coalesce(b.book_name, 'UNKNOWN') AS book, coalesce(q.part_id, -1) AS part_id, coalesce(q.part_name, 'UNKNOWN') AS part FROM hits h LEFT JOIN built_books b ON b.doc_id = h.doc_id AND h.sent_id BETWEEN b.start_sent AND b.end_sent LEFT JOIN built_parts q ON q.doc_id = h.doc_id AND h.sent_id BETWEEN q.start_sent AND q.end_sent",
     ),
-    "speech_act_imperative": sql(f"SELECT doc_id, sent_id, CASE WHEN list_contains(lemmas, 'on') THEN 'PROMPT' WHEN {IMPERATIVE} THEN 'EVALUATE' WHEN {PROMPTS} THEN 'PROMPT' ELSE 'STATEMENT' END AS act FROM sents"),
     "validate_registry": sql(f"SELECT CASE WHEN {BAD} THEN 'WARN' ELSE 'OK' END AS level, c AS check, n FROM ({' UNION ALL '.join(f"SELECT '{k}' AS c, {v}::BIGINT AS n" for k, v in CHECKS.items())})"),
 }

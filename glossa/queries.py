@@ -313,7 +313,7 @@ def _high(a: Analysis) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sources, sinks, segments and runs
-from glossa import project_queries  # noqa: E402
+from glossa import language_queries, project_queries  # noqa: E402
 
-QUERIES |= project_queries.QUERIES
-ORACLE_SQL |= project_queries.ORACLE_SQL
+QUERIES |= project_queries.QUERIES | language_queries.QUERIES
+ORACLE_SQL |= project_queries.ORACLE_SQL | language_queries.ORACLE_SQL

@@ -94,6 +94,11 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip(BOM).strip() for c in df.columns]).fillna("")
 
 
+def read_forms(spark: SparkSession, path: str) -> DataFrame:
+    """A morphological dictionary: Parquet, or text of tab-separated columns with a header (form, lemma, and tags and weight or not). Lines are read where they lie: a file may be split."""
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, sep="\t", quote="", encoding="UTF-8")
+
+
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     """(ord, value), a line each; no rows where there is no file."""
     if not exists(spark, path):
