@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossa.functions.splitter import rule_sentences
 from glossa.plans.profile import Profile
 
 #: Ends of lines as Python's splitlines has them.
@@ -45,6 +46,8 @@ def sentences(text: str | Column, p: Profile) -> Column:
     """Array of trimmed sentences; empty ones are dropped."""
     if p.sentence_splitter is not None:
         return p.sentence_splitter(col(text))
+    if p.split_by_rules:
+        return rule_sentences(p)(col(text))
     found = F.transform(F.regexp_extract_all(col(text), F.lit(p.sentence), F.lit(0)), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.filter(found, lambda s: s != "")
 

@@ -6,14 +6,15 @@ The bench's dictionary is derived from the words of the conversations; the words
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators import morphology, tagging
+from glossa.operators import morphology, tagging, texts
 from glossa.plans import profile as P
-from glossa.plans.analysis import bench_analysis
+from glossa.plans.analysis import bench_analysis, spread
 from glossa.plans.oracle import plain_lower, quoted, sql, values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +51,17 @@ def speech_act_imperative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hit_id", F.when(tagging.is_imperative("token_idx", "token_end_idx"), "PROMPT").otherwise(F.col("speech_act")).alias("act"))
 
 
+# ------------------------------------------------------------------ sentences by rules
+def rule_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by rules with their places in the documents' whole texts."""
+    p = replace(L, split_by_rules=True, remove_headings_from_analysis=False)
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    sents = texts.sentences(docs, p).select("doc_id", "sent_id", "sent_text", "word_count")
+    return sents.join(texts.sentence_offsets(docs, p), ["doc_id", "sent_id"]).select("doc_id", "sent_id", "start", "stop", F.md5("sent_text").alias("digest"), "word_count")
+
+
 QUERIES: dict[str, Query] = {
+    "rule_sentences": rule_sentences,
     "dictionary_forms": forms,
     "dictionary_ending_rules": lambda spark, sf_dir: morphology.ending_rules(forms(spark, sf_dir)),
     "dictionary_analyses": analyses,
@@ -84,7 +95,22 @@ def _over(chain: str, select: str, *steps: str) -> str:
     return f"WITH {before}{chain}\n{select}"
 
 
+#: The rules of the splitter, written out. E: end marks, B: blanks.
+E, B = ".!?…", " \t\r\n\f\x0b\u00a0"
+SPLIT = f"""pieces AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{E}]*[{E}]+[»"”’)\\]]*[{B}]*|[^{E}]+$') AS ps FROM documents),
+judged AS (SELECT doc_id, ps, list_filter(range(1, len(ps) + 1), lambda i: CASE WHEN i = len(ps) THEN true
+    WHEN NOT regexp_matches(ps[i], '[{B}]\\z') THEN false
+    WHEN regexp_matches(ps[i], '\n[{B}]*\n[{B}]*\\z') THEN true
+    WHEN regexp_matches(ps[i + 1], '^[«"“„‘(\\[—–{B}-]*[a-zß-öø-ÿ]') THEN false
+    WHEN regexp_matches(ps[i + 1], '^[,;:»”’)\\]]') THEN false
+    WHEN regexp_matches(ps[i], '^[{B}]*([0-9]|[0-9][0-9]|[0-9][0-9][0-9]|[IVXLCDM]{{1,6}}|[a-zß-öø-ÿA-ZÀ-ÖØ-Þ])[.][{B}]*\\z') THEN false
+    WHEN regexp_matches(ps[i], '(?i)(^|[^0-9A-Za-z_À-ÿ])(of|on|to|and|mr|dr)[.][{B}]*\\z') THEN false
+    WHEN regexp_matches(ps[i], '(^|[^0-9A-Za-z_À-ÿ])[A-ZÀ-ÖØ-Þ][.][{B}]*\\z') AND regexp_matches(ps[i + 1], '^[A-ZÀ-ÖØ-Þ]') THEN false ELSE true END) AS es FROM pieces),
+raws AS (SELECT doc_id, unnest(list_transform(es, lambda e, k: array_to_string(ps[CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END:e], ''))) AS raw, generate_subscripts(es, 1) AS k FROM judged),
+set_down AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, regexp_replace(raw, '^[{B}]+|[{B}]+\\z', '', 'g') AS sent FROM raws)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "rule_sentences": f"WITH {SPLIT}\nSELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS sent_id, (before + length(raw) - length(regexp_replace(raw, '^[{B}]+', '')))::BIGINT AS start, (before + length(raw) - length(regexp_replace(raw, '^[{B}]+', '')) + length(sent))::BIGINT AS stop, md5(sent) AS digest, len(regexp_extract_all(sent, {quoted(L.token)}))::INT AS word_count FROM set_down WHERE sent <> ''",
     "dictionary_forms": f"WITH {DICTIONARY}\nSELECT form, lemma, tags, weight FROM forms",
     "dictionary_ending_rules": f"WITH {RULES}\nSELECT ending, cut, added, tags, n FROM rules",
     "dictionary_analyses": _over(ANALYSES, "SELECT word, n, lemma, tags, all_tags, how FROM analyses", "words"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.functions.splitter import raw_sentences, trimmed
 from glossa.plans.profile import Profile
 
 def by_line():
@@ -62,10 +63,13 @@ def contexts(sents: DataFrame, radius: int = 1) -> DataFrame:
 def sentence_offsets(docs: DataFrame, p: Profile) -> DataFrame:
     """(doc_id, sent_id, start, stop) in code points of the text as it is, headings included; from running lengths of the raw pieces and what lies between them."""
     text = F.coalesce("text", F.lit(""))
-    piece = f"(?s)[^.!?…]+(?:[.!?…]+|$)|[.!?…]+" if p.sentence == Profile.sentence else p.sentence
-    raw = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(piece), F.lit(0))).alias("at", "piece"))
+    if p.split_by_rules:
+        pieces, whole, strip = raw_sentences(text, p), F.lit(True), trimmed
+    else:
+        piece = r"(?s)[^.!?…]+(?:[.!?…]+|$)|[.!?…]+" if p.sentence == Profile.sentence else p.sentence
+        pieces, whole, strip = F.regexp_extract_all(text, F.lit(piece), F.lit(0)), F.col("piece").rlike(r"^[^.!?…]"), T.strip
+    raw = docs.select("doc_id", F.posexplode(pieces).alias("at", "piece"))
     w = Window.partitionBy("doc_id").orderBy("at")
-    placed = raw.withColumn("from", F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = placed.where(F.col("piece").rlike(r"^[^.!?…]") & (T.strip("piece") != ""))
-    lead = F.length("piece") - F.length(F.regexp_replace("piece", r"(?U)^\s+", ""))
-    return whole.select("doc_id", (F.row_number().over(w) - 1).alias("sent_id"), (F.col("from") + lead).alias("start"), (F.col("from") + lead + F.length(T.strip("piece"))).alias("stop"))
+    placed = raw.withColumn("from", F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("text", strip(F.col("piece")))
+    kept = placed.where(whole & (F.col("text") != "")).withColumn("start", F.col("from") + F.expr("instr(piece, text)") - 1)
+    return kept.select("doc_id", (F.row_number().over(w) - 1).alias("sent_id"), "start", (F.col("start") + F.length("text")).alias("stop"))
