@@ -1,8 +1,9 @@
 """Markers to hits: word and gapped phrase matches, overlap resolution, noise, ids.
 
-Phrase candidates are tokens joined to phrases by the first lemma; the rest of a pattern is a fold over the sentence's
-lemma array. Everything of one sentence is resolved within its row, so the only shuffles are one by sentence for the
-candidates and one by document for contexts.
+A phrase is looked up by its rarest lemma: a sentence is asked for the phrases whose anchor it holds, around which their
+first lemma is looked for as far as gaps reach, and the rest of a pattern is a fold over the lemmas. All of a sentence
+is found and resolved within its row, whose arrays are never copied to candidates or hits: these hold places and ids
+alone. The shuffles are one by sentence for the phrases asked for and those that number hits.
 """
 
 from __future__ import annotations
@@ -14,24 +15,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators.morphology import IMPERATIVE, has_tag
 from glossa.plans.profile import Profile
 
 SENT = ["doc_id", "sent_id"]
 SPAN = "struct<marker_id:string,start:bigint,stop:bigint>"
 
 
-def match_end(lemmas: str, pattern: str, start: Column, gap: int) -> Column:
+def match_end(lemmas: str | Column, pattern: str | Column, start: Column, gap: int) -> Column:
     """1-based place of the last lemma of the pattern matched from `start` on, or null. Each lemma binds to its first place among the next gap + 1; there is no second try."""
     nearest = lambda at, want: at + F.nullif(F.array_position(F.slice(lemmas, (at + 1).cast("int"), gap + 1), want), F.lit(0))
     return F.aggregate(F.slice(pattern, F.lit(2), F.greatest(F.size(pattern) - 1, F.lit(0))), start.cast("bigint"), nearest)
 
 
+def phrase_index(sents: DataFrame, markers: DataFrame) -> DataFrame:
+    """(marker_id, pattern, anchor, place): each phrase under its rarest lemma, the one that fewest sentences hold (of equal ones the first); place: the anchor's in the pattern, from 1."""
+    rows = markers.where((F.col("unit_type") == "PHRASE") & (F.trim("unit_norm") != "")).select("marker_id", F.split(F.trim("unit_norm"), r"\s+").alias("pattern"))
+    each = rows.select("marker_id", "pattern", F.posexplode("pattern").alias("at", "lemma"))
+    held = sents.select(F.explode(F.array_distinct("lemmas")).alias("lemma")).join(each.select("lemma").distinct(), "lemma", "left_semi").groupBy("lemma").agg(F.count("*").alias("n"))
+    rarest = each.join(held, "lemma", "left").groupBy("marker_id", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (F.col("at") + 1).alias("place"))).alias("least"))
+    return rarest.select("marker_id", "pattern", F.element_at("pattern", F.col("least.place")).alias("anchor"), F.col("least.place").alias("place"))
+
+
+def _starts(lemmas: str, asked: Column, gap: int) -> Column:
+    """Places of the pattern's first lemma from which its anchor is in reach."""
+    back = asked["place"] - 1
+    anchors = F.filter(F.sequence(F.lit(1), F.size(lemmas)), lambda i: F.element_at(lemmas, i) == F.element_at(asked["pattern"], asked["place"]))
+    reach = lambda q: F.when(q > back, F.sequence(F.greatest(F.lit(1), q - back * (gap + 1)), q - back)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.array_distinct(F.flatten(F.transform(anchors, reach))), lambda s: F.element_at(lemmas, s) == F.element_at(asked["pattern"], 1))
+
+
+def asked_phrases(sents: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, asked): the phrases whose anchor a sentence holds, for sentences with any."""
+    pairs = sents.select(*SENT, F.explode(F.array_distinct("lemmas")).alias("anchor")).join(index, "anchor")
+    return pairs.groupBy(*SENT).agg(F.collect_list(F.struct("marker_id", "pattern", "place")).alias("asked"))
+
+
+def with_spans(sents: DataFrame, index: DataFrame, p: Profile) -> DataFrame:
+    """sents with `found`: all matches of all phrases by (marker_id, start), tokens from 0, stop included; null where there is none."""
+    rows = sents.join(asked_phrases(sents, index), SENT, "left")
+
+    def spans(asked: Column) -> Column:
+        ends = F.transform(_starts("lemmas", asked, p.phrase_gap), lambda s: F.struct(asked["marker_id"].alias("marker_id"), (s - 1).cast("bigint").alias("start"), (match_end("lemmas", asked["pattern"], s, p.phrase_gap) - 1).alias("stop")))
+        return F.filter(ends, lambda x: x["stop"].isNotNull())
+
+    found = F.array_sort(F.flatten(F.transform("asked", spans)))
+    return rows.withColumn("found", found).drop("asked").withColumn("found", F.when(F.size("found") > 0, F.col("found")))
+
+
 def phrase_candidates(sents: DataFrame, markers: DataFrame, p: Profile) -> DataFrame:
     """(doc_id, sent_id, marker_id, start, stop), tokens from 0, stop included: all matches of all phrases."""
-    rows = markers.where((F.col("unit_type") == "PHRASE") & (F.trim("unit_norm") != "")).select("marker_id", F.split(F.trim("unit_norm"), r"\s+").alias("pattern")).withColumn("first", F.element_at("pattern", 1))
-    tokens = sents.select(*SENT, "lemmas", F.posexplode("lemmas").alias("at", "lemma"))
-    found = tokens.join(rows, F.col("lemma") == F.col("first")).withColumn("end", match_end("lemmas", "pattern", F.col("at") + 1, p.phrase_gap))
-    return found.where(F.col("end").isNotNull()).select(*SENT, "marker_id", F.col("at").cast("bigint").alias("start"), (F.col("end") - 1).alias("stop"))
+    found = with_spans(sents.select(*SENT, "lemmas"), phrase_index(sents, markers), p)
+    return found.select(*SENT, F.explode("found").alias("x")).select(*SENT, "x.*")
 
 
 def _apart(found: Column) -> Column:
@@ -60,18 +95,24 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def resolve(candidates: DataFrame, p: Profile) -> DataFrame:
     """A row for each sentence with candidates: `kept` spans by (start, marker_id), and `dropped` ones with the ids of the kept spans that were in the way."""
-    by_sentence = candidates.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("marker_id", "start", "stop"))).alias("found"))
-    apart = by_sentence.withColumn("found", _apart(F.col("found")))
+    return resolved(candidates.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("marker_id", "start", "stop"))).alias("found")), p)
+
+
+def resolved(rows: DataFrame, p: Profile) -> DataFrame:
+    """rows with `kept` and `dropped` in place of `found`, both null where that is."""
+    others = [c for c in rows.columns if c != "found"]
+    apart = rows.withColumn("found", _apart(F.col("found")))
     if p.overlap_mode.lower().strip() in ("keep_all", "all"):
-        return apart.select(*SENT, F.col("found").alias("kept"), F.array().cast("array<struct<start:bigint,marker_id:string,stop:bigint,over:string>>").alias("dropped"))
-    ranked = apart.select(*SENT, _ranked(F.col("found")).alias("ranked"))
+        nothing = F.array().cast("array<struct<start:bigint,marker_id:string,stop:bigint,over:string>>")
+        return apart.select(*others, F.col("found").alias("kept"), F.when(F.col("found").isNotNull(), nothing).alias("dropped"))
+    ranked = apart.select(*others, _ranked(F.col("found")).alias("ranked"))
     choose = F.aggregate("ranked", F.array().cast(f"array<{RANKED}>"), lambda kept, x: F.when(F.exists(kept, lambda k: _overlap(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
     chosen = ranked.withColumn("chosen", choose)
     place = lambda x: F.struct(x["start"].alias("start"), x["marker_id"].alias("marker_id"), x["stop"].alias("stop"))
     kept = F.array_sort(F.transform("chosen", place))
     in_way = lambda x: F.array_join(F.transform(F.filter("chosen", lambda k: (k < x) & _overlap(k, x)), lambda k: k["marker_id"]), ";")
     dropped = F.array_sort(F.transform(F.filter("ranked", lambda x: ~F.array_contains(F.col("chosen"), x)), lambda x: F.struct(x["start"].alias("start"), x["marker_id"].alias("marker_id"), x["stop"].alias("stop"), in_way(x).alias("over"))))
-    return chosen.select(*SENT, F.transform(kept, lambda x: F.struct(x["marker_id"].alias("marker_id"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("kept"), dropped.alias("dropped"))
+    return chosen.select(*others, F.transform(kept, lambda x: F.struct(x["marker_id"].alias("marker_id"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("kept"), dropped.alias("dropped"))
 
 
 def enabled_exclusions(rows: DataFrame) -> list[dict[str, str]]:
@@ -91,12 +132,18 @@ def enabled_exclusions(rows: DataFrame) -> list[dict[str, str]]:
     return out
 
 
-def noise_reason(lemma: Column, surface: Column, sentence: Column, rules: list[dict[str, str]], p: Profile) -> Column:
-    """The first rule that matches: built-in ones, then the table's; empty parts match anything. Null: no noise."""
+def text_flags(sentence: Column, rules: list[dict[str, str]]) -> Column:
+    """Whether each rule's pattern is found in the sentence, in the rules' order; true where it has none."""
+    return F.array(*[T.matches(sentence, r["regex"]) if r["regex"] else F.lit(True) for r in rules]) if rules else F.array().cast("array<boolean>")
+
+
+def noise_reason(lemma: Column, surface: Column, sentence: Column, rules: list[dict[str, str]], p: Profile, flags: Column | None = None) -> Column:
+    """The first rule that matches: built-in ones, then the table's; empty parts match anything. Null: no noise. flags: text_flags() of the sentence, where they are there already."""
     lemma, surface = F.lower(T.strip(lemma)), F.lower(T.strip(surface))
     found = [F.when((lemma == m) & (surface == s.lower()), F.lit(reason)) for m, s, reason in p.builtin_noise]
-    for r in rules:
-        parts = [lemma == r["lemma"]] * bool(r["lemma"]) + [surface == r["surface"]] * bool(r["surface"]) + [T.matches(sentence, r["regex"])] * bool(r["regex"])
+    for i, r in enumerate(rules):
+        said = (T.matches(sentence, r["regex"]) if flags is None else flags[i]) if r["regex"] else None
+        parts = [lemma == r["lemma"]] * bool(r["lemma"]) + [surface == r["surface"]] * bool(r["surface"]) + [said] * (said is not None)
         met = F.lit(True)
         for x in parts:
             met = met & x
@@ -105,41 +152,42 @@ def noise_reason(lemma: Column, surface: Column, sentence: Column, rules: list[d
 
 
 def hits(sents: DataFrame, markers: DataFrame, rules: list[dict[str, str]], p: Profile, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """Hits and dropped phrase candidates. sents has contexts; its other columns go with the hits. `hold` is given what is read more than once."""
-    resolved = resolve(phrase_candidates(sents, markers, p), p)
-    rows = hold(sents.join(resolved, SENT, "left"))
-    carried = [c for c in sents.columns if c not in (*SENT, "lemmas")]
+    """Hits and dropped phrase candidates of sents (doc_id, sent_id, sent_text, tokens, lemmas; with `tags`, hits have `imperative`). Both are narrow: a sentence's text is joined by those who want it. `hold` is given what is read more than once."""
+    tagged = ["tags"] if "tags" in sents.columns else []
+    own = sents.select(*SENT, "tokens", "lemmas", *tagged, text_flags(F.col("sent_text"), rules).alias("flags"))
+    index = hold(phrase_index(own, markers))
+    rows = hold(resolved(with_spans(own, index, p), p))
     norm = markers.where(F.col("unit_type") == "PHRASE").select("marker_id", F.trim("unit_norm").alias("target_lemma"), "marker_ord")
-
-    def surface(start: Column, stop: Column) -> Column:
-        return F.array_join(F.slice("tokens", (start + 1).cast("int"), (stop - start + 1).cast("int")), " ")
+    imperative = lambda tags: [F.coalesce(has_tag(F.array(tags), IMPERATIVE), F.lit(False)).alias("imperative")] if tagged else []
 
     def phrase_rows(spans: str, more: list[Column]) -> DataFrame:
-        each = rows.where(F.size(spans) > 0).select(*SENT, *carried, F.explode(spans).alias("span"))
-        at = F.col("span.start"), F.col("span.stop")
+        """A span brings its surface, cut out within the row."""
+        cut = lambda x: F.array_join(F.slice("tokens", (x["start"] + 1).cast("int"), (x["stop"] - x["start"] + 1).cast("int")), " ")
+        alone = lambda x: F.when(x["start"] == x["stop"], F.try_element_at("tags", (x["start"] + 1).cast("int"))) if tagged else F.lit(None).cast("string")
+        each = rows.where(F.size(spans) > 0).select(*SENT, F.explode(F.transform(spans, lambda x: F.struct(x.alias("span"), cut(x).alias("surface"), alone(x).alias("tags")))).alias("x")).select(*SENT, "x.*")
         each = each.select(
-            *SENT, *carried, F.lit("PHRASE").alias("hit_type"), F.col("span.marker_id").alias("marker_id"), at[0].alias("token_idx"), at[1].alias("token_end_idx"), surface(*at).alias("target_surface"),
-            F.lit(False).alias("overlaps_phrase"), F.lit("").alias("phrase_overlap_ids"), F.lit(False).alias("is_noise"), F.lit("").alias("noise_reason"), F.lit(True).alias("count_in_main_stats"), *more,
+            *SENT, F.lit("PHRASE").alias("hit_type"), F.col("span.marker_id").alias("marker_id"), F.col("span.start").alias("token_idx"), F.col("span.stop").alias("token_end_idx"), F.col("surface").alias("target_surface"),
+            F.lit(False).alias("overlaps_phrase"), F.lit("").alias("phrase_overlap_ids"), F.lit(False).alias("is_noise"), F.lit("").alias("noise_reason"), F.lit(True).alias("count_in_main_stats"), *imperative(F.col("tags")), *more,
         )
         return each.join(norm, "marker_id")
 
     words = markers.where(F.col("unit_type") == "WORD").select("marker_id", F.col("unit_norm").alias("target_lemma"), "marker_ord")
-    each = rows.select(*SENT, *carried, "kept", F.posexplode("lemmas").alias("at", "target_lemma")).join(words, "target_lemma")
+    each = rows.select(*SENT, "flags", "kept", F.posexplode(F.arrays_zip("tokens", "lemmas", *tagged)).alias("at", "token"))
+    each = each.select(*SENT, "flags", "kept", "at", F.col("token.tokens").alias("target_surface"), F.col("token.lemmas").alias("target_lemma"), *([F.col("token.tags").alias("tags")] if tagged else [])).join(words, "target_lemma")
     over = F.coalesce(F.filter("kept", lambda k: F.col("at").between(k["start"], k["stop"])), F.array().cast(f"array<{SPAN}>"))
-    each = each.withColumn("over", over).withColumn("target_surface", F.element_at("tokens", F.col("at") + 1))
-    each = each.withColumn("reason", noise_reason(F.col("target_lemma"), F.col("target_surface"), F.col("sent_text"), rules, p))
+    each = each.withColumn("over", over).withColumn("reason", noise_reason(F.col("target_lemma"), F.col("target_surface"), F.lit(None), rules, p, F.col("flags")))
     inside = F.size("over") > 0
     word_rows = each.select(
-        *SENT, *carried, F.lit("WORD").alias("hit_type"), "marker_id", F.col("at").cast("bigint").alias("token_idx"), F.col("at").cast("bigint").alias("token_end_idx"), "target_surface", inside.alias("overlaps_phrase"),
+        *SENT, F.lit("WORD").alias("hit_type"), "marker_id", F.col("at").cast("bigint").alias("token_idx"), F.col("at").cast("bigint").alias("token_end_idx"), "target_surface", inside.alias("overlaps_phrase"),
         F.array_join(F.transform("over", lambda k: k["marker_id"]), ";").alias("phrase_overlap_ids"), F.col("reason").isNotNull().alias("is_noise"), F.coalesce("reason", F.lit("")).alias("noise_reason"),
-        (~inside | F.lit(p.count_overlapping_word_hits)).alias("count_in_main_stats"), "target_lemma", "marker_ord",
+        (~inside | F.lit(p.count_overlapping_word_hits)).alias("count_in_main_stats"), *(imperative(F.col("tags")) if tagged else []), "target_lemma", "marker_ord",
     )
-    found = hold(phrase_rows("kept", []).unionByName(word_rows))
+    found = phrase_rows("kept", []).unionByName(word_rows)
     by_marker = p.overlap_mode.lower().strip() in ("keep_all", "all")
     order = [F.col("hit_type") == "WORD", *([F.when(F.col("hit_type") == "PHRASE", F.col("marker_ord"))] if by_marker else []), "token_idx", F.when(F.col("hit_type") == "PHRASE", F.col("marker_id")), "marker_ord"]
-    found = numbered(found, [F.col("sent_id"), *order], "hit_id").drop("tokens", "marker_ord")
+    found = numbered(hold(found), [F.col("sent_id"), *order], "hit_id").drop("marker_ord")
     nested = phrase_rows("dropped", [F.col("span.over").alias("nested_overlap_with"), F.lit(f"phrase_overlap_mode={p.overlap_mode}").alias("drop_reason")])
-    return found, numbered(nested, [F.col("sent_id"), F.col("token_idx"), F.col("marker_id")], "candidate_id").drop("tokens", "marker_ord")
+    return found, numbered(nested, [F.col("sent_id"), F.col("token_idx"), F.col("marker_id")], "candidate_id").drop("marker_ord", "imperative")
 
 
 def numbered(rows: DataFrame, order: list, name: str, bits: int = 21) -> DataFrame:

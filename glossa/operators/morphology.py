@@ -18,6 +18,8 @@ FORMS = "form string, lemma string, tags string, weight long"
 #: Longest endings that guesses go by, and forms that an ending's rule must be seen in.
 ENDING, SEEN = 5, 3
 UNKNOWN = "UNK"
+#: The tag of imperatives.
+IMPERATIVE = "impr"
 
 
 def dictionary(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators.joins import in_intervals
-from glossa.operators.morphology import has_tag
+from glossa.operators.morphology import IMPERATIVE, has_tag
 from glossa.plans.profile import Profile
 
 PERSPECTIVES = ("HERO_INNER_SPEECH", "HERO_DIRECT_SPEECH", "NARRATOR_ABOUT_HERO", "OTHERS_TO_HERO", "OTHERS_ABOUT_HERO", "OTHERS_NEAR_HERO", "UNKNOWN")
@@ -180,16 +180,18 @@ def tagged_sentences(sents: DataFrame, p: Profile) -> DataFrame:
     return tagged.withColumn("prompted", F.struct(*[F.expr(v).alias(k) for k, v in perspective_sql("'PROMPT'").items()]))
 
 
-def is_imperative(first: str, last: str, tags: str = "tags", tag: str = "impr") -> Column:
+def is_imperative(first: str, last: str, tags: str = "tags", tag: str = IMPERATIVE) -> Column:
     """Whether any parse of a hit's token is an imperative; a hit of several tokens never is. first, last: its places."""
     own = F.col(first) == F.col(last)
     return F.coalesce(own & has_tag(F.array(F.try_element_at(tags, (F.col(first) + 1).cast("int"))), tag), F.lit(False))
 
 
-def with_imperatives(hits: DataFrame) -> DataFrame:
-    """hits that carry their sentence's `tags` and `prompted`, with the perspective's columns of imperatives in place of the sentence's."""
-    act = is_imperative("token_idx", "token_end_idx")
-    return hits.withColumns({c: F.when(act, F.col(f"prompted.{c}")).otherwise(F.col(c)) for c in perspective_sql()}).drop("tags", "prompted")
+def with_tags(hits: DataFrame, sents: DataFrame) -> DataFrame:
+    """hits with their sentence's TAGS; hits that are imperatives (`imperative`, which goes) have the perspective's columns of `prompted`."""
+    if "imperative" not in hits.columns:
+        return hits.join(sents.select("doc_id", "sent_id", *TAGS), ["doc_id", "sent_id"])
+    joined = hits.join(sents.select("doc_id", "sent_id", *TAGS, "prompted"), ["doc_id", "sent_id"])
+    return joined.withColumns({c: F.when(F.col("imperative"), F.col(f"prompted.{c}")).otherwise(F.col(c)) for c in perspective_sql()}).drop("imperative", "prompted")
 
 
 TAGS = ["hero_link", "hero_evidence", "perspective", "perspective_evidence", "perspective_confidence", "speaker_detected", "addressee_detected", "others_speech_act"]

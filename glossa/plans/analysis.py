@@ -30,6 +30,10 @@ class Sources:
     forms: DataFrame | None = None  # a morphological dictionary: form, lemma, and tags and weight or not
 
 
+#: What a hit's sentence brings when it is joined.
+TEXTS = ["sent_text", "prev_sent_text", "next_sent_text", "context_window"]
+
+
 class Analysis:
     """Lazy: nothing runs until a table is used. Tables that many others read (tagged sentences, tagged hits) are kept in memory and on disk if `keep`; Spark rebuilds lost blocks from their lineage."""
 
@@ -86,32 +90,42 @@ class Analysis:
 
     @cached_property
     def _hits(self) -> tuple[DataFrame, DataFrame]:
-        cols = ["doc_id", "sent_id", "sent_text", "tokens", "lemmas", "prev_sent_text", "next_sent_text", "context_window", *tagging.TAGS, *(["tags", "prompted"] if self.morphology else [])]
-        found, nested = matching.hits(self.sentences.select(*cols), self.markers, self.rules, self.p, self._kept)
-        return (tagging.with_imperatives(found), nested.drop("tags", "prompted")) if self.morphology else (found, nested)
+        cols = ["doc_id", "sent_id", "sent_text", "tokens", "lemmas", *(["tags"] if self.morphology else [])]
+        return matching.hits(self.sentences.select(*cols), self.markers, self.rules, self.p, self._kept)
+
+    def with_texts(self, rows: DataFrame) -> DataFrame:
+        """rows of hits with their sentence, its neighbours and its context."""
+        return rows.join(self.sentences.select("doc_id", "sent_id", *TEXTS), ["doc_id", "sent_id"])
 
     @cached_property
     def hits(self) -> DataFrame:
-        """Hits before markers' columns and segments."""
-        return self._hits[0].drop(*tagging.TAGS)
+        """Hits before markers' columns and segments, without texts."""
+        return self._hits[0].drop("imperative")
 
     @cached_property
     def nested(self) -> DataFrame:
-        return self._hits[1].drop(*tagging.TAGS)
+        """Dropped phrase candidates, without texts."""
+        return self._hits[1]
 
     @cached_property
-    def tagged(self) -> DataFrame:
-        rows = tagging.merge_meta(self._hits[0], self.markers)
+    def narrow(self) -> DataFrame:
+        """Hits with all columns but the texts."""
+        rows = tagging.merge_meta(tagging.with_tags(self._hits[0], self.sentences), self.markers)
         rows = tagging.assign_segments(rows, self.sources.books, "book")
         return self._kept(stats.reflag_overlaps(tagging.assign_segments(rows, self.sources.parts, "part"), self.p))
 
+    @cached_property
+    def tagged(self) -> DataFrame:
+        """Hits with all columns, texts joined to them."""
+        return self.with_texts(self.narrow)
+
     @cached_property
     def counted(self) -> DataFrame:
-        return stats.counted(self.tagged, self.p)
+        return stats.counted(self.narrow, self.p)
 
     @cached_property
     def clean(self) -> DataFrame:
-        return stats.clean(self.tagged)
+        return stats.clean(self.narrow)
 
     @cached_property
     def linked(self) -> DataFrame:

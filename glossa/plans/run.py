@@ -38,7 +38,7 @@ def project_sources(spark: SparkSession, root: str, rest: dict[str, Any], p: Pro
 
 
 def stats_tables(a: Analysis) -> dict[str, DataFrame]:
-    t, c, link, s, m, p = a.tagged, a.counted, a.linked, a.sentences, a.markers, a.p
+    t, c, link, s, m, p = a.narrow, a.counted, a.linked, a.sentences, a.markers, a.p
     parts, books = a.sources.parts, a.sources.books
     out = {
         "overview": stats.overview(t, m, s, p), "profile_settings": stats.profile_settings(t.sparkSession, p), "coverage": stats.coverage(m, c), "strict_vs_wide": stats.strict_vs_wide(c, p.link_mode), "by_link": stats.group_count(c, "hero_link"),
@@ -47,10 +47,10 @@ def stats_tables(a: Analysis) -> dict[str, DataFrame]:
         "marker_core": stats.by_marker(c.where(stats.level("CORE")), s), "marker_extended": stats.by_marker(c.where(stats.level("EXTENDED")), s), "marker_experimental": stats.by_marker(t.where(stats.level("EXPERIMENTAL")), s),
         "precision_layers": stats.group_count(c, "precision_level"), "microtheme_all": stats.group_count(c, "microtheme"), "microtheme_linked": stats.group_count(link, "microtheme"),
         "others_speechact": stats.group_count(link.where(F.col("perspective").isin(*OTHERS)), "others_speech_act"), "book_top_markers": stats.dynamics(link, "book", 8), "part_top_markers": stats.dynamics(link, "part", 8),
-        "word_phrase_overlaps": stats.overlap_report(t), "phrase_family_coverage": stats.group_count(link.where("unit_type = 'PHRASE'"), "phrase_family"), "nested_phrase_report": a.nested,
+        "word_phrase_overlaps": stats.overlap_report(t), "phrase_family_coverage": stats.group_count(link.where("unit_type = 'PHRASE'"), "phrase_family"), "nested_phrase_report": a.with_texts(a.nested),
         "perspective_microtheme": stats.pivot_matrix(link, "perspective", "microtheme"), "part_microtheme": stats.pivot_matrix(link, "part", "microtheme"), "core_extended_by_part": stats.pivot_matrix(link, "part", "precision_level"),
         "inner_speech_by_part": stats.part_indicator(link, ["HERO_INNER_SPEECH"], "inner_speech_hits"), "external_pressure_by_part": stats.part_indicator(link, list(OTHERS), "external_pressure_hits"),
-        "hero_vs_corpus_micro": stats.hero_vs_corpus(c), "hero_profile": stats.cognitive_profile(link), "noise_report": stats.noise_report(t), "manual_check": quality.manual_check(t),
+        "hero_vs_corpus_micro": stats.hero_vs_corpus(c), "hero_profile": stats.cognitive_profile(link), "noise_report": stats.noise_report(t), "manual_check": quality.manual_check(a.tagged),
     }
     if books is not None:
         out["book_normalized"] = stats.segment_rates(link, s, books, "book")
@@ -61,22 +61,22 @@ def stats_tables(a: Analysis) -> dict[str, DataFrame]:
 
 
 def phrase_quality_tables(a: Analysis) -> dict[str, DataFrame]:
-    t, m = a.tagged, a.markers
-    examples = quality.phrase_examples(t)
+    t, m = a.narrow, a.markers
+    examples = quality.phrase_examples(a.tagged)
     return {
         "phrase_coverage": quality.phrase_coverage(m, t), "phrase_zero_hits": quality.phrase_zero_hits(m, t), "phrase_top_hits": quality.phrase_top(m, t), "phrase_overlaps": stats.overlap_report(t), "phrase_examples": examples,
-        "phrase_by_precision": stats.group_count(m.where("unit_type = 'PHRASE'"), "precision_level"), "phrase_by_family": stats.group_count(t.where("hit_type = 'PHRASE'"), "phrase_family"), "nested_candidates": a.nested,
+        "phrase_by_precision": stats.group_count(m.where("unit_type = 'PHRASE'"), "precision_level"), "phrase_by_family": stats.group_count(t.where("hit_type = 'PHRASE'"), "phrase_family"), "nested_candidates": a.with_texts(a.nested),
         "manual_phrase_check": quality.with_blanks(examples, "human_valid", "human_comment"),
     }
 
 
 def dashboard_tables(a: Analysis) -> dict[str, DataFrame]:
-    t, c, m = a.tagged, a.counted, a.markers
-    first = lambda df: df.orderBy("hit_id").limit(1000)
+    t, c, m = a.narrow, a.counted, a.markers
+    first = lambda df: a.with_texts(df.orderBy("hit_id").limit(1000)).orderBy("hit_id")
     return {
         "summary": quality.dashboard_summary(t, c, m, a.nested), "warnings": quality.warnings(c, m, a.nested), "duplicate_ids": stats.duplicates(m, ["marker_id"]), "duplicate_lemmas": stats.duplicates(m, ["unit_type", "unit_norm"]),
-        "nested_phrases": a.nested.orderBy("candidate_id").limit(5000), "noise": stats.noise_report(t), "low_confidence": first(c.where("perspective_confidence = 'LOW'")), "unknown_perspective": first(c.where("perspective = 'UNKNOWN'")),
-        "manual_required": quality.manual_required(c),
+        "nested_phrases": a.with_texts(a.nested.orderBy("candidate_id").limit(5000)).orderBy("candidate_id"), "noise": stats.noise_report(t), "low_confidence": first(c.where("perspective_confidence = 'LOW'")), "unknown_perspective": first(c.where("perspective = 'UNKNOWN'")),
+        "manual_required": quality.manual_required(a.with_texts(c)),
     }
 
 
@@ -87,9 +87,9 @@ def showcase_tables(a: Analysis, top_n: int = 25, examples_per_marker: int = 4)
         "top_all": quality.count_table(clean, keys, top_n), "top_strict": quality.count_table(strict, keys, top_n), "top_wide": quality.count_table(wide, keys, top_n), "precision_layers": quality.count_table(clean, ["precision_level"]),
         "phrase_families": quality.count_table(wide.where("unit_type = 'PHRASE'"), ["phrase_family", "microtheme", "precision_level"], top_n), "microthemes_strict": quality.count_table(strict, ["microtheme"], top_n),
         "perspective_strict": quality.count_table(strict, ["perspective"]), "perspective_wide": quality.count_table(wide, ["perspective"]), "dynamics_parts": stats.dynamics(strict, "part", top_n), "dynamics_books": stats.dynamics(strict, "book", top_n),
-        "best_examples": quality.best_examples(clean, a.p), "noise_examples": quality.noise_examples(a.tagged),
+        "best_examples": quality.best_examples(a.with_texts(clean), a.p), "noise_examples": quality.noise_examples(a.tagged),
     }
-    return out | {f"examples_{k}": quality.examples(df, title, top_n, examples_per_marker) for k, (df, title) in quality.selections(clean, a.p).items()}
+    return out | {f"examples_{k}": quality.examples(df, title, top_n, examples_per_marker) for k, (df, title) in quality.selections(a.with_texts(clean), a.p).items()}
 
 
 def plot_tables(a: Analysis) -> dict[str, DataFrame]:
@@ -98,7 +98,7 @@ def plot_tables(a: Analysis) -> dict[str, DataFrame]:
         "top_markers_all": plotdata.marker_bars(clean), "top_markers_hero": plotdata.marker_bars(link), "top_markers_hero_pie": plotdata.pie(link), "microthemes_hero": plotdata.bars(link, "microtheme"), "phrase_layers": plotdata.bars(link, "precision_level", 5),
         "top_phrase_families": plotdata.bars(link.where("hit_type = 'PHRASE'"), "phrase_family"), "perspective_microtheme_heatmap": plotdata.heatmap(link, "perspective", "microtheme"), "part_microtheme_heatmap": plotdata.heatmap(link, "part", "microtheme"),
         "core_extended_by_part": stats.pivot_matrix(link, "part", "precision_level"), "inner_speech_share_by_part": plotdata.share_by_part(link, ["HERO_INNER_SPEECH"]), "external_pressure_by_part": plotdata.share_by_part(link, list(OTHERS)),
-        "perspective": plotdata.perspective_bars(link), "strict_vs_wide": stats.strict_vs_wide(clean, a.p.link_mode), "noise_report": plotdata.bars(a.tagged.where("is_noise"), "noise_reason"), "corpus_vs_hero_microthemes": plotdata.corpus_vs_hero(clean, a.p.link_mode),
+        "perspective": plotdata.perspective_bars(link), "strict_vs_wide": stats.strict_vs_wide(clean, a.p.link_mode), "noise_report": plotdata.bars(a.narrow.where("is_noise"), "noise_reason"), "corpus_vs_hero_microthemes": plotdata.corpus_vs_hero(clean, a.p.link_mode),
     }
     for kind, table in (("part", a.sources.parts), ("book", a.sources.books)):
         if table is not None:
@@ -184,9 +184,9 @@ def run(a: Analysis, out: str, extra: dict[str, Any] | None = None, make_plots:
     save(a.markers, "MARKERS_MASTER")
     save(a.headings, "HEADINGS")
     save(a.sentences.select("doc_id", "sent_id", "sent_text", "word_count"), "SENTS")
-    save(a.hits, "TD_HITS")
-    save(a.nested, "PHRASE_NESTED_CANDIDATES")
-    save(a.hits.orderBy("hit_id").limit(p.max_hits_sample), "TD_HITS_SAMPLE")
+    save(a.with_texts(a.hits), "TD_HITS")
+    save(a.with_texts(a.nested), "PHRASE_NESTED_CANDIDATES")
+    save(a.with_texts(a.hits.orderBy("hit_id").limit(p.max_hits_sample)).orderBy("hit_id"), "TD_HITS_SAMPLE")
     tagged = a.tagged.withColumnsRenamed(EXPORT_NAMES) if export_names else a.tagged
     save(tagged, "TD_HITS_TAGGED")
     files.save_csv(quality.priority_sample(a.tagged, p.max_hits_sample), f"{out}/TD_HITS_TAGGED_SAMPLE.csv")
@@ -194,7 +194,7 @@ def run(a: Analysis, out: str, extra: dict[str, Any] | None = None, make_plots:
     if p.save_phrase_quality_report:
         files.save_workbook(phrase_quality_tables(a), f"{out}/PHRASE_QUALITY_REPORT", xlsx)
     files.save_workbook(dashboard_tables(a), f"{out}/QUALITY_DASHBOARD", xlsx)
-    files.save_workbook(quality.verification(a.tagged, a.counted), f"{out}/MANUAL_VERIFICATION", xlsx)
+    files.save_workbook(quality.verification(a.tagged, a.with_texts(a.counted)), f"{out}/MANUAL_VERIFICATION", xlsx)
     files.save_workbook(showcase_tables(a), f"{out}/SHOWCASE", xlsx)
     if make_plots:
         tables = plot_tables(a)

@@ -105,18 +105,18 @@ add("speech_act", lambda a: a.sentences.select("doc_id", "sent_id", "speech_act"
 VIEW = ["perspective", "perspective_evidence", "perspective_confidence", "speaker_detected", "addressee_detected", "others_speech_act"]
 add("perspective_case", lambda a: a.sentences.select("doc_id", "sent_id", *VIEW), f"SELECT doc_id, sent_id, {names(VIEW)} FROM tagged_sents")
 META = ["marker_label", "microtheme", "unit_type", "marker_source", "precision_level", "source_type", "risk_comment", "unit_raw", "unit_norm", "phrase_family"]
-add("marker_meta_join", lambda a: a.tagged.select("hit_id", "marker_id", *META), f"SELECT hit_id, marker_id, {names(META)} FROM tagged")
-add("segment_range_join", lambda a: a.tagged.select("hit_id", "sent_id", "book_id", "book", "part_id", "part"), "SELECT hit_id, sent_id, book_id, book, part_id, part FROM tagged")
+add("marker_meta_join", lambda a: a.narrow.select("hit_id", "marker_id", *META), f"SELECT hit_id, marker_id, {names(META)} FROM tagged")
+add("segment_range_join", lambda a: a.narrow.select("hit_id", "sent_id", "book_id", "book", "part_id", "part"), "SELECT hit_id, sent_id, book_id, book, part_id, part FROM tagged")
 TAGGED = [*HIT, "sent_text", "prev_sent_text", "next_sent_text", "context_window", "overlaps_phrase", "phrase_overlap_ids", "is_noise", "noise_reason", "count_in_main_stats", *META, "hero_link", "hero_evidence", *VIEW, "book_id", "book", "part_id", "part"]
 add("tagged_hits", lambda a: a.tagged.select(*TAGGED), f"SELECT {names(TAGGED)} FROM tagged")
 LINK = "CASE hero_link WHEN 'YES' THEN 0 WHEN 'PROBABLE' THEN 1 ELSE 2 END"
 PLACE = "doc_id, sent_id, token_idx, hit_id"
-add("priority_sample", lambda a: quality.priority_sample(a.tagged, a.p.max_hits_sample).select(*HIT, "hero_link"), f"SELECT {names(HIT)}, hero_link FROM tagged ORDER BY {LINK}, {PLACE} LIMIT 500")
+add("priority_sample", lambda a: quality.priority_sample(a.narrow, a.p.max_hits_sample).select(*HIT, "hero_link"), f"SELECT {names(HIT)}, hero_link FROM tagged ORDER BY {LINK}, {PLACE} LIMIT 500")
 LABELS = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in LABELS_RU.items())
 add("perspective_labels", lambda a: _labels(a), f"SELECT CASE perspective {LABELS} ELSE perspective END AS label, count(*) AS n FROM tagged GROUP BY 1")
 
 TAGS_RU, ACTS_RU = (" ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in t.items()) for t in (TAG_LABELS_RU, ACT_LABELS_RU))
-add("tag_labels", lambda a: with_labels(a.tagged).groupBy("perspective_label", "speech_act_label").agg(F.count("*").alias("n")), f"SELECT CASE perspective {TAGS_RU} ELSE perspective END AS perspective_label, CASE others_speech_act {ACTS_RU} ELSE others_speech_act END AS speech_act_label, count(*) AS n FROM tagged GROUP BY 1, 2")
+add("tag_labels", lambda a: with_labels(a.narrow).groupBy("perspective_label", "speech_act_label").agg(F.count("*").alias("n")), f"SELECT CASE perspective {TAGS_RU} ELSE perspective END AS perspective_label, CASE others_speech_act {ACTS_RU} ELSE others_speech_act END AS speech_act_label, count(*) AS n FROM tagged GROUP BY 1, 2")
 
 # ------------------------------------------------------------------ segments
 add("segments_ntile", lambda a: segments.equal_segments(a.sentences, 8, "part"), "SELECT doc_id, part_id, 'Part ' || part_id AS part_name, min(sent_id) AS start_sent, max(sent_id) AS end_sent FROM (SELECT doc_id, sent_id, ntile(8) OVER (PARTITION BY doc_id ORDER BY sent_id)::INT AS part_id FROM sents) GROUP BY ALL")
@@ -136,7 +136,7 @@ for scope, table in (("all", "counted"), ("strict", "strict"), ("wide", "wide"))
     add(f"marker_{scope}", lambda a, t=table: stats.by_marker(getattr(a, t), a.sentences), by_marker(table))
 for lv in ("CORE", "EXTENDED"):
     add(f"marker_{lv.lower()}", lambda a, lv=lv: stats.by_marker(a.counted.where(stats.level(lv)), a.sentences), by_marker(f"(SELECT * FROM counted WHERE precision_level = '{lv}')"))
-add("marker_experimental", lambda a: stats.by_marker(a.tagged.where(stats.level("EXPERIMENTAL")), a.sentences), by_marker("(SELECT * FROM tagged WHERE precision_level = 'EXPERIMENTAL')"))
+add("marker_experimental", lambda a: stats.by_marker(a.narrow.where(stats.level("EXPERIMENTAL")), a.sentences), by_marker("(SELECT * FROM tagged WHERE precision_level = 'EXPERIMENTAL')"))
 for name, table, key in (
     ("by_link", "counted", "hero_link"), ("perspective_linked", "wide", "perspective"), ("perspective_strict", "strict", "perspective"), ("perspective_conf", "wide", "perspective_confidence"), ("microtheme_all", "counted", "microtheme"),
     ("microtheme_linked", "wide", "microtheme"), ("precision_layers", "counted", "precision_level"),
@@ -195,8 +195,8 @@ def top(table: str, n: int) -> str:
 
 for kind in ("part", "book"):
     add(f"top_n_semi_dynamics_{kind}", lambda a, k=kind: stats.dynamics(a.wide, k, 8), f"SELECT {kind}, marker_id, marker_label, count(*) AS count FROM wide WHERE marker_id IN {top('wide', 8)} GROUP BY ALL")
-add("noise_report", lambda a: stats.noise_report(a.tagged), "SELECT noise_reason, target_surface, target_lemma, count(*) AS count FROM tagged WHERE is_noise GROUP BY ALL")
-add("word_phrase_overlaps", lambda a: stats.overlap_report(a.tagged), "SELECT target_lemma, target_surface, phrase_overlap_ids, count(*) AS count FROM tagged WHERE hit_type = 'WORD' AND overlaps_phrase GROUP BY ALL")
+add("noise_report", lambda a: stats.noise_report(a.narrow), "SELECT noise_reason, target_surface, target_lemma, count(*) AS count FROM tagged WHERE is_noise GROUP BY ALL")
+add("word_phrase_overlaps", lambda a: stats.overlap_report(a.narrow), "SELECT target_lemma, target_surface, phrase_overlap_ids, count(*) AS count FROM tagged WHERE hit_type = 'WORD' AND overlaps_phrase GROUP BY ALL")
 add("strict_vs_wide", lambda a: stats.strict_vs_wide(a.counted, a.p.link_mode), "SELECT 'STRICT' AS mode, 'hero_link = YES' AS definition, count(*) AS count FROM strict UNION ALL SELECT 'WIDE', 'hero_link = YES + PROBABLE', count(*) FROM wide UNION ALL SELECT 'CONFIG_USED', 'WIDE', count(*) FROM wide")
 OVERVIEW = {
     "sentences_total": "(SELECT ns FROM totals)", "words_total": "(SELECT nw FROM totals)", "hits_total_raw": "(SELECT count(*) FROM tagged)", "hits_total_counted": "(SELECT count(*) FROM counted)", "hits_linked_wide": "(SELECT count(*) FROM wide)",
@@ -206,22 +206,22 @@ OVERVIEW = {
     "unique_markers_in_corpus_counted": "(SELECT count(DISTINCT marker_id) FROM counted)", "unique_markers_strict_hero": "(SELECT count(DISTINCT marker_id) FROM strict)", "unique_markers_wide_hero": "(SELECT count(DISTINCT marker_id) FROM wide)",
     "link_mode_used": "'WIDE'", "manual_verification_file": "'MANUAL_VERIFICATION'",
 }
-add("overview_metrics", lambda a: stats.overview(a.tagged, a.markers, a.sentences, a.p), " UNION ALL ".join(f"SELECT '{k}' AS metric, ({v})::VARCHAR AS value" for k, v in OVERVIEW.items()))
+add("overview_metrics", lambda a: stats.overview(a.narrow, a.markers, a.sentences, a.p), " UNION ALL ".join(f"SELECT '{k}' AS metric, ({v})::VARCHAR AS value" for k, v in OVERVIEW.items()))
 SETTINGS = (("analysis_profile", "STRICT"), ("link_mode", "WIDE"), ("include_noise_in_counts", "False"), ("count_overlapping_word_hits", "False"), ("enabled_precision_levels", "CORE, EXTENDED"), ("experimental_phrases_in_main_stats", "True"), ("min_perspective_confidence_main", "LOW"))
-add("profile_settings", lambda a: stats.profile_settings(a.tagged.sparkSession, a.p), " UNION ALL ".join(f"SELECT '{k}' AS setting, '{v}' AS value" for k, v in SETTINGS))
+add("profile_settings", lambda a: stats.profile_settings(a.narrow.sparkSession, a.p), " UNION ALL ".join(f"SELECT '{k}' AS setting, '{v}' AS value" for k, v in SETTINGS))
 add("duplicate_lemmas", lambda a: stats.duplicates(lexicon.phrases(a.sources.phrases, lexicon.theme_aliases(a.sources.themes), a.p).select("marker_id", "phrase_family"), ["phrase_family"]), "SELECT marker_id, phrase_family FROM phrases QUALIFY count(*) OVER (PARTITION BY phrase_family) > 1")
 
 # ------------------------------------------------------------------ quality
 PHRASE = ["marker_id", "marker_label", "microtheme", "phrase_family", "unit_raw", "unit_norm", "precision_level", "source_type", "risk_comment"]
 PHRASE_COVERAGE = f"SELECT {', '.join('m.' + c for c in PHRASE)}, count(h.hit_id) AS count_all, count(h.hit_id) > 0 AS appears_in_corpus FROM markers m LEFT JOIN (SELECT * FROM tagged WHERE hit_type = 'PHRASE') h ON h.marker_id = m.marker_id WHERE m.unit_type = 'PHRASE' GROUP BY ALL"
-add("phrase_coverage", lambda a: quality.phrase_coverage(a.markers, a.tagged), PHRASE_COVERAGE)
-add("coverage_zero_hits", lambda a: quality.phrase_zero_hits(a.markers, a.tagged.where("hero_link = 'YES' AND part_id > 5")).select("marker_id"), "SELECT marker_id FROM markers WHERE unit_type = 'PHRASE' AND marker_id NOT IN (SELECT marker_id FROM tagged WHERE hit_type = 'PHRASE' AND hero_link = 'YES' AND part_id > 5)")
-add("phrase_top_hits", lambda a: quality.phrase_top(a.markers, a.tagged), f"SELECT * FROM ({PHRASE_COVERAGE}) WHERE count_all > 0 ORDER BY count_all DESC, precision_level, marker_id LIMIT 100")
+add("phrase_coverage", lambda a: quality.phrase_coverage(a.markers, a.narrow), PHRASE_COVERAGE)
+add("coverage_zero_hits", lambda a: quality.phrase_zero_hits(a.markers, a.narrow.where("hero_link = 'YES' AND part_id > 5")).select("marker_id"), "SELECT marker_id FROM markers WHERE unit_type = 'PHRASE' AND marker_id NOT IN (SELECT marker_id FROM tagged WHERE hit_type = 'PHRASE' AND hero_link = 'YES' AND part_id > 5)")
+add("phrase_top_hits", lambda a: quality.phrase_top(a.markers, a.narrow), f"SELECT * FROM ({PHRASE_COVERAGE}) WHERE count_all > 0 ORDER BY count_all DESC, precision_level, marker_id LIMIT 100")
 add("topk_examples_per_marker", lambda a: quality.phrase_examples(a.tagged).select(*EXAMPLE), f"SELECT {names(EXAMPLE)} FROM tagged WHERE hit_type = 'PHRASE' QUALIFY row_number() OVER (PARTITION BY marker_id ORDER BY {PLACE}) <= 3")
 add("phrase_by_precision", lambda a: stats.group_count(a.markers.where("unit_type = 'PHRASE'"), "precision_level"), grouped("(SELECT * FROM markers WHERE unit_type = 'PHRASE')", "precision_level"))
-add("phrase_by_family", lambda a: stats.group_count(a.tagged.where("hit_type = 'PHRASE'"), "phrase_family"), grouped("(SELECT * FROM tagged WHERE hit_type = 'PHRASE')", "phrase_family"))
+add("phrase_by_family", lambda a: stats.group_count(a.narrow.where("hit_type = 'PHRASE'"), "phrase_family"), grouped("(SELECT * FROM tagged WHERE hit_type = 'PHRASE')", "phrase_family"))
 SUMMARY = {"markers_total": OVERVIEW["unique_markers_in_registry"], "phrase_markers": OVERVIEW["phrase_markers_in_registry"], "hits_raw": OVERVIEW["hits_total_raw"], "hits_counted": OVERVIEW["hits_total_counted"], "noise_hits": OVERVIEW["noise_hits_excluded"], "nested_phrase_candidates": "(SELECT count(*) FROM nested)"}
-add("dashboard_summary", lambda a: quality.dashboard_summary(a.tagged, a.counted, a.markers, a.nested), " UNION ALL ".join(f"SELECT '{k}' AS metric, {v} AS value" for k, v in SUMMARY.items()))
+add("dashboard_summary", lambda a: quality.dashboard_summary(a.narrow, a.counted, a.markers, a.nested), " UNION ALL ".join(f"SELECT '{k}' AS metric, {v} AS value" for k, v in SUMMARY.items()))
 CHECKS = {("WARN", "empty_microtheme"): "(SELECT count(*) FROM markers WHERE trim(microtheme) = '')", ("ERROR", "duplicate_marker_id"): "(SELECT count(*) - count(DISTINCT marker_id) FROM markers)", ("INFO", "nested_phrase_candidates"): "(SELECT count(*) FROM nested)", ("WARN", "unknown_perspective"): "(SELECT count(*) FROM counted WHERE perspective = 'UNKNOWN')", ("INFO", "low_confidence"): "(SELECT count(*) FROM counted WHERE perspective_confidence = 'LOW')"}
 add("dashboard_warnings", lambda a: quality.warnings(a.counted, a.markers, a.nested), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS level, '{c}' AS check, {v} AS n" for (k, c), v in CHECKS.items()) + ") WHERE n > 0")
 PICK = "(SELECT hit_id, {i} AS pick FROM counted WHERE {w} ORDER BY hit_id LIMIT 100)"
@@ -234,8 +234,8 @@ for name, table, order in (
     ("hit_check", "counted", f"hero_link, {PLACE}"), ("phrase_check", "(SELECT * FROM counted WHERE hit_type = 'PHRASE')", "precision_level, marker_id, hit_id"), ("perspective_check", "(SELECT * FROM counted WHERE perspective_confidence IN ('LOW', 'MEDIUM'))", "hit_id"),
     ("probable_link_check", "(SELECT * FROM counted WHERE hero_link = 'PROBABLE')", "hit_id"), ("noise_check", "(SELECT * FROM tagged WHERE is_noise)", "hit_id"),
 ):
-    add(f"verify_{name}", lambda a, n=name: quality.verification(a.tagged, a.counted)[n].select("hit_id", "target_surface", "human_valid", "human_hero_link", "human_perspective", "human_comment"), f"SELECT hit_id, target_surface, {BLANKS} FROM {table} ORDER BY {order} LIMIT 300")
-add("manual_check", lambda a: quality.manual_check(a.tagged).select("hit_id", "human_valid", "human_perspective", "human_comment"), f"SELECT hit_id, '' AS human_valid, '' AS human_perspective, '' AS human_comment FROM tagged ORDER BY {LINK}, {PLACE} LIMIT 300")
+    add(f"verify_{name}", lambda a, n=name: quality.verification(a.tagged, a.with_texts(a.counted))[n].select("hit_id", "target_surface", "human_valid", "human_hero_link", "human_perspective", "human_comment"), f"SELECT hit_id, target_surface, {BLANKS} FROM {table} ORDER BY {order} LIMIT 300")
+add("manual_check", lambda a: quality.manual_check(a.narrow).select("hit_id", "human_valid", "human_perspective", "human_comment"), f"SELECT hit_id, '' AS human_valid, '' AS human_perspective, '' AS human_comment FROM tagged ORDER BY {LINK}, {PLACE} LIMIT 300")
 
 # ------------------------------------------------------------------ showcase
 TOP_KEYS = ["marker_id", "marker_label", "microtheme", "phrase_family", "unit_type", "precision_level"]
@@ -246,11 +246,11 @@ TOPIC = {"strict": CLEAN["strict"], "core": f"(SELECT * FROM {CLEAN['wide']} WHE
 TOPIC |= {"inner": f"(SELECT * FROM {CLEAN['wide']} WHERE perspective = 'HERO_INNER_SPEECH')", "others_to": f"(SELECT * FROM {CLEAN['wide']} WHERE perspective = 'OTHERS_TO_HERO')", "narrator": f"(SELECT * FROM {CLEAN['strict']} WHERE perspective = 'NARRATOR_ABOUT_HERO')", "others": f"(SELECT * FROM {CLEAN['wide']} WHERE {IN_OTHERS})"}
 TOPIC |= {k: f"(SELECT * FROM {CLEAN['wide']} WHERE regexp_matches(microtheme, '(?i){v}'))" for k, _, v in LATIN.topics}
 for topic, table in TOPIC.items():
-    add(f"examples_{topic}", lambda a, t=topic: quality.examples(*quality.selections(a.clean, a.p)[t]).select("hit_id", "marker_id"), f"SELECT hit_id, marker_id FROM {table} AS x WHERE marker_id IN (SELECT marker_id FROM {table} AS y GROUP BY marker_id ORDER BY count(*) DESC, marker_id LIMIT 25) QUALIFY row_number() OVER (PARTITION BY marker_id ORDER BY {PLACE}) <= 4")
+    add(f"examples_{topic}", lambda a, t=topic: quality.examples(*quality.selections(a.with_texts(a.clean), a.p)[t]).select("hit_id", "marker_id"), f"SELECT hit_id, marker_id FROM {table} AS x WHERE marker_id IN (SELECT marker_id FROM {table} AS y GROUP BY marker_id ORDER BY count(*) DESC, marker_id LIMIT 25) QUALIFY row_number() OVER (PARTITION BY marker_id ORDER BY {PLACE}) <= 4")
 BUCKETS = {"narrator about hero": "perspective = 'NARRATOR_ABOUT_HERO'", "inner speech": "perspective = 'HERO_INNER_SPEECH'", "direct speech": "perspective = 'HERO_DIRECT_SPEECH'", "others to hero": "perspective = 'OTHERS_TO_HERO'"} | {k: f"regexp_matches(microtheme, '(?i){v}')" for k, _, v in LATIN.topics}
 CONF = "CASE perspective_confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END"
-add("best_examples", lambda a: quality.best_examples(a.clean, a.p).select("thesis_bucket", "hit_id", "why_selected"), " UNION ALL ".join(f"(SELECT '{k}' AS thesis_bucket, hit_id, 'picked automatically as a compact example' AS why_selected FROM {CLEAN['wide']} WHERE {w} ORDER BY {CONF}, {PLACE} LIMIT 2)" for k, w in BUCKETS.items()))
-add("noise_examples", lambda a: quality.noise_examples(a.tagged).select("hit_id", "noise_reason"), "SELECT hit_id, noise_reason FROM tagged WHERE is_noise ORDER BY hit_id LIMIT 150")
+add("best_examples", lambda a: quality.best_examples(a.with_texts(a.clean), a.p).select("thesis_bucket", "hit_id", "why_selected"), " UNION ALL ".join(f"(SELECT '{k}' AS thesis_bucket, hit_id, 'picked automatically as a compact example' AS why_selected FROM {CLEAN['wide']} WHERE {w} ORDER BY {CONF}, {PLACE} LIMIT 2)" for k, w in BUCKETS.items()))
+add("noise_examples", lambda a: quality.noise_examples(a.narrow).select("hit_id", "noise_reason"), "SELECT hit_id, noise_reason FROM tagged WHERE is_noise ORDER BY hit_id LIMIT 150")
 
 # ------------------------------------------------------------------ plot data
 W = CLEAN["wide"]
@@ -295,7 +295,7 @@ def _keep_all(a: Analysis) -> DataFrame:
 
 def _labels(a: Analysis) -> DataFrame:
     table = F.create_map(*[F.lit(x) for k, v in LABELS_RU.items() for x in (k, v)])
-    return a.tagged.groupBy(F.coalesce(table[F.col("perspective")], F.col("perspective")).alias("label")).agg(F.count("*").alias("n"))
+    return a.narrow.groupBy(F.coalesce(table[F.col("perspective")], F.col("perspective")).alias("label")).agg(F.count("*").alias("n"))
 
 
 def _scopes(a: Analysis) -> DataFrame:
@@ -309,7 +309,7 @@ def _scopes(a: Analysis) -> DataFrame:
 def _high(a: Analysis) -> DataFrame:
     from dataclasses import replace
 
-    return stats.counted(a.tagged, replace(a.p, min_perspective_confidence_main="HIGH")).select("hit_id")
+    return stats.counted(a.narrow, replace(a.p, min_perspective_confidence_main="HIGH")).select("hit_id")
 
 
 # ------------------------------------------------------------------ sources, sinks, segments and runs
