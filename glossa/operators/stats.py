@@ -33,16 +33,21 @@ def clean(hits: DataFrame) -> DataFrame:
     return hits.where(~F.coalesce("is_noise", F.lit(False)) & F.coalesce("count_in_main_stats", F.lit(True)))
 
 
-def counted(hits: DataFrame, p: Profile) -> DataFrame:
-    kept = hits if p.include_noise_in_counts else hits.where(~F.coalesce("is_noise", F.lit(False)))
-    kept = kept.where(F.coalesce("count_in_main_stats", F.lit(True)))
+def is_counted(p: Profile) -> Column:
+    """Whether a hit counts in main tables."""
+    noise = F.lit(False) if p.include_noise_in_counts else F.coalesce("is_noise", F.lit(False))
+    kept = ~noise & F.coalesce("count_in_main_stats", F.lit(True))
     if p.enabled_precision_levels:
-        kept = kept.where(F.upper("precision_level").isin(*p.enabled_precision_levels))
+        kept = kept & F.coalesce(F.upper("precision_level").isin(*p.enabled_precision_levels), F.lit(False))
     if not p.experimental_phrases_in_main_stats:
-        kept = kept.where(F.upper(F.coalesce("precision_level", F.lit("CORE"))) != "EXPERIMENTAL")
+        kept = kept & (F.upper(F.coalesce("precision_level", F.lit("CORE"))) != "EXPERIMENTAL")
     confidence = F.upper(F.coalesce("perspective_confidence", F.lit("")))
     rank = F.when(confidence == "HIGH", 3).when(confidence == "MEDIUM", 2).otherwise(1)
-    return kept.where(rank >= RANK.get(p.min_perspective_confidence_main.upper(), 1))
+    return kept & (rank >= RANK.get(p.min_perspective_confidence_main.upper(), 1))
+
+
+def counted(hits: DataFrame, p: Profile) -> DataFrame:
+    return hits.where(is_counted(p))
 
 
 def linked(hits: DataFrame, mode: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators import plotdata, quality, segments, stats
@@ -108,12 +108,25 @@ def plot_tables(a: Analysis) -> dict[str, DataFrame]:
     return out
 
 
-def metadata(a: Analysis, extra: dict[str, Any]) -> dict[str, Any]:
-    """Settings and counters of a run, of one aggregation each."""
-    p, level = a.p, lambda x: F.count_if(stats.level(x))
-    m = a.markers.agg(F.count("*").alias("markers_count"), F.count_if(F.col("unit_type") == "PHRASE").alias("phrase_markers_count"), level("CORE").alias("core_markers_count"), level("EXTENDED").alias("extended_markers_count"), level("EXPERIMENTAL").alias("experimental_markers_count")).first()
+def marker_counters() -> dict[str, Column]:
+    level = lambda x: F.count_if(stats.level(x))
+    return {
+        "markers_count": F.count(F.lit(1)), "phrase_markers_count": F.count_if(F.col("unit_type") == "PHRASE"), "core_markers_count": level("CORE"), "extended_markers_count": level("EXTENDED"), "experimental_markers_count": level("EXPERIMENTAL"),
+    }
+
+
+def hit_counters(p: Profile) -> dict[str, Column]:
+    return {"hits_total_raw": F.count(F.lit(1)), "hits_counted_main": F.count_if(stats.is_counted(p))}
+
+
+def metadata(a: Analysis, extra: dict[str, Any], counters: dict[str, int] | None = None) -> dict[str, Any]:
+    """Settings and counters of a run. Counters are those that were taken while tables were written; without, one aggregation of each table."""
+    p = a.p
+    if counters is None:
+        taken = [df.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict() for df, metrics in ((a.markers, marker_counters()), (a.narrow, hit_counters(p)))]
+        counters = taken[0] | taken[1]
     kept = ("project_name", "analysis_profile", "link_mode", "include_noise_in_counts", "count_overlapping_word_hits", "enabled_precision_levels", "experimental_phrases_in_main_stats", "min_perspective_confidence_main", "overlap_mode", "remove_headings_from_analysis")
-    return {"run_datetime": datetime.now().isoformat(timespec="seconds")} | extra | {k: getattr(p, k) for k in kept} | m.asDict() | {"hits_total_raw": a.tagged.count(), "hits_counted_main": a.counted.count()}
+    return {"run_datetime": datetime.now().isoformat(timespec="seconds")} | extra | {k: getattr(p, k) for k in kept} | counters
 
 
 def validate(a: Analysis) -> DataFrame:
@@ -181,14 +194,15 @@ def run(a: Analysis, out: str, extra: dict[str, Any] | None = None, make_plots:
     if clean_out and files.exists(spark, out):
         files.remove(spark, out)
     save = lambda df, name: files.save_table(df, f"{out}/{name}", p.export_csv, p.csv_max_rows)
-    save(a.markers, "MARKERS_MASTER")
+    observed = lambda df, name, metrics, names=None: files.save_observed(df, f"{out}/{name}", metrics, p.export_csv, p.csv_max_rows, names=names)
+    counters = observed(a.markers, "MARKERS_MASTER", marker_counters())
     save(a.headings, "HEADINGS")
     save(a.sentences.select("doc_id", "sent_id", "sent_text", "word_count"), "SENTS")
     save(a.with_texts(a.hits), "TD_HITS")
     save(a.with_texts(a.nested), "PHRASE_NESTED_CANDIDATES")
     save(a.with_texts(a.hits.orderBy("hit_id").limit(p.max_hits_sample)).orderBy("hit_id"), "TD_HITS_SAMPLE")
-    tagged = a.tagged.withColumnsRenamed(EXPORT_NAMES) if export_names else a.tagged
-    save(tagged, "TD_HITS_TAGGED")
+    counters |= observed(a.tagged, "TD_HITS_TAGGED", hit_counters(p), EXPORT_NAMES if export_names else None)
+    del counters["rows"]
     files.save_csv(quality.priority_sample(a.tagged, p.max_hits_sample), f"{out}/TD_HITS_TAGGED_SAMPLE.csv")
     files.save_workbook(stats_tables(a), f"{out}/STATS", xlsx)
     if p.save_phrase_quality_report:
@@ -202,7 +216,7 @@ def run(a: Analysis, out: str, extra: dict[str, Any] | None = None, make_plots:
         for name in tables:
             files.write_text(spark, f"{out}/PLOTS/{name}.svg", figure(name, spark.read.parquet(f"{out}/PLOTS/{name}.parquet")))
     if p.save_run_metadata:
-        files.write_json(spark, f"{out}/RUN_METADATA.json", metadata(a, extra or {}))
+        files.write_json(spark, f"{out}/RUN_METADATA.json", metadata(a, extra or {}, counters))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 from typing import IO
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BOM = "﻿"
@@ -141,14 +141,23 @@ def read_exclusions(spark: SparkSession, path: str | None) -> DataFrame:
 
 def save_table(df: DataFrame, stem: str, export_csv: bool = False, csv_max_rows: int = 200_000, sample_rows: int = 50_000) -> str:
     """Parquet, and a CSV mirror if wanted: the whole table up to csv_max_rows, else a sample of its first rows. Gives the Parquet path."""
+    save_observed(df, stem, {}, export_csv, csv_max_rows, sample_rows)
+    return f"{stem.removesuffix('.parquet').removesuffix('.csv')}.parquet"
+
+
+def save_observed(df: DataFrame, stem: str, metrics: dict[str, Column], export_csv: bool = False, csv_max_rows: int = 200_000, sample_rows: int = 50_000, names: dict[str, str] | None = None) -> dict[str, int]:
+    """As save_table, columns renamed by `names`; gives the metrics (aggregates over df) and `rows`, which are taken while the table is written: nothing is read or counted a second time."""
     stem = stem.removesuffix(".parquet").removesuffix(".csv")
-    df.write.mode("overwrite").parquet(f"{stem}.parquet")
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()])
+    watched.withColumnsRenamed(names or {}).write.mode("overwrite").parquet(f"{stem}.parquet")
+    found = seen.get
     if export_csv:
         kept = df.sparkSession.read.parquet(f"{stem}.parquet")
-        small = kept.limit(csv_max_rows + 1).count() <= csv_max_rows
+        small = found["rows"] <= csv_max_rows
         flat = kept.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in kept.dtypes])
         (flat if small else flat.limit(sample_rows)).write.mode("overwrite").csv(f"{stem}.csv" if small else f"{stem}.sample.csv", header=True, escape='"')
-    return f"{stem}.parquet"
+    return found
 
 
 def save_csv(df: DataFrame, path: str) -> None:

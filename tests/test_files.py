@@ -3,6 +3,7 @@ import zipfile
 from io import BytesIO
 
 import pytest
+from pyspark.sql import functions as F
 from sample import TEXT, sample
 
 from glossa.plans.profile import RUSSIAN
@@ -84,3 +85,26 @@ def test_command_line(spark, tmp_path):
     assert main(["segments", "--config", config]) == 0 and (tmp_path / "out/books.csv").exists()
     assert main(["run", "--config", config, "--corpus", str(tmp_path / "none.txt")]) == 2
     assert RUSSIAN.phrase_gap == 2
+
+
+def test_counters_are_taken_while_a_table_is_written(spark, tmp_path):
+    df = spark.range(25).withColumnRenamed("id", "a")
+    found = files.save_observed(df, f"{tmp_path}/t", {"even": F.count_if(F.col("a") % 2 == 0), "most": F.max("a")}, True, 10, 4, {"a": "b"})
+    assert found == {"rows": 25, "even": 13, "most": 24} and spark.read.parquet(f"{tmp_path}/t.parquet").columns == ["b"]
+    assert spark.read.csv(f"{tmp_path}/t.sample.csv", header=True).count() == 4 and not files.exists(spark, f"{tmp_path}/t.csv")
+    for none in (df.limit(0), df.where("a < 0"), spark.createDataFrame([], "a long")):
+        assert files.save_observed(none, f"{tmp_path}/none", {"even": F.count_if(F.col("a") % 2 == 0)}, True)["rows"] == 0
+
+
+def test_metadata_of_a_run_is_that_of_its_tables(spark, tmp_path):
+    """Counters from the writes, those of an aggregation, and the tables themselves agree."""
+    from glossa.plans import run as R
+    from tests.sample import sample
+
+    a = sample(spark)
+    a.keep = True
+    counters = files.save_observed(a.markers, f"{tmp_path}/m", R.marker_counters()) | files.save_observed(a.tagged, f"{tmp_path}/h", R.hit_counters(a.p))
+    plain = R.metadata(a, {})
+    assert {k: plain[k] for k in plain if k in counters} == {k: v for k, v in counters.items() if k != "rows"}
+    assert plain["hits_total_raw"] == a.tagged.count() and plain["hits_counted_main"] == a.counted.count()
+    a.release()
