@@ -65,10 +65,11 @@ def counts(stems: dict[str, np.ndarray], words: dict[str, np.ndarray], kinds: fl
     order = np.argsort(stems["stem"])
     s = {k: v[order] for k, v in stems.items()}
     order = np.argsort(words["word"])
-    w = {k: v[order] for k, v in words.items()}
-    at = np.searchsorted(s["stem"], w["stem"]).astype(np.int32)
-    within = w["n"] / np.maximum(s["n"], 1)[at] if len(at) else np.zeros(0)
-    return Counts(s["stem"], (s["kinds"] / max(1.0, kinds)).astype(np.float32), w["word"], at, np.array([w["n0"], w["n1"]], np.int32).reshape(2, -1), within.astype(np.float32))
+    at = np.searchsorted(s["stem"], words["stem"][order]).astype(np.int32)
+    of_stem = np.maximum(s["n"], 1).astype(np.float32)
+    within = words["n"][order].astype(np.float32) / of_stem[at] if len(at) else np.zeros(0, np.float32)
+    n = np.array([words["n0"][order], words["n1"][order]], np.int32).reshape(2, -1)
+    return Counts(s["stem"], (s["kinds"] / max(1.0, kinds)).astype(np.float32), words["word"][order], at, n, within)
 
 
 def estimated(n: np.ndarray) -> float:

@@ -28,7 +28,7 @@ from glossa.llm import logistic, ngrams
 from glossa.llm.common import discard, documents, labelled_sample, materialise, release, remainder, table
 
 #: Labelled rows of each class that the class counts and the calibration may use; the shared counts take every document.
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: Discounts to choose from, beside the one that the counts of counts give: what so many documents of a class say is left to the shared counts.
 WHOLE = (1.0, 2.0, 3.0)
 RIDGES = (0.1, 1.0, 10.0)
@@ -89,19 +89,27 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     learn = materialise(labelled_sample(docs, labels, "toxic", modulus, held_out, sample).select("text", "label", "place"), "learn")
     known = count_words(docs, learn)
     choices = [(ngrams.estimated(known.n[0]), ngrams.estimated(known.n[1])), *((d, d) for d in WHOLE)]
-    found = learn.mapInArrow(_left_out(known, choices), "label int, place int, choice int, " + FEATURES).toPandas().sort_values(["choice", "place", "label"], kind="stable")
+    rows = _columns(learn.mapInArrow(_left_out(known, choices), "label int, place int, choice int, " + FEATURES))
     weight = _class_weights(labels, learn, modulus, held_out)
-    best, chosen = None, None
-    for i, d in enumerate(choices):
-        rows = found[found["choice"] == i]
-        x, y = rows[NAMES].to_numpy(float), rows["label"].to_numpy(float)
-        w = np.where(y == 1, weight[1], weight[0])
-        for ridge in RIDGES:
-            loss = logistic.held_out_loss(x, y, ridge, w)
-            if best is None or loss < best:
-                best, chosen = loss, Model(ngrams.fit(known, d), logistic.fit(x, y, ridge, weight=w), d)
+    order = np.lexsort((rows["label"], rows["place"], rows["choice"]))
+    rows = {k: v[order] for k, v in rows.items()}
+
+    def learnt_from(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, labels and weights at choice i."""
+        own = rows["choice"] == i
+        y = rows["label"][own].astype(float)
+        return np.column_stack([rows[c][own] for c in NAMES]).astype(float), y, np.where(y == 1, weight[1], weight[0])
+
+    def loss(i: int, ridge: float) -> float:
+        x, y, w = learnt_from(i)
+        return logistic.held_out_loss(x, y, ridge, w)
+
+    best, ridge = min(((i, ridge) for i in range(len(choices)) for ridge in RIDGES), key=lambda c: loss(*c))
+    x, y, w = learnt_from(best)
+    model = Model(ngrams.fit(known, choices[best]), logistic.fit(x, y, ridge, weight=w), choices[best])
     discard(learn)
-    return chosen
+    release()
+    return model
 
 
 def count_words(docs: DataFrame, learn: DataFrame) -> ngrams.Counts:
@@ -112,9 +120,24 @@ def count_words(docs: DataFrame, learn: DataFrame) -> ngrams.Counts:
     stems = words.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max((F.col("n0") + F.col("n1") > 0)).alias("said"))
     stems = materialise(stems, "stems")
     kinds = stems.agg(F.sum("kinds")).first()[0] or 0
-    s, w = stems.where("said").drop("said").toPandas(), words.where("n0 + n1 > 0").toPandas()
+    narrow = [F.col(c).cast("int").alias(c) for c in ("n0", "n1")]
+    s = _columns(stems.where("said").select("stem", "n", "kinds"))
+    w = _columns(words.where("n0 + n1 > 0").select("word", "stem", *narrow, F.col("n").cast("float").alias("n")))
     discard(words, stems)
-    return ngrams.counts({c: s[c].to_numpy() for c in s}, {c: w[c].to_numpy() for c in w}, float(kinds))
+    found = ngrams.counts(s, w, float(kinds))
+    del s, w
+    release()
+    return found
+
+
+def _columns(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a bounded table, one after another: nothing is held twice."""
+    table = rows.toArrow()
+    out = {}
+    for name in table.column_names:
+        out[name] = table.column(name).to_numpy()
+        table = table.drop_columns([name])
+    return out
 
 
 def _class_weights(labels: DataFrame, learn: DataFrame, modulus: int, held_out: int) -> dict[int, float]:
