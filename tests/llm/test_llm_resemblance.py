@@ -46,3 +46,30 @@ def test_keep_one_by_definition(spark, monkeypatch):
     assert sorted(r[0] for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
     assert kept.where("doc_id is null").count() == 2
     assert len(set(least.values())) > 5
+
+
+def test_sets_of_similarity_four_fifths_meet():
+    """Recall of the buckets: of pairs just above 4/5, nearly all share one."""
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    met = 0
+    for i in range(400):
+        n = int(rng.randint(30, 900))
+        shared, own = -(-8 * n // 9), n - -(-8 * n // 9)
+        values = rng.randint(-(1 << 63), (1 << 63) - 1, shared + 2 * own, np.int64)
+        a, b = np.unique(values[: shared + own]), np.unique(np.concatenate([values[:shared], values[shared + own :]]))
+        both = len(np.intersect1d(a, b))
+        assert 5 * both >= 4 * len(np.union1d(a, b)) and resemblance.common(np.sort(a.astype(np.int32)), np.sort(b.astype(np.int32))) == both
+        met += bool(set(resemblance.buckets(a).tolist()) & set(resemblance.buckets(b).tolist()))
+    assert met >= 396
+    assert len(resemblance.buckets(np.zeros(0, np.int64))) == 0 and len(resemblance.buckets(np.array([5]))) == resemblance.BANDS
+    far = [len(set(resemblance.buckets(rng.randint(0, 1 << 60, 300)).tolist()) & set(resemblance.buckets(rng.randint(0, 1 << 60, 300)).tolist())) for _ in range(50)]
+    assert not any(far)
+
+
+def test_values_in_common():
+    import numpy as np
+
+    assert resemblance.common(np.array([1, 1, 2, 3], np.int32), np.array([1, 1, 1, 3], np.int32)) == 3
+    assert resemblance.common(np.array([], np.int32), np.array([1], np.int32)) == 0
