@@ -99,7 +99,7 @@ def test_counters_are_taken_while_a_table_is_written(spark, tmp_path):
 def test_metadata_of_a_run_is_that_of_its_tables(spark, tmp_path):
     """Counters from the writes, those of an aggregation, and the tables themselves agree."""
     from glossa.plans import run as R
-    from tests.sample import sample
+    from sample import sample
 
     a = sample(spark)
     a.keep = True

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossa.operators import matching
 from glossa.plans.analysis import Analysis, latin_sources
 from glossa.plans.profile import LATIN
-from tests.test_operators import reference_match
+from test_operators import reference_match
 
 
 def markers_of(spark, patterns):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glossa.operators import joins, morphology
 from glossa.plans.profile import RUSSIAN
 from glossa.sources import files
-from tests.sample import HITS, LEMMAS, NESTED, sample
+from sample import HITS, LEMMAS, NESTED, sample
 
 ROWS = [
     ("Стали", "стать", "VERB,past", 9), ("стали", "сталь", "NOUN,gent", 4), ("СТАЛИ", "сталь", "NOUN,gent", 3), ("пойми", "понять", "VERB,impr", 2), ("ёж", "ёж", "NOUN", None), ("", "x", "A", 1), ("x", None, "A", 1), ("дом", "дом", None, 1),
