@@ -1,4 +1,8 @@
-"""Query op7: texts to SentencePiece ids and back."""
+"""Query op7: texts to SentencePiece ids and back.
+
+Defined results: a row for each row, repeats and null ids included; null and empty texts have no ids; other columns, of
+any name, are left out; no rows give no rows; texts of any length are encoded whole, a bounded window at a time.
+"""
 
 from __future__ import annotations
 
@@ -36,4 +40,5 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; the cases are those of this module."""
     return encode_decode(documents(spark, sf_dir))
