@@ -94,10 +94,19 @@ PERSPECTIVES = """SELECT * EXCLUDE (rule, to_hero, linked),
         FROM (SELECT *, addressee IN ('HERO', 'HERO_PROBABLE') AS to_hero, hero_link IN ('YES', 'PROBABLE') AS linked FROM linked_sents))"""
 
 
+#: The bench's rules of speakers and addressees, written out: verbs, names, what ends a word; then what each rule looks for, its evidence and the name.
+SAYS, ENDS, BEGINS = r"(?:is|was|are|be|on\s+the)", "(?:$|[^0-9A-Za-z_À-ÿ])", "(?:^|[^0-9A-Za-z_À-ÿ])"
+HERO, HERO_DATIVE = ("Orre", "That", "Eriner", "Thon", "With"), ("That", "Orre")
+SPEAKERS = [rule for n in HERO for rule in ((rf"{SAYS}\s+(?:{n}){ENDS}", f"speech_verb_after_quote:{n}", n), (rf"{n}\s+{SAYS}", f"speech_verb_after_name:{n}", n))]
+ADDRESSEES = [rule for n in HERO_DATIVE for rule in ((rf"{SAYS}.{{0,35}}(?:to\s+)?(?:{n}){ENDS}", f"speech_verb_to_hero:{n}", n), (rf"(?:to\s+)?{n}.{{0,35}}{SAYS}", f"hero_dative_near_speech_verb:{n}", n))]
+ADDRESSEES += [rule for n in HERO for rule in ((rf"{n}[,!]?\s+(?:for|as|with){ENDS}", f"vocative_hero_before_prompt:{n}", n), (rf"{BEGINS}(?:for|as|with)[,!]?\s+(?:{n}){ENDS}", f"vocative_hero_after_prompt:{n}", n))]
+OTHER_AFTER, OTHER_BEFORE = rf"{SAYS}\s+([A-Z][a-z]+){ENDS}", rf"([A-Z][a-z]+)\s+{SAYS}"
+
+
 def steps(p: Profile) -> dict[str, str]:
     gap = p.phrase_gap
-    (after, e_after), (before, e_before) = tagging.other_speaker_patterns(p)
-    speakers, addressees = tagging.speaker_rules(p), tagging.addressee_rules(p)
+    (after, e_after), (before, e_before) = (OTHER_AFTER, "speech_verb_other:"), (OTHER_BEFORE, "other_name_before_speech_verb:")
+    speakers, addressees = SPEAKERS, ADDRESSEES
     listed = tuple((i, v) for i, v in enumerate(P.LATIN_LISTED))
     evaluates = " OR ".join(has("sent_text", word(e, p)) for e in p.evaluations)
     prompts = has("sent_text", word("|".join(p.prompts), p))
