@@ -198,6 +198,50 @@ def test_word_ids_are_the_tokenizers():
         assert words.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_many_texts_are_those_of_each():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(op08_packing.vocabulary())
+    words = op08_packing.WordIds(op08_packing.vocabulary(), most=50)
+    assert words.quick is not None
+    rng = random.Random(9)
+    alphabet = "abcdefgXYZ 's've09éßÀ×÷İŉſĳ漢½ﬁ  \n\t.,!<|>_-"
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(80)] + ["", "a<|endoftext|>b \n\t", "I'LL we've x'S", ""]
+    wanted = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for lo, hi in op08_packing.parts(pa.array(texts), 700):
+        ids, ends = words.encode_all(pa.array(texts)[lo:hi])
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == wanted[lo:hi]
+    # Each different unit is looked at once, however often it stands there.
+    seen = []
+    words.places = lambda units, places=words.places: seen.append(len(units)) or places(units)
+    words.encode_all(pa.array(["one two one"] * 1000 + ["two"]))
+    assert seen == [2]
+
+
+def test_quick_merges_are_the_tokenizers():
+    """Every word of the vocabulary, and random ones of its letters."""
+    words = op08_packing.WordIds(op08_packing.vocabulary())
+    rng = random.Random(10)
+    known = sorted({t.removesuffix("</w>") for t in words.tokenizer.get_vocab()})
+    letters = [x for x in known if x.isascii() and x.isalpha() and x.islower()]
+    made = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(20_000)} | set(letters))
+    words.learn(made)
+    for word in made:
+        i = words.at[word]
+        assert words.ids[words.ends[i] : words.ends[i + 1]].tolist() == [t.id for t in words.tokenizer.model.tokenize(word)]
+
+
+def test_parts_hold_every_text_and_few_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * n for n in (0, 5, 3, 12, 1, 1, 9, 0)] + [None])
+    ranges = list(op08_packing.parts(texts[1:], 8))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(8))
+    assert all(b == a + 1 or sum(len(t.as_py() or "") for t in texts[1 + a : 1 + b]) <= 8 for a, b in ranges)
+    assert list(op08_packing.parts(texts[:0])) == []
+
+
 def packed_by_definition(lengths, c):
     """Every item looks at every bin."""
     scale = [w / f / f for w, f in zip(c.weights, (c.tokens, c.documents, c.attention), strict=True)]
