@@ -8,8 +8,9 @@ nothing is linked by an estimate.
 
 A bucket of a large group of near copies would make pairs by the square of its size. So each bucket first links its sets
 to two leaders, other ones in each bucket; candidates are at most two a row, whatever the buckets' sizes. Buckets that
-still hold several groups do so once more with other leaders, and all pairs of those with at most SMALL rows are looked
-at. What can be lost is a link between two sets that meet in large buckets alone, none of whose leaders is like both.
+still hold several groups do so once more with other leaders. All pairs of different groups of those that then still hold
+several are looked at, in cells of bounded size that are dealt over the cluster: no link between sets that share a bucket
+is lost, whatever the input's size.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import discard, hot_join, materialise, release
@@ -28,9 +29,7 @@ from glossa.llm.simhash import links, majority
 
 #: Buckets of a set, and least values that one is made of.
 BANDS, DEPTH = 20, 4
-#: Rows of a bucket whose pairs are all looked at in the second round.
-SMALL = 16
-#: Pairs for each row up to which the second round looks at all pairs of all buckets.
+#: All pairs of a bucket are looked at in cells of at most about 512 * PAIRS rows on a side (1 at least).
 PAIRS = 4
 NONE = -(1 << 63)
 FACTORS = np.random.RandomState(1).randint(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,8 +132,7 @@ def classes(docs: DataFrame, size: int = 5, radius: int = 2) -> DataFrame:
         """Of pairs of sets a and b, those of similarity 4/5. Whole sets are read only for pairs that an upper bound lets through."""
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("size").alias(f"size_{side}")), side)
-        unlike = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(16)), F.lit(0))
-        pairs = materialise(pairs.where(9 * unlike <= F.col("size_a") + F.col("size_b")).select("a", "b", "size_a", "size_b"), "pairs")
+        pairs = materialise(pairs.where(_maybe("_a", "_b")).select("a", "b", "size_a", "size_b"), "pairs")
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("held").alias(f"held_{side}")), side)
         return pairs.select("a", "b", "size_a", "size_b", "held_a", "held_b").mapInArrow(_alike, "a long, b long")
@@ -148,22 +146,29 @@ def classes(docs: DataFrame, size: int = 5, radius: int = 2) -> DataFrame:
 
     named = materialise(keys.select("key", F.col("key").alias("group")), "groups")
     named = grouped(named, materialise(settled(candidates), "alike"))
-    # Once more for buckets that hold several groups.
-    mixed = met.select("band", "key").join(named, "key")
-    ends = mixed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high")
-    ends = materialise(ends.select("band", "n"), "mixed-bands")
-    if not ends.isEmpty():
-        mixed = materialise(hot_join(mixed, ends.withColumn("rows", F.col("n")), ["band"], "n", total * BANDS), "mixed")
-        n = ends.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
-        few = mixed if n[1] <= PAIRS * n[0] else mixed.where(F.col("rows") <= SMALL)
-        again = materialise(_led(mixed.select("key", "band"), total * BANDS, 1), "met")
-        every = few.select("band", "key", "group").join(few.select("band", F.col("key").alias("key2"), F.col("group").alias("group2")), "band").where(F.col("group") < F.col("group2")).select(F.col("key").alias("a"), F.col("key2").alias("b"))
-        more = _pairs(again, "lead").union(_pairs(again, "trail")).union(every).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = more.join(candidates, ["a", "b"], "left_anti")
+    def mixed(named: DataFrame) -> DataFrame | None:
+        """(band, rows, key, group) of buckets that hold several groups; rows: how many the bucket has."""
+        each = met.select("band", "key").join(named, "key")
+        ends = each.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high")
+        ends = materialise(ends.select("band", "n", F.col("n").alias("rows")), "mixed-bands")
+        return None if ends.isEmpty() else materialise(hot_join(each, ends, ["band"], "n", total * BANDS), "mixed")
+
+    def closer(named: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Groups after these pairs, of which those of different groups are settled."""
         group = lambda side: named.select(F.col("key").alias(side), F.col("group").alias(f"group_{side}"))
+        more = pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
         more = materialise(more.join(group("a"), "a").join(group("b"), "b").where("group_a <> group_b").select("a", "b"), "more")
         edges = settled(more).join(group("a"), "a").join(group("b"), "b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
-        named = grouped(named, materialise(edges.distinct(), "alike"))
+        return grouped(named, materialise(edges.distinct(), "alike"))
+
+    # Once more for buckets that hold several groups, then all pairs of those that still do.
+    several = mixed(named)
+    if several is not None:
+        again = materialise(_led(several.select("key", "band"), total * BANDS, 1), "met")
+        named = closer(named, _pairs(again, "lead").union(_pairs(again, "trail")))
+        several = mixed(named)
+    if several is not None:
+        named = closer(named, every_pair(several.join(sets.select("key", "size", "bits"), "key")))
     discard(sets, met)
     every = rows.join(own.select("key").join(named, "key", "left").select("key", F.coalesce("group", "key").alias("group")), "key")
     every = materialise(every, "every")
@@ -185,6 +190,27 @@ def _pairs(met: DataFrame, leader: str) -> DataFrame:
     return met.select(F.col("key").alias("a"), F.col(leader).alias("b"))
 
 
+def _maybe(a: str, b: str) -> Column:
+    """Whether two sets, whose columns end with a and b, may have a similarity of 4/5 by the shingles that one alone has, as far as parities tell."""
+    unlike = sum((F.bit_count(F.col(f"bits{a}")[i].bitwiseXOR(F.col(f"bits{b}")[i])) for i in range(16)), F.lit(0))
+    return 9 * unlike <= F.col(f"size{a}") + F.col(f"size{b}")
+
+
+def every_pair(rows: DataFrame) -> DataFrame:
+    """(a, b) of all rows (band, rows, key, group, size, bits) of a band that have different groups and may be of similarity 4/5, each once.
+
+    A band of many rows is a square of cells; a row goes to the cells of its line on one side and of its column on the other.
+    """
+    cells = F.ceil(F.col("rows") / max(1, 512 * PAIRS)).cast("int")
+    own, all_ = F.pmod(F.xxhash64("key"), cells).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1))
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("key", "group", "size", "bits")]
+    low = rows.select("band", own.alias("i"), all_.alias("j"), *side("_a"))
+    high = rows.select("band", all_.alias("i"), own.alias("j"), *side("_b"))
+    sizes = (5 * F.col("size_a") >= 4 * F.col("size_b")) & (5 * F.col("size_b") >= 4 * F.col("size_a"))
+    met = (low["band"] == high["band"]) & (low["i"] == high["i"]) & (low["j"] == high["j"]) & (F.col("group_a") < F.col("group_b")) & sizes & _maybe("_a", "_b")
+    return low.join(high, met).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """How many values two sorted arrays share, repeats counted as often as both have them."""
     if len(a) > len(b):

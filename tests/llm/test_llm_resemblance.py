@@ -48,6 +48,26 @@ def test_keep_one_by_definition(spark, monkeypatch):
     assert len(set(least.values())) > 5
 
 
+def test_every_pair_of_large_buckets(spark, monkeypatch):
+    """All pairs of different groups in a bucket of 40 rows, whatever the cells and however many other rows there are."""
+    rows = [(1, 40, i, i // 2, 10, [0] * 16) for i in range(40)] + [(2, 3, 100 + i, i, 10 + 4 * i, [0] * 16) for i in range(3)] + [(3, 2, 200 + i, i, 10, [-i] * 16) for i in range(2)]
+    table = spark.createDataFrame(rows, "band long, rows long, key long, `group` long, size long, bits array<long>")
+    want = sorted((i, j) for i in range(40) for j in range(40) if i // 2 < j // 2)
+    for pairs in (resemblance.PAIRS, 0):
+        monkeypatch.setattr(resemblance, "PAIRS", pairs)
+        assert sorted(tuple(r) for r in resemblance.every_pair(table).collect()) == want
+
+
+def test_a_chain_in_one_large_bucket_is_one_group(spark, monkeypatch):
+    """Sets that meet in one bucket of over 16 rows alone, of which only neighbours are alike: leaders see few of the links."""
+    import numpy as np
+
+    words = [f"w{i}" for i in range(260)]
+    docs = spark.createDataFrame([(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(resemblance, "buckets", lambda found: np.array([7], np.int64))
+    assert {r.component_id for r in resemblance.near_copies(docs).collect()} == {0}
+
+
 def test_sets_of_similarity_four_fifths_meet():
     """Recall of the buckets: of pairs just above 4/5, nearly all share one."""
     import numpy as np
