@@ -158,7 +158,7 @@ class WordIds:
 
 
 #: Bytes of text that ids are made from at a time, and units that are remembered for the next ones.
-PART, REMEMBERED = 4 << 20, 600_000
+PART, REMEMBERED = 1 << 20, 250_000
 
 
 def parts(texts: pa.StringArray, most: int = PART) -> Iterator[tuple[int, int]]:
