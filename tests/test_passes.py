@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from glossa.functions import text as T
 from glossa.operators import matching, stats, tagging
 from glossa.plans.analysis import Analysis, bench_profile, latin_sources
 from sample import sample
@@ -37,3 +38,20 @@ def test_phrases_in_row_are_those_of_the_join(spark):
 def test_no_text_for_few_hits_is_lost(spark):
     a = sample(spark)
     assert sorted(a.with_texts_of_few(a.narrow).select("hit_id", "sent_text", "context_window").collect()) == sorted(a.tagged.select("hit_id", "sent_text", "context_window").collect())
+
+
+def test_openings_change_no_match(spark):
+    """First letters are looked for with all that is alike where case is ignored."""
+    patterns = ["it|sah|kö", r"is\s+(?:a|the)", "ёж|им", "K", r"to\s+|that"]
+    texts = [x + y for x in ("", " ", "x", "\n") for y in ("it", "İT", "ıt", "IT", "ſah", "SAH", "Kö", "kÖ", "K", "Is  the", "ıS a", "Ёж", "ИМ", "ᲂим", "tO that", "Tha", "t", "")]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert all(T.opening(p) for p in patterns) and not any(map(T.opening, ["(?:it|is)", "i?t", "it|", "a*b", r"\s+it", "[i]t", "x{0}y", ""]))
+    for p in patterns:
+        got = rows.select("text", T.matches("text", p).alias("a"), T.matches("text", T.word(p, "a-z"), first=T.opening(p)).alias("b"), F.col("text").rlike("(?iud)" + p).alias("c"), F.col("text").rlike("(?iud)" + T.word(p, "a-z")).alias("d")).collect()
+        assert [r for r in got if r.a != r.c or r.b != r.d] == []
+
+
+def test_blanks_at_the_ends_go(spark):
+    blanks = [chr(i) for i in range(0x3001) if spark.sparkContext._jvm.java.util.regex.Pattern.matches("(?U)\\s", chr(i))]
+    assert sorted(blanks) == sorted(T.SPACE)
+    assert spark.createDataFrame([(T.SPACE + "a b" + T.SPACE,)], "x string").select(T.strip("x")).first()[0] == "a b"
