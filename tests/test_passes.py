@@ -40,6 +40,19 @@ def test_no_text_for_few_hits_is_lost(spark):
     assert sorted(a.with_texts_of_few(a.narrow).select("hit_id", "sent_text", "context_window").collect()) == sorted(a.tagged.select("hit_id", "sent_text", "context_window").collect())
 
 
+def test_numbering_finds_hits_once(spark):
+    found = bench(spark).hits.select("hit_id", "doc_id", "marker_id")
+    assert [r.hit_id for r in sorted(found.collect())] == list(range(1, found.count() + 1))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan ExistingRDD") == 1
+
+
+def test_hits_of_a_document_without_id_are_numbered(spark):
+    rows = spark.createDataFrame([(None, 0), (None, 1), (3, 0)], "doc_id long, sent_id int")
+    assert sorted(r.n for r in matching.numbered(rows, ["sent_id"], "n").collect()) == [1, 2, 3]
+
+
 def test_openings_change_no_match(spark):
     """First letters are looked for with all that is alike where case is ignored."""
     patterns = ["it|sah|kö", r"is\s+(?:a|the)", "ёж|им", "K", r"to\s+|that"]
