@@ -1,5 +1,7 @@
 """Tables of an analysis that keeps nothing: one pass over the texts, without shuffles of sentences."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
@@ -68,3 +70,15 @@ def test_blanks_at_the_ends_go(spark):
     blanks = [chr(i) for i in range(0x3001) if spark.sparkContext._jvm.java.util.regex.Pattern.matches("(?U)\\s", chr(i))]
     assert sorted(blanks) == sorted(T.SPACE)
     assert spark.createDataFrame([(T.SPACE + "a b" + T.SPACE,)], "x string").select(T.strip("x")).first()[0] == "a b"
+
+
+def test_rule_sentences_are_found_once(spark, tmp_path):
+    from glossa import language_queries
+
+    text = "﻿The first one. Second, by Mr. X. of the place!  \n\n 3. Third? " * 3
+    spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " . ")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = language_queries.rule_sentences(spark, str(tmp_path))
+    rows = found.collect()
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan parquet") == 1
+    assert {r.digest for r in rows if r.doc_id == 1} == {hashlib.md5(text[r.start : r.stop].encode()).hexdigest() for r in rows if r.doc_id == 1} and all(text[r.start : r.stop].strip() == text[r.start : r.stop] for r in rows if r.doc_id == 1)
+    assert [r.sent_id for r in sorted(rows, key=lambda r: (r.doc_id, r.start)) if r.doc_id == 1] == list(range(sum(r.doc_id == 1 for r in rows)))
