@@ -99,3 +99,13 @@ def test_a_long_text_costs_its_length(spark):
     text = "The end of it. " * 30_000 + "of. " * 30_000
     got = split(spark, [text], LATIN)[0]
     assert len(got) == 30_000 and "".join(got) == text
+
+
+def test_ends_are_judged_as_by_the_whole_piece(spark):
+    """Abbreviations and initials are looked for in a piece's end: cut-off words are none."""
+    from glossa.functions.splitter import ends_after
+
+    p = replace(LATIN, abbreviations=("mr", "prof"))
+    bodies = ["mr.", "Mr.", "xmr.", "x mr.", "the prof.", "prof.", "aprof.", "X.", " X.", "aX.", "a X.", "the end.", "the end!", "mr!", "prof.)", "\U0001f600mr.", "ab\U0001f600X."]
+    got = {r.body: r.ends for r in spark.createDataFrame([(b,) for b in bodies], "body string").select("body", ends_after(F.concat("body", F.lit(" ")), F.lit("Next."), p).alias("ends")).collect()}
+    assert {b for b, e in got.items() if not e} == {"mr.", "Mr.", "x mr.", "the prof.", "prof.", "X.", " X.", "a X.", "\U0001f600mr.", "ab\U0001f600X."}
