@@ -140,3 +140,13 @@ def test_many_forms_leave_the_plan_small(spark):
     told = morphology.lemmatised(df, morphology.analyse(morphology.words(df), forms, morphology.ending_rules(forms)))
     assert told.first().lemmas[:2] == ["w", "w"]
     assert len(told._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
+def test_words_are_found_once(spark, tmp_path):
+    """Known and unknown words come from one pass over the texts."""
+    spark.createDataFrame([(w,) for w in "walking talking baking the sings".split()], "text string").write.parquet(str(tmp_path / "t"))
+    found = morphology.words(spark.read.parquet(str(tmp_path / "t")).select(F.split("text", " ").alias("tokens")))
+    forms = spark.createDataFrame([("walking", "walk", "V", 1), ("talking", "talk", "V", 1), ("baking", "bak", "V", 1)], morphology.FORMS)
+    told = morphology.analyse(found, forms, spark.createDataFrame([("s", 1, "", "N", 3)], "ending string, cut int, added string, tags string, n long"))
+    assert {(r.word, r.lemma, r.all_tags, r.how) for r in told.collect()} == {("walking", "walk", "V", "dictionary"), ("talking", "talk", "V", "dictionary"), ("baking", "bak", "V", "dictionary"), ("the", "the", "UNK", "itself"), ("sings", "sing", "N", "ending")}
+    assert told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan parquet") == 1
