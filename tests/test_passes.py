@@ -82,3 +82,16 @@ def test_rule_sentences_are_found_once(spark, tmp_path):
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan parquet") == 1
     assert {r.digest for r in rows if r.doc_id == 1} == {hashlib.md5(text[r.start : r.stop].encode()).hexdigest() for r in rows if r.doc_id == 1} and all(text[r.start : r.stop].strip() == text[r.start : r.stop] for r in rows if r.doc_id == 1)
     assert [r.sent_id for r in sorted(rows, key=lambda r: (r.doc_id, r.start)) if r.doc_id == 1] == list(range(sum(r.doc_id == 1 for r in rows)))
+
+
+def _logical(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_are_looked_for_once(spark):
+    """No filter on the size of what is found, which would be found again below the projections."""
+    from glossa import queries
+
+    a = bench(spark)
+    for found in (queries._candidates(a), queries._apart(a), a.dropped):
+        assert "(size(" not in "\n".join(x for x in _logical(found).splitlines() if "Filter" in x) and found.count() > 0
