@@ -95,3 +95,8 @@ def test_phrases_are_looked_for_once(spark):
     a = bench(spark)
     for found in (queries._candidates(a), queries._apart(a), a.dropped):
         assert "(size(" not in "\n".join(x for x in _logical(found).splitlines() if "Filter" in x) and found.count() > 0
+
+
+def test_texts_are_split_once(spark):
+    a = bench(spark)
+    assert "Filter" not in _logical(a.plain) and a.plain.count() == 20
