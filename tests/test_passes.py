@@ -100,3 +100,18 @@ def test_phrases_are_looked_for_once(spark):
 def test_texts_are_split_once(spark):
     a = bench(spark)
     assert "Filter" not in _logical(a.plain) and a.plain.count() == 20
+
+
+def test_examples_without_numbering_all_hits(spark):
+    """The same as from all hits with their ids, whatever the order of documents; documents without id come first."""
+    from glossa.operators import quality
+
+    lines = ["Orre is on the place of the road. And that is it! In that place to the and with the. Thon on.", "No marker here.", "That of the, in that on. He is with the."]
+    docs = spark.createDataFrame([(None if i == 4 else (i * 7) % 11 - 3, lines[i % 3] * (1 + i % 2)) for i in range(9)], "doc_id long, text string")
+    a = Analysis(latin_sources(spark, docs), bench_profile(), keep=False)
+    blank = lambda df: df.withColumns({c: F.lit("") for c in ("sent_text", "context_window")})
+    for topic in ("strict", "core", "inner", "doubt"):
+        met, title = quality.choices(a.p)[topic]
+        first, whole = (quality.examples(df, title, 3, 2, texts=blank) for df in (a.first_of(stats.is_clean() & met, 3, 2), quality.selections(a.clean, a.p)[topic][0]))
+        assert sorted(map(str, first.collect())) == sorted(map(str, whole.collect()))
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
