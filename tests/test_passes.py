@@ -102,6 +102,15 @@ def test_texts_are_split_once(spark):
     assert "Filter" not in _logical(a.plain) and a.plain.count() == 20
 
 
+def test_counts_are_found_once_for_their_top(spark):
+    from glossa.operators import plotdata
+
+    a = bench(spark)
+    for found in (stats.dynamics(a.scopes.wide, "book", 2), plotdata.heatmap(a.scopes.wide, "part", "microtheme"), plotdata.dynamics_lines(a.scopes.wide, a.sources.parts, "part")):
+        assert found.collect()
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan ExistingRDD") == 1
+
+
 def test_examples_without_numbering_all_hits(spark):
     """The same as from all hits with their ids, whatever the order of documents; documents without id come first."""
     from glossa.operators import quality
