@@ -111,6 +111,10 @@ def test_counts_are_found_once_for_their_top(spark):
         assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan ExistingRDD") == 1
 
 
+def test_no_filter_by_a_confidence_that_all_hits_have(spark):
+    assert "perspective_confidence" not in str(stats.is_counted(bench_profile()))
+
+
 def test_examples_without_numbering_all_hits(spark):
     """The same as from all hits with their ids, whatever the order of documents; documents without id come first."""
     from glossa.operators import quality
