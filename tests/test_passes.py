@@ -1,6 +1,7 @@
 """Tables of an analysis that keeps nothing: one pass over the texts, without shuffles of sentences."""
 
 import hashlib
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -128,3 +129,18 @@ def test_examples_without_numbering_all_hits(spark):
         first, whole = (quality.examples(df, title, 3, 2, texts=blank) for df in (a.first_of(stats.is_clean() & met, 3, 2), quality.selections(a.clean, a.p)[topic][0]))
         assert sorted(map(str, first.collect())) == sorted(map(str, whole.collect()))
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_tagged_hits_carry_their_texts(spark):
+    """The same as texts joined to the hits, in one pass and without putting sentences in order."""
+    lines = ["Orre is on the place of the road. And that is it! In that place to the and with the. Thon on.", "That of the.", "No marker. That of the, in that on! None? He is with the."]
+    docs = spark.createDataFrame([(None if i == 4 else i, lines[i % 3]) for i in range(7)], "doc_id long, text string")
+    for radius, most in ((1, None), (2, None), (0, None), (2, 3)):
+        a = Analysis(latin_sources(spark, docs), replace(bench_profile(), context_window_sentences=radius), max_sents=most, keep=False)
+        columns = ["hit_id", "doc_id", "sent_id", "marker_id", "perspective", "hero_evidence", "part", "sent_text", "prev_sent_text", "next_sent_text", "context_window"]
+        found = a.tagged.select(*columns)
+        got = found.collect()
+        joined = a.with_texts(a.narrow.where("doc_id IS NOT NULL")).select(*columns).collect()
+        assert got and sorted(map(str, (r for r in got if r.doc_id is not None))) == sorted(map(str, joined))
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Scan ExistingRDD") == 1 and "lag(" not in plan
