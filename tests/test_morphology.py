@@ -150,3 +150,59 @@ def test_words_are_found_once(spark, tmp_path):
     told = morphology.analyse(found, forms, spark.createDataFrame([("s", 1, "", "N", 3)], "ending string, cut int, added string, tags string, n long"))
     assert {(r.word, r.lemma, r.all_tags, r.how) for r in told.collect()} == {("walking", "walk", "V", "dictionary"), ("talking", "talk", "V", "dictionary"), ("baking", "bak", "V", "dictionary"), ("the", "the", "UNK", "itself"), ("sings", "sing", "N", "ending")}
     assert told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan parquet") == 1
+
+
+def _tables(spark, path):
+    said = ["walk walks walked walking mation station sing sings singing the on onon", "talk talks talked talking baker bake baking of that"]
+    text = "The walks of that station. Baked on the place, unwalked onon! Is it?  1-2 ... That on, of the Talk"
+    spark.createDataFrame([(1, text), (2, ""), (3, None), (None, text), (5, text * 3)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(x,) for x in said * 3], "text string").write.parquet(f"{path}/conversations.parquet")
+
+
+def test_tokens_are_dealt_out_once_as_sentences(spark, tmp_path, monkeypatch):
+    """Only rare words' tokens are shuffled as rows; however few words are common, the answers are the same."""
+    from glossa import language_queries
+
+    _tables(spark, tmp_path)
+    got = {}
+    for common in (2**16, 4, 0):
+        monkeypatch.setattr(morphology, "COMMON", common)
+        told = language_queries.dictionary_lemmas(spark, str(tmp_path))
+        got[common] = sorted(map(str, told.collect()))
+        plan = told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Scan parquet [doc_id") == 1
+    assert got[2**16] == got[4] == got[0]
+    rows = [r for r in told.collect() if r.doc_id == 1]
+    assert [r.lemmas for r in sorted(rows, key=lambda r: r.sent_id)][0] == "the walk of that station" and {r.lemmas for r in told.collect() if r.doc_id is None} == {""}
+
+
+def test_repeated_sentences_are_told_together(spark):
+    sents = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 0, ["a", "b"]), (None, 0, ["a"]), (2, 0, [])], "doc_id long, sent_id int, tokens array<string>")
+    found = morphology.words(sents)
+    answer = lambda w: w.select("word", "n", F.upper("word").alias("lemma"), F.lit("X").alias("all_tags"))
+    got = {(r.doc_id, r.sent_id): ([x.lemma for x in r.told], r.rows) for r in morphology.told(sents, found, answer).collect()}
+    assert got == {(1, 0): (["A", "A", "B", "B"], 2), (None, 0): ([], 1), (2, 0): ([], 1)}
+
+
+def test_imperatives_of_hits_need_no_tokens(spark, tmp_path):
+    """Only the words that hits can be are looked up; texts are read once and no sentence is shuffled."""
+    from glossa import language_queries
+    from glossa.plans.analysis import bench_analysis
+
+    _tables(spark, tmp_path)
+    acts = language_queries.speech_act_imperative(spark, str(tmp_path))
+    got = {r.hit_id: r.act for r in acts.collect()}
+    plan = acts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet [doc_id") == 1 and "Generate posexplode(tokens" not in plan
+    a = bench_analysis(spark, str(tmp_path))
+    hits = {r.hit_id: r for r in a.hits.where("doc_id IS NOT NULL").collect()}
+    plain = {(r.doc_id, r.sent_id): r.speech_act for r in a.sentences.select("doc_id", "sent_id", "speech_act").collect()}
+    impr = {r.word for r in language_queries.analyses(spark, str(tmp_path)).where(morphology.has_tag(F.array("all_tags"), "impr")).collect()}
+    assert "onon" in impr and got == {i: "PROMPT" if h.token_idx == h.token_end_idx and h.target_surface.lower() in impr else plain[h.doc_id, h.sent_id] for i, h in hits.items()}
+
+
+def test_rules_are_not_tried_on_tokens(spark):
+    """What rules ask of forms isn't pushed below the counts that forms come from."""
+    found = morphology.words(spark.createDataFrame([(["walks"],)], "tokens array<string>"))
+    rules = morphology.ending_rules(morphology.dictionary(morphology.derived(found, (("s", "", "N"),))))
+    assert not [x for x in rules._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "aggregate(" in x]
